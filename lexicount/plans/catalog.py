@@ -221,3 +221,7 @@ SELECT lang, category, CAST(sample_no AS INTEGER) AS sample_no, doc_id, data_sou
 FROM r WHERE sample_no <= 2""")
 def q_category_samples(spark, d):
     return audit.category_samples(documents_corpus(spark, d), n=2, seed=12)
+
+
+# Query modules register themselves on import.
+from . import q_plan  # noqa: E402,F401
