@@ -225,3 +225,5 @@ def q_category_samples(spark, d):
 
 # Query modules register themselves on import.
 from . import q_plan  # noqa: E402,F401
+from . import q_leak  # noqa: E402,F401
+from . import q_eval  # noqa: E402,F401
