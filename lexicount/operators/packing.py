@@ -115,6 +115,6 @@ def log_intervals(steps: DataFrame, log_every: int, tokens_per_step: int,
         F.max(ts).alias("t_end"), F.count(F.lit(1)).alias("n_steps"))
     w = Window.orderBy("interval")  # one row per interval: small
     prev = F.lag("t_end").over(w)
-    dt = F.unix_micros(F.col("t_end")) - F.unix_micros(prev)
+    dt = F.unix_micros(F.col("t_end").cast("timestamp")) - F.unix_micros(prev.cast("timestamp"))
     return g.withColumn("tok_per_s", F.when(dt > 0, F.lit(float(tokens_per_step)) * F.col("n_steps")
                                             / (dt / F.lit(1e6))))

@@ -286,11 +286,11 @@ def job_lines(spark, d) -> DataFrame:
     return j.select("model_key", F.explode(F.array(start, end)).alias("line"))
 
 
-JOBS_CTE = f"""{ITEMS_CTE},
-jobs AS (SELECT model_key, {LANG2_SQL} AS lang, event_type AS task, CAST(length(event_type) % 4 AS INTEGER) AS gpu,
+JOBS_PART = f"""jobs AS (SELECT model_key, {LANG2_SQL} AS lang, event_type AS task, CAST(length(event_type) % 4 AS INTEGER) AS gpu,
                 CASE WHEN count(*) >= 20 THEN 0 ELSE 1 END AS rc,
                 CAST(date_diff('second', min(ts), max(ts)) AS BIGINT) AS dt
          FROM items GROUP BY model_key, lang, event_type)"""
+JOBS_CTE = f"{ITEMS_CTE},\n{JOBS_PART}"
 
 
 @register("job_log", f"""WITH {JOBS_CTE}

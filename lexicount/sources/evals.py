@@ -95,7 +95,7 @@ def parse_metadata(df: DataFrame, json_col: str = "json") -> DataFrame:
     """Dataset metadata JSON -> typed row (creation date as timestamp)."""
     j = F.from_json(F.col(json_col), METADATA_SCHEMA)
     return df.select(j["dataset_name"].alias("dataset_name"), j["language_code"].alias("language_code"),
-                     F.to_timestamp(j["creation_date"]).alias("created"),
+                     F.to_timestamp_ntz(j["creation_date"]).alias("created"),
                      j["num_documents"].alias("num_documents"))
 
 
@@ -141,7 +141,7 @@ def card_categories(cards: DataFrame, text: str = "card",
 # ---------------------------------------------------------------------------
 
 STEP_RX = (r"^\[step\s+(\d+)/(\d+)\]\s+loss=([\d.eE+-]+)\s+lr=([\d.eE+-]+)\s+ref_tok=([\d,]+)"
-           r"\s+frac=([\d.]+)\s+tok/s=([\d,]+)")
+           r"\s+frac=([\d.eE+-]+)\s+tok/s=([\d,]+)")
 CKPT_RX = r"^\[checkpoint\] saving (chck_\d+M) at ([\d,]+) ref tokens"
 
 
@@ -154,13 +154,13 @@ def train_log_steps(lines: DataFrame, line: str = "line", keep: tuple[str, ...]
     v = F.col(line)
     return lines.filter(v.rlike(STEP_RX)).select(
         *keep,
-        F.regexp_extract(v, STEP_RX, 1).cast("long").alias("step"),
-        F.regexp_extract(v, STEP_RX, 2).cast("long").alias("total_steps"),
-        F.regexp_extract(v, STEP_RX, 3).cast("double").alias("loss"),
-        F.regexp_extract(v, STEP_RX, 4).cast("double").alias("lr"),
-        _num(F.regexp_extract(v, STEP_RX, 5)).cast("long").alias("ref_tokens"),
-        F.regexp_extract(v, STEP_RX, 6).cast("double").alias("frac"),
-        _num(F.regexp_extract(v, STEP_RX, 7)).cast("long").alias("tok_s"))
+        F.regexp_extract(v, STEP_RX, 1).try_cast("long").alias("step"),
+        F.regexp_extract(v, STEP_RX, 2).try_cast("long").alias("total_steps"),
+        F.regexp_extract(v, STEP_RX, 3).try_cast("double").alias("loss"),
+        F.regexp_extract(v, STEP_RX, 4).try_cast("double").alias("lr"),
+        _num(F.regexp_extract(v, STEP_RX, 5)).try_cast("long").alias("ref_tokens"),
+        F.regexp_extract(v, STEP_RX, 6).try_cast("double").alias("frac"),
+        _num(F.regexp_extract(v, STEP_RX, 7)).try_cast("long").alias("tok_s"))
 
 
 def train_log_checkpoints(lines: DataFrame, line: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -168,7 +168,7 @@ def train_log_checkpoints(lines: DataFrame, line: str = "line", keep: tuple[str,
     v = F.col(line)
     return lines.filter(v.rlike(CKPT_RX)).select(
         *keep, F.regexp_extract(v, CKPT_RX, 1).alias("revision"),
-        _num(F.regexp_extract(v, CKPT_RX, 2)).cast("long").alias("ref_tokens_at_save"))
+        _num(F.regexp_extract(v, CKPT_RX, 2)).try_cast("long").alias("ref_tokens_at_save"))
 
 
 def _cells(line):
@@ -197,16 +197,19 @@ def score_tables(lines: DataFrame, line: str = "line", line_no: str = "line_no",
                                                   F.lit("groups")).when(F.trim(v).startswith("|") & F.trim(v).contains("Tasks"),
                                                   F.lit("tasks")), ignorenulls=True).over(w))
     c = _cells(v)
-    is_row = F.trim(v).startswith("|") & (F.size(c) >= 10) & (F.element_at(c, 7).rlike(r"^-?[\d.]+$"))
+    # cells: '', task, version, filter, n-shot, metric, dir, value, '±', stderr, ''
+    is_row = F.trim(v).startswith("|") & (F.size(c) >= 10) & (F.element_at(c, 8).rlike(r"^-?[\d.]+([eE][-+]?\d+)?$"))
     rows = d.filter(is_row).withColumn("_c", c).withColumn("_raw_task", F.split(v, r"\|").getItem(1))
     task_cell = F.when(F.trim(F.col("_raw_task")) != "", F.col("_raw_task"))
     rows = rows.withColumn("_task_raw", F.last(task_cell, ignorenulls=True).over(w))
     name = F.regexp_replace(F.col("_task_raw"), r"^\s*-?\s*", "")
-    lead = F.length(F.regexp_extract(F.col("_task_raw"), r"^( *)", 1))
+    # depth: a subtask cell is '<spaces>- name', its depth is the number of spaces
+    depth = F.when(F.col("_task_raw").rlike(r"^ *- "),
+                   F.length(F.regexp_extract(F.col("_task_raw"), r"^( *)", 1))).otherwise(F.lit(0))
     return rows.select(
-        *by, "section", F.trim(name).alias("task"), (F.greatest(lead - 1, F.lit(0))).alias("depth"),
-        F.element_at("_c", 6).alias("metric"), F.element_at("_c", 8).cast("double").alias("value"),
-        F.element_at("_c", 10).cast("double").alias("stderr"))
+        *by, "section", F.trim(name).alias("task"), depth.try_cast("int").alias("depth"),
+        F.element_at("_c", 6).alias("metric"), F.element_at("_c", 8).try_cast("double").alias("value"),
+        F.element_at("_c", 10).try_cast("double").alias("stderr"))
 
 
 JOB_START_RX = r"^\[gpu(\d+)\] ([a-z]+)/([^ ]+) START"
@@ -223,15 +226,15 @@ def job_log(lines: DataFrame, line: str = "line", by: tuple[str, ...] = ()) -> D
         *by,
         F.when(s != "", F.regexp_extract(v, JOB_START_RX, 2)).when(e != "", F.regexp_extract(v, JOB_END_RX, 2)).alias("lang"),
         F.when(s != "", s).when(e != "", e).alias("task"),
-        F.when(s != "", F.regexp_extract(v, JOB_START_RX, 1)).when(e != "", F.regexp_extract(v, JOB_END_RX, 1)).cast("int").alias("gpu"),
+        F.when(s != "", F.regexp_extract(v, JOB_START_RX, 1)).when(e != "", F.regexp_extract(v, JOB_END_RX, 1)).try_cast("int").alias("gpu"),
         (s != "").alias("is_start"), (e != "").alias("is_end"),
-        F.when(e != "", F.regexp_extract(v, JOB_END_RX, 4)).cast("int").alias("rc"),
-        F.when(e != "", F.regexp_extract(v, JOB_END_RX, 5)).cast("long").alias("dt"))
+        F.when(e != "", F.regexp_extract(v, JOB_END_RX, 4)).try_cast("int").alias("rc"),
+        F.when(e != "", F.regexp_extract(v, JOB_END_RX, 5)).try_cast("long").alias("dt"))
     d = d.filter(F.col("task").isNotNull())
     return d.groupBy(*by, "lang", "task").agg(
         F.max("gpu").alias("gpu"), F.max("rc").alias("rc"), F.max("dt").alias("dt"),
-        F.max(F.col("is_start").cast("int")).cast("boolean").alias("started"),
-        F.max(F.col("is_end").cast("int")).cast("boolean").alias("finished"))
+        F.max(F.col("is_start").try_cast("int")).cast("boolean").alias("started"),
+        F.max(F.col("is_end").try_cast("int")).cast("boolean").alias("finished"))
 
 
 def with_revision_int(df: DataFrame, rev: str = "revision") -> DataFrame:
