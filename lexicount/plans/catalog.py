@@ -228,3 +228,4 @@ from . import q_plan  # noqa: E402,F401
 from . import q_leak  # noqa: E402,F401
 from . import q_eval  # noqa: E402,F401
 from . import q_logs  # noqa: E402,F401
+from . import q_tok  # noqa: E402,F401
