@@ -63,7 +63,14 @@ def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     language, there is no age estimate ('n/a'), and ``num_tokens`` is the
     whitespace token count (the published corpora define it the same way).
     """
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return corpus_view(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+DOCUMENTS_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def corpus_view(d: DataFrame) -> DataFrame:
+    """The mapping of ``documents_corpus`` for any (batch or streaming) frame."""
     return d.select(
         "doc_id", "lang",
         F.col("source").alias("category"),
