@@ -230,3 +230,4 @@ from . import q_eval  # noqa: E402,F401
 from . import q_logs  # noqa: E402,F401
 from . import q_tok  # noqa: E402,F401
 from . import q_stream  # noqa: E402,F401
+from . import q_more  # noqa: E402,F401
