@@ -174,11 +174,19 @@ def mix_plan(docs: DataFrame, cfg: MixConfig, key: str = "lang", id_col: str = "
                      bucket=pb, suffix="_before")
     d = d.withColumnRenamed("ref_tokens_before", "total_before").withColumnRenamed("_one_before", "draw").drop("_one")
 
-    # Caps: total (check precedes the draw) and the first per-key breach.
-    d = d.filter(F.col("total_before") < F.lit(total_cap))
+    return apply_caps(d, total_cap, caps, key=key, checkpoint=checkpoint)
+
+
+def apply_caps(seq: DataFrame, total_cap: int, caps: Mapping[str, int], key: str = "lang",
+               checkpoint: bool = True) -> DataFrame:
+    """M03 on an ordered draw sequence (``draw``, ``total_before``,
+    ``lang_before``, ``ref_tokens``): keep draws made while the total was
+    below ``total_cap`` and no key was strictly over its cap (the check
+    precedes the draw, so the crossing draw is kept)."""
+    d = seq.filter(F.col("total_before") < F.lit(int(total_cap)))
     if checkpoint:
         d = cut_lineage(d)
-    cap_col = F.element_at(map_literal(caps, "long"), F.col(key))
+    cap_col = F.element_at(map_literal({k: int(v) for k, v in caps.items()}, "long"), F.col(key))
     breach = d.filter(F.col("lang_before") + F.col("ref_tokens") > cap_col).agg(F.min("draw"))
     if checkpoint:
         first = breach.collect()[0][0]

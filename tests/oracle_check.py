@@ -38,6 +38,34 @@ def rows(df_cols, data):
     return sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
+def open_oracle(sf):
+    con = duckdb.connect()
+    for t in TABLES:
+        p = f"{sf}/{t}.parquet"
+        if os.path.exists(p):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
+    return con
+
+
+def compare(spark, con, sf, name, fn, sql):
+    """Returns (ok, message)."""
+    sdf = fn(spark, sf)
+    scols = sdf.columns
+    sdata = [tuple(r) for r in sdf.collect()]
+    if sql is None:
+        return True, f"{len(sdata)} rows (no oracle)"
+    res = con.execute(sql)
+    ocols = [d[0] for d in res.description]
+    odata = res.fetchall()
+    if sorted(scols) != sorted(ocols):
+        return False, f"columns {sorted(scols)} vs {sorted(ocols)}"
+    a, b = rows(scols, sdata), rows(ocols, odata)
+    if a != b:
+        diff = [(x, y) for x, y in zip(a, b) if x != y][:3]
+        return False, f"{len(a)} vs {len(b)} rows; first diffs {diff}"
+    return True, f"{len(a)} rows"
+
+
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
