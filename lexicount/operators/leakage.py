@@ -24,12 +24,17 @@ def _words(c):
     return F.filter(F.split(F.coalesce(c, F.lit("")), WS_RUN), lambda x: x != "")
 
 
-def _ngram_hashes(words, n: int, first: int = 1, last_excl_tail: int = 0):
-    """xxhash64 of every word n-gram starting at 1-based ``first`` and ending
-    at least ``last_excl_tail`` words before the end."""
-    hi = F.size(words) - n + 1 - last_excl_tail
+def _word_hashes(words):
+    """xxhash64 of each word (computed once per document)."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _ngram_hashes(wh, n: int, first: int = 1, last_excl_tail: int = 0):
+    """Hash of every word n-gram (from the word hashes ``wh``) starting at
+    1-based ``first`` and ending at least ``last_excl_tail`` words before the end."""
+    hi = F.size(wh) - n + 1 - last_excl_tail
     idx = F.sequence(F.lit(first), F.greatest(hi, F.lit(first)))
-    grams = F.transform(idx, lambda i: F.xxhash64(F.concat_ws(" ", F.slice(words, i, n))))
+    grams = F.transform(idx, lambda i: F.xxhash64(*[F.element_at(wh, i + j) for j in range(n)]))
     return F.when(hi >= first, grams).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -73,7 +78,7 @@ def leakage_hits(docs: DataFrame, probes: DataFrame, ngram: int = 3, display: in
                  max_broadcast_probes: int = 20000) -> DataFrame:
     """J02 + J03, anchored plan (see module doc). Output: set, probe_id,
     probe_head, doc_id, lang, doc_src, doc_cat, match_pos, context."""
-    pw = probes.withColumn("_w", _words(F.col("probe")))
+    pw = probes.withColumn("_w", _word_hashes(_words(F.col("probe"))))
     # interior n-grams: start at word 2, end before the last word
     pw = pw.withColumn("_anchors", _ngram_hashes(F.col("_w"), ngram, first=2, last_excl_tail=1))
     anchored = pw.filter(F.size("_anchors") > 0).select(
@@ -82,7 +87,7 @@ def leakage_hits(docs: DataFrame, probes: DataFrame, ngram: int = 3, display: in
 
     d = docs.select("doc_id", "lang", "data_source", "category", "text")
     # words are computed once per document; the n-gram lambda only indexes them
-    grams = (d.withColumn("_dw", _words(F.col("text")))
+    grams = (d.withColumn("_dw", _word_hashes(_words(F.col("text"))))
               .withColumn("_anchor", F.explode(F.array_distinct(_ngram_hashes(F.col("_dw"), ngram))))
               .drop("_dw"))
     # The anchor table has one row per probe; AQE broadcasts it when small

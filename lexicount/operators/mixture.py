@@ -23,6 +23,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,8 +122,12 @@ def mix_plan(docs: DataFrame, cfg: MixConfig, key: str = "lang", id_col: str = "
     pts = validate_schedule(stages)
     total_cap = int(cfg.total_token_budget)
 
+    # Only the columns the plan needs travel on (no text); persisted because
+    # the per-key statistics and the plan both read it.
+    weighted_keys = sorted({k for _, w in pts for k in w})
+    base = docs.select(key, id_col, "ref_tokens", "raw_tokens", *carry).persist(StorageLevel.MEMORY_AND_DISK)
     # One small aggregate per key: epoch size, raw total, largest document.
-    stats = {r[key]: r for r in docs.groupBy(key).agg(
+    stats = {r[key]: r for r in base.groupBy(key).agg(
         F.sum("ref_tokens").cast("long").alias("epoch_tokens"),
         F.sum(F.coalesce(F.col("raw_tokens"), F.lit(0))).cast("long").alias("raw"),
         F.max("ref_tokens").cast("long").alias("max_doc")).collect()}
@@ -145,9 +150,7 @@ def mix_plan(docs: DataFrame, cfg: MixConfig, key: str = "lang", id_col: str = "
         epochs[k] = int(min(cfg.max_epochs + 1, math.floor(c_final.get(k, 0.0) / e) + 2))
     caps = {k: int(cfg.max_epochs * max(1, int(available.get(k, 0)))) for k in weighted}
 
-    # Only the columns the plan needs travel through its shuffles (no text).
-    d = docs.filter(F.col(key).isin(sorted(weighted))).select(
-        key, id_col, "ref_tokens", "raw_tokens", *carry)
+    d = base.filter(F.col(key).isin(weighted_keys))
     d = d.withColumn("epoch", F.explode(F.sequence(
         F.lit(0), F.element_at(map_literal(epochs, "int"), F.col(key)) - 1)))
     d = d.withColumn("order_key", order_key(cfg.seed, "epoch", id_col))
@@ -174,7 +177,10 @@ def mix_plan(docs: DataFrame, cfg: MixConfig, key: str = "lang", id_col: str = "
                      bucket=pb, suffix="_before")
     d = d.withColumnRenamed("ref_tokens_before", "total_before").withColumnRenamed("_one_before", "draw").drop("_one")
 
-    return apply_caps(d, total_cap, caps, key=key, checkpoint=checkpoint)
+    out = apply_caps(d, total_cap, caps, key=key, checkpoint=checkpoint)
+    if checkpoint:
+        base.unpersist()  # the plan now lives in the checkpoint
+    return out
 
 
 def apply_caps(seq: DataFrame, total_cap: int, caps: Mapping[str, int], key: str = "lang",

@@ -27,11 +27,12 @@ TOKENS_PER_STEP = 4096
 
 def step_rows(spark, d) -> DataFrame:
     """Events in time order as optimizer steps: step = running count, tokens =
-    floor(value), running token total (two-level prefix sums, bucketed by day)."""
+    floor(value), running token total (two-level prefix sums, bucketed by minute)."""
     e = table(spark, d, "events").select("event_id", "ts", "value")
     e = e.withColumns({"_one": F.lit(1).cast("long"), "tok": F.floor("value").cast("long")})
-    day = F.datediff(F.to_date("ts"), F.lit("2000-01-01"))
-    e = running_sums(e, ["_one", "tok"], order=["ts", "event_id"], bucket=day, suffix="_cum", inclusive=True)
+    # minute buckets keep each window partition small however long the log
+    minute = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(60_000_000))
+    e = running_sums(e, ["_one", "tok"], order=["ts", "event_id"], bucket=minute, suffix="_cum", inclusive=True)
     return e.withColumnRenamed("_one_cum", "step").withColumnRenamed("tok_cum", "ref_tok").drop("_one")
 
 

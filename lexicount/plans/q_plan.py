@@ -15,10 +15,13 @@ W = normalized(FIXTURE_WEIGHTS)
 
 
 def plan_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Planner input without text, cached: the budget, the per-language
+    statistics and the plan all read it (Spark matches the cached plan when
+    the same query is built again)."""
     c = documents_corpus(spark, d)
     c = budget.with_ref_tokens(c, FIXTURE_PREMIUM)
-    return c.select("lang", "doc_id", "category", "text", F.col("num_tokens").alias("raw_tokens"),
-                    "ref_tokens")
+    return c.select("lang", "doc_id", "category", F.col("num_tokens").alias("raw_tokens"),
+                    "ref_tokens").persist()
 
 
 def fixture_config(docs: DataFrame) -> MixConfig:
