@@ -32,9 +32,10 @@ def running_sums(df: DataFrame, values: Sequence[str], order: Sequence[str | Col
     w_local = (Window.partitionBy(*part, b).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local_cols = {f"_ps_loc_{v}": F.sum(F.col(v)).over(w_local) for v in values}
-    d = d.withColumns(local_cols)
-
+    # bucket totals straight from the input (partial aggregation, so only one
+    # row per (map task, bucket) is shuffled; the window is not recomputed)
     totals = d.groupBy(*part, b).agg(*[F.sum(F.col(v)).alias(f"_ps_tot_{v}") for v in values])
+    d = d.withColumns(local_cols)
     w_b = Window.partitionBy(*part).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *part, b,
