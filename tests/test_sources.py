@@ -54,10 +54,10 @@ def test_eval_results_latest_wins_and_top_tasks(spark):
 
 def test_column_rules(spark):
     df = spark.createDataFrame([(t,) for t in ["blimp_nl", "xcomps_zh", "zhoblimp", "arc_challenge",
-                                              "zeroshot_nld", "blimp_babylm_filtered"]], "task string")
+                                              "zeroshot_nld", "blimp_filtered"]], "task string")
     got = {r.task: r.lang for r in df.select("task", task_lang(F.col("task")).alias("lang")).collect()}
     assert got == {"blimp_nl": None, "xcomps_zh": None, "zhoblimp": "zho", "arc_challenge": "eng",
-                   "zeroshot_nld": "nld", "blimp_babylm_filtered": None}
+                   "zeroshot_nld": "nld", "blimp_filtered": None}
     r = spark.createDataFrame([("chck_10M",), ("main",), ("chck_1M_x",)], "rev string").select(
         revision_to_int("rev").alias("n")).collect()
     assert [x.n for x in r] == [10, -1, -1]
