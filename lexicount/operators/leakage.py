@@ -100,6 +100,39 @@ def leakage_hits(docs: DataFrame, probes: DataFrame, ngram: int = 3, display: in
     return out
 
 
+def leakage_hits_char(docs: DataFrame, probes: DataFrame, k: int = 8, stride: int = 16, display: int = 80,
+                      max_broadcast_probes: int = 20000) -> DataFrame:
+    """J02 + J03 for text without word separators (e.g. Chinese): character
+    anchors.
+
+    Documents emit the hash of the k characters starting at every
+    ``stride``-th position only. Each probe emits ``stride`` anchors, the
+    k-grams at offsets 0..stride-1. If the probe occurs at position P, exactly
+    one sampled position q lies in [P, P + stride), and the document k-gram at
+    q equals the probe k-gram at offset q - P, so the join cannot miss a
+    match. Probes shorter than ``stride + k - 1`` use the nested loop.
+    Duplicate candidates (several offsets of one probe in one document) are
+    verified, then only the small hit rows are deduplicated."""
+    need = stride + k - 1
+    long_p = probes.filter(F.length("probe") >= need)
+    short = probes.filter(F.length("probe") < need)
+    anchors = long_p.select("set", "probe_id", "probe", F.explode(F.sequence(F.lit(0), F.lit(stride - 1))).alias("_o"))
+    anchors = anchors.select("set", "probe_id", "probe",
+                             F.xxhash64(F.substring(F.col("probe"), F.col("_o") + 1, F.lit(k))).alias("_anchor"))
+    d = docs.select("doc_id", "lang", "data_source", "category", "text")
+    n = F.floor((F.coalesce(F.length("text"), F.lit(0)) - k) / stride)
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))),
+                        lambda j: F.xxhash64(F.substring(F.col("text"), j * stride + 1, F.lit(k))))
+    g = d.withColumn("_anchor", F.explode(F.when(n >= 0, F.array_distinct(grams))
+                                          .otherwise(F.array().cast("array<bigint>"))))
+    cand = g.join(anchors, "_anchor", "inner").drop("_anchor")
+    hit = cand.withColumn("match_pos", F.instr(F.col("text"), F.col("probe"))).filter(F.col("match_pos") > 0)
+    out = _finish(hit, display).dropDuplicates(["set", "probe_id", "doc_id"])
+    if short.limit(1).count():
+        out = out.unionByName(leakage_hits_nested(docs, short, display, max_broadcast_probes))
+    return out
+
+
 def leakage_summary(hits: DataFrame, probes: DataFrame, n_examples: int = 3) -> DataFrame:
     """Per set: probes screened, probes hit, (probe, doc) pairs and the
     first examples (by probe_id, doc_id). Sets without hits get zeros."""

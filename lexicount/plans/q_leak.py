@@ -43,3 +43,10 @@ FROM probes p GROUP BY p.set""")
 def q_leakage_summary(spark, d):
     docs, probes = _inputs(spark, d)
     return leakage.leakage_summary(leakage.leakage_hits(docs, probes), probes).drop("examples")
+
+
+@register("leakage_hits_char", f"WITH {LEAK_CTE} SELECT * FROM hits")
+def q_leakage_hits_char(spark, d):
+    """The character-anchored plan (for unspaced scripts) on the same data."""
+    docs, probes = _inputs(spark, d)
+    return leakage.leakage_hits_char(docs, probes)

@@ -57,3 +57,9 @@ def q_token_fertility(spark, d):
     merges = learned(spark, d)
     docs = budget.with_ref_tokens(documents_corpus(spark, d), FIXTURE_PREMIUM)
     return tokenizer.token_fertility(tokenizer.encode(docs, merges))
+
+
+@register("unigram_vocab")
+def q_unigram_vocab(spark, d):
+    """T04 on the tokenizer sample: 300 pieces plus specials (rows-only)."""
+    return tokenizer.learn_unigram(sample(spark, d), vocab_size=300)

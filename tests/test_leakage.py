@@ -20,6 +20,19 @@ def test_anchored_equals_nested_on_fixture(spark):
     assert _key(a) == _key(b)
 
 
+def test_char_anchors_equal_nested(spark):
+    docs = documents_corpus(spark, SF_SMALL)
+    probes = leakage.prepare_probes(table(spark, SF_SMALL, "benchmark"))
+    a = leakage.leakage_hits_char(docs, probes, k=6, stride=7).collect()
+    b = leakage.leakage_hits_nested(docs, probes).collect()
+    assert _key(a) == _key(b)
+    zh = spark.createDataFrame([(1, "zho", "s", "c", "我们今天去公园散步然后回家吃饭睡觉"), (2, "zho", "s", "c", "公园")],
+                               "doc_id long, lang string, data_source string, category string, text string")
+    pr = spark.createDataFrame([("z", 1, "今天去公园散步然后"), ("z", 2, "公园")], "set string, probe_id long, probe string")
+    got = sorted((r.probe_id, r.doc_id) for r in leakage.leakage_hits_char(zh, pr, k=3, stride=4).collect())
+    assert got == [(1, 1), (2, 1), (2, 2)]
+
+
 def test_anchored_handles_cut_words_and_short_probes(spark):
     text = "Alpha beta gamma delta epsilon zeta eta theta iota kappa"
     docs = spark.createDataFrame([(1, "en", "s", "c", text), (2, "en", "s", "c", "nothing here at all")],

@@ -8,7 +8,7 @@ from conftest import SF_SMALL
 from oracle_check import compare, open_oracle
 
 # covered (exactly, against a sequential learner) by test_tokenizer.py
-HEAVY = {"bpe_merges", "bpe_vocab_specials", "token_fertility"}
+HEAVY = {"bpe_merges", "bpe_vocab_specials", "token_fertility", "unigram_vocab"}
 NAMES = [n for n in queries() if n not in HEAVY]
 
 

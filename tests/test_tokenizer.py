@@ -60,3 +60,14 @@ def test_encode_round_trip_and_specials(spark):
     assert bytes.fromhex("".join(tok[i] for i in ids)).decode() == TEXT
     assert rows[1].ids == [] and rows[2].ids == []
     assert mtab.count() == len(merges)
+
+
+def test_unigram_vocab(spark):
+    df = spark.createDataFrame([(TEXT,), ("ｆｕｌｌ ｗｉｄｔｈ",)], "text string")
+    vocab = tokenizer.learn_unigram(df, vocab_size=80, max_len=6).collect()
+    pieces = [r.piece for r in vocab]
+    assert pieces[:4] == list(tokenizer.SPECIAL_TOKENS)
+    assert len(pieces) <= 80 + 40          # target plus all single characters
+    assert "▁the" in pieces            # frequent word survives pruning
+    assert "ｆ" not in "".join(pieces)       # NFKC folded full-width letters
+    assert all(r.logprob <= 0 for r in vocab[4:])
