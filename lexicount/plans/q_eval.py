@@ -208,14 +208,22 @@ def q_multilingual_average(spark, d):
 
 
 @register("leaderboard", f"""WITH {LANG_AVG_CTE},
-fin AS (SELECT model_key, multilingual_avg FROM ma WHERE revision = 'chck_300M')
+last AS (SELECT model_key, max(rev_m) AS rev_m FROM curve GROUP BY model_key),
+fin AS (SELECT ma.model_key, ma.multilingual_avg FROM ma JOIN (SELECT DISTINCT model_key, revision, rev_m FROM curve) c
+        USING (model_key, revision) JOIN last USING (model_key, rev_m))
 SELECT model_key, multilingual_avg, CAST(rank() OVER (ORDER BY multilingual_avg DESC) AS INTEGER) AS rank FROM fin""")
 def q_leaderboard(spark, d):
     ma = S.multilingual_average(_lang_avgs(spark, d), LANG3, by=("model_key", "revision"))
-    fin = ma.filter(F.col("revision") == "chck_300M").select("model_key", "multilingual_avg")
+    last = latest_revision(curve(spark, d))
+    fin = ma.join(last, ["model_key", "revision"]).select("model_key", "multilingual_avg")
     return S.leaderboard(fin)
 
 
+def latest_revision(c: DataFrame) -> DataFrame:
+    """Each model's final revision (largest revision number)."""
+    return c.groupBy("model_key").agg(F.max_by("revision", "rev_m").alias("revision"))
+
+
 @register("revision_gain", f"""WITH {EVAL_CTE}
 SELECT *, lag(acc) OVER (PARTITION BY model_key, task ORDER BY rev_m) AS prev_acc,
        acc - lag(acc) OVER (PARTITION BY model_key, task ORDER BY rev_m) AS gain FROM curve""")

@@ -13,7 +13,7 @@ from ..sources import evals as E
 from ..sources.corpus import documents_corpus, table
 from .catalog import CORPUS_CTE, _groups_case, register
 from .fixture import FIXTURE_GROUPS, FIXTURE_PREMIUM
-from .q_eval import EVAL_CTE, ITEMS_CTE, JOBS_PART, curve, eval_items, jobs_table
+from .q_eval import EVAL_CTE, ITEMS_CTE, JOBS_PART, curve, eval_items, jobs_table, latest_revision
 from .q_plan import PIECES_CTE, fixture_config, plan_docs
 
 CKPT_EVERY = 100_000
@@ -165,11 +165,13 @@ def q_finetune_results(spark, d):
 
 
 @register("submission", f"""WITH {EVAL_CTE}, {FT_PART}
-SELECT model_key, task, task AS key, acc FROM curve WHERE revision = 'chck_300M'
+SELECT c.model_key, c.task, c.task AS key, c.acc FROM curve c
+JOIN (SELECT model_key, arg_max(revision, rev_m) AS revision FROM curve GROUP BY model_key) l USING (model_key, revision)
 UNION ALL
 SELECT model_key, task, lang AS key, accuracy AS acc FROM ft""")
 def q_submission(spark, d):
-    zs = curve(spark, d).filter(F.col("revision") == "chck_300M").select(
+    c = curve(spark, d)
+    zs = c.join(latest_revision(c), ["model_key", "revision"]).select(
         "model_key", "task", F.col("task").alias("key"), "acc")
     ft = E.parse_finetune(finetune_docs(spark, d), keep=("model_key",)).select(
         "model_key", "task", F.col("lang").alias("key"), F.col("accuracy").alias("acc"))

@@ -88,11 +88,13 @@ def q_mix_plan_curriculum(spark, d):
 
 @register("mix_by_category")
 def q_mix_by_category(spark, d):
-    """The same planner keyed by category (English sources 0-3)."""
-    docs = plan_docs(spark, d).filter((F.col("lang") == "en") & F.col("category").isin("src0", "src1", "src2", "src3"))
-    w = {"src0": 0.4, "src1": 0.3, "src2": 0.2, "src3": 0.1}
-    cfg = MixConfig(weights=w, budget_reference_tokens=20_000, max_epochs=2, seed=FIXTURE_SEED,
-                    premium={k: 1.0 for k in w})
+    """The same planner keyed by category - every source of the corpus
+    reweighted to an equal token share, budget = half the corpus, 2 epochs."""
+    docs = plan_docs(spark, d)
+    cats = sorted(r.category for r in docs.select("category").distinct().collect())  # bounded: categories
+    total = docs.agg(F.sum("ref_tokens")).collect()[0][0]
+    cfg = MixConfig(weights={c: 1.0 / len(cats) for c in cats}, budget_reference_tokens=int(total) // 2,
+                    max_epochs=2, seed=FIXTURE_SEED, premium={})
     return mixture.mix_plan(docs, cfg, key="category").select(
         "category", "doc_id", "epoch", "ref_tokens", "lang_before", "total_before", "draw")
 
