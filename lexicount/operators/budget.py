@@ -177,17 +177,23 @@ def char_budget_sample(df: DataFrame, chars: int, seed: int, by: Sequence[str] =
     return d.filter(F.col("n_chars_before") < chars)
 
 
-def running_consumption(plan: DataFrame, total_budget: int, order: Sequence[str] = ("draw",),
-                        bucket: Column | None = None, n_buckets: int = 1024) -> DataFrame:
-    """Running reference-token total per language and overall plus
-    ``frac_done`` = total / total_budget, along the plan order (``draw``)."""
-    b = bucket if bucket is not None else F.floor(F.col("draw") / F.lit(max(1, 1 << 16)))
-    d = plan.withColumn("_one", F.lit(1).cast("long"))
-    d = running_sums(d, ["ref_tokens"], order=list(order), bucket=b, partition=["lang"],
-                     suffix="_lang_total", inclusive=True)
-    d = running_sums(d, ["ref_tokens"], order=list(order), bucket=b, suffix="_total", inclusive=True)
-    return d.drop("_one").withColumn(
-        "frac_done", F.col("ref_tokens_total").cast("double") / F.lit(float(max(1, total_budget))))
+def running_consumption(seq: DataFrame, total_budget: int, key: str = "lang", order: str = "draw",
+                        bucket_rows: int = 1 << 16) -> DataFrame:
+    """Inclusive running reference-token total per key and overall along
+    the draw order, and ``frac_done`` = total / total_budget. A plan from
+    ``mix_plan`` already carries the exclusive sums; other sequences get them
+    from two-level prefix sums (buckets of ``bucket_rows`` draws)."""
+    d = seq
+    if "lang_before" not in d.columns or "total_before" not in d.columns:
+        b = F.floor(F.col(order) / F.lit(bucket_rows))
+        d = running_sums(d, ["ref_tokens"], order=[order], bucket=b, partition=[key], suffix="_lang_before")
+        d = d.withColumnRenamed("ref_tokens_lang_before", "lang_before")
+        d = running_sums(d, ["ref_tokens"], order=[order], bucket=b, suffix="_total_before")
+        d = d.withColumnRenamed("ref_tokens_total_before", "total_before")
+    return d.withColumns({
+        "lang_total": F.col("lang_before") + F.col("ref_tokens"),
+        "total": F.col("total_before") + F.col("ref_tokens"),
+        "frac_done": (F.col("total_before") + F.col("ref_tokens")) / F.lit(float(max(1, total_budget)))})
 
 
 def budget_cut(seq: DataFrame, cap: int, before: str = "total_before") -> DataFrame:

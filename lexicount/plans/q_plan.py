@@ -120,16 +120,13 @@ FROM plan JOIN avail a USING (lang)""")
 def q_running_consumption(spark, d):
     docs = plan_docs(spark, d)
     cfg = fixture_config(docs)
-    plan = mixture.mix_plan(docs, cfg)
+    # recompute the sums from the draw order alone (generic W01 path)
+    plan = mixture.mix_plan(docs, cfg).drop("lang_before", "total_before")
     avail = {r.lang: r.available for r in budget.available_ref_tokens(
         docs.withColumnRenamed("raw_tokens", "num_tokens"), FIXTURE_PREMIUM).collect()}
-    a = F.element_at(F.create_map(*[F.lit(x) for kv in avail.items() for x in kv]), F.col("lang"))
-    return plan.select(
-        "lang", "doc_id", "epoch", "draw",
-        (F.col("lang_before") + F.col("ref_tokens")).alias("lang_total"),
-        (F.col("total_before") + F.col("ref_tokens")).alias("total"),
-        ((F.col("total_before") + F.col("ref_tokens")) / F.lit(float(cfg.total_token_budget))).alias("frac_done"),
-        ((F.col("lang_before") + F.col("ref_tokens")) / F.greatest(a, F.lit(1))).alias("epochs_seen"))
+    rc = budget.running_consumption(plan, cfg.total_token_budget)
+    rc = budget.epochs_timeline(rc.withColumn("ref_tokens_lang_total", F.col("lang_total")), avail)
+    return rc.select("lang", "doc_id", "epoch", "draw", "lang_total", "total", "frac_done", "epochs_seen")
 
 
 MILESTONES = [10_000, 50_000, 100_000, 200_000, 300_000, 400_000, 500_000, 1_000_000]
@@ -145,6 +142,9 @@ def q_milestones(spark, d):
     return packing.milestone_crossings(fixture_plan(spark, d), MILESTONES)
 
 
+_PC = PackConfig(seq_len=FIXTURE_SEQ_LEN, micro_batch_size=8, grad_accum_steps=2, world_size=4)
+
+
 def fixture_pieces(spark, d):
     docs = plan_docs(spark, d)
     plan = mixture.mix_plan(docs, fixture_config(docs))
@@ -180,9 +180,6 @@ def q_pack_stats(spark, d):
     return packing.pack_stats(fixture_pieces(spark, d), FIXTURE_SEQ_LEN)
 
 
-_PC = PackConfig(seq_len=FIXTURE_SEQ_LEN, micro_batch_size=8, grad_accum_steps=2, world_size=4)
-
-
 @register("assign_steps", f"""WITH {PIECES_CTE},
 s AS (SELECT DISTINCT CAST(seq_id AS BIGINT) AS seq_id FROM pieces)
 SELECT seq_id, CAST(floor(seq_id / 8) AS BIGINT) AS micro_batch, CAST(floor(seq_id / 8) % 4 AS INTEGER) AS rank,
@@ -204,3 +201,34 @@ def q_budget_cut(spark, d):
     # an unreachable cap keeps the whole replicated sequence (all epochs)
     plan = mixture.mix_plan(docs, big, available={k: 10 ** 15 for k in FIXTURE_PREMIUM})
     return budget.budget_cut(plan, cfg.total_token_budget // 4).select("lang", "doc_id", "epoch", "draw", "total_before")
+
+
+@register("step_estimate", f"""WITH {PIECES_CTE},
+f AS (SELECT CAST(sum(raw_tokens) AS DOUBLE) / sum(ref_tokens) AS fertility FROM plan)
+SELECT CAST(greatest(1, floor((SELECT cap FROM budget) / {128 * 8 * 2 * 4})) AS BIGINT) AS naive_steps,
+       f.fertility,
+       CAST(greatest(1, floor(floor((SELECT cap FROM budget) * f.fertility) / {128 * 8 * 2 * 4})) AS BIGINT) AS corrected_steps,
+       CAST((SELECT max(floor(seq_id / 64)) + 1 FROM pieces) AS BIGINT) AS packed_steps
+FROM f""")
+def q_step_estimate(spark, d):
+    """Naive step estimate, the fertility-corrected one (A22 with the
+    whitespace encoder) and the steps the packed plan really fills."""
+    docs = plan_docs(spark, d)
+    cfg = fixture_config(docs)
+    plan = mixture.mix_plan(docs, cfg)
+    fert = plan.agg((F.sum("raw_tokens").cast("double") / F.sum("ref_tokens")).alias("f")).collect()[0].f
+    pieces = packing.pack_pieces(plan.withColumn("n_tokens", F.col("raw_tokens")), FIXTURE_SEQ_LEN, length="n_tokens")
+    steps = packing.assign_steps(pieces.select("seq_id").distinct(), _PC)
+    naive = packing.estimate_steps(cfg.budget_reference_tokens, cfg.max_epochs, _PC)
+    corrected = packing.estimate_steps(cfg.budget_reference_tokens, cfg.max_epochs, _PC, fertility=fert)
+    return steps.agg(F.max("step").alias("packed_steps")).select(
+        F.lit(naive).cast("long").alias("naive_steps"), F.lit(fert).alias("fertility"),
+        F.lit(corrected).cast("long").alias("corrected_steps"), "packed_steps")
+
+
+@register("cap_steps", f"""WITH {PIECES_CTE}
+SELECT DISTINCT CAST(seq_id AS BIGINT) AS seq_id FROM pieces WHERE seq_id < 10 * 64""")
+def q_cap_steps(spark, d):
+    """The sequences of the first 10 optimizer steps."""
+    seqs = fixture_pieces(spark, d).select("seq_id").distinct()
+    return packing.cap_steps(seqs, 10, _PC)

@@ -143,3 +143,22 @@ def test_averages_and_coverage(spark):
     lb = {r.model_key: r.rank for r in S.leaderboard(
         spark.createDataFrame([("m1", 0.3), ("m2", 0.5)], "model_key string, multilingual_avg double")).collect()}
     assert lb == {"m2": 1, "m1": 2}
+
+
+def test_corpus_scan_and_writers(spark):
+    from lexicount.operators import tokenizer
+    from lexicount.sources.corpus import corpus_scan
+    root = _tmp()
+    spark.createDataFrame([("a", "x y", "cat1", 2)], "`doc-id` string, text string, category string, `num-tokens` long") \
+        .write.parquet(f"{root}/eng")
+    spark.createDataFrame([("b", "z", "cat2")], "`doc-id` string, text string, category string") \
+        .write.parquet(f"{root}/nld")
+    df = corpus_scan(spark, {"eng": f"{root}/eng", "nld": f"{root}/nld"})
+    got = sorted((r.lang, r.doc_id, r.num_tokens) for r in df.collect())
+    assert got == [("eng", "a", 2), ("nld", "b", None)]
+    av = spark.createDataFrame([("eng", 10), ("nld", 5)], "lang string, available long")
+    assert json.loads(K.availability_json(av).collect()[0].json) == {"eng": 10, "nld": 5}
+    vocab, merges = tokenizer.vocab_table(spark, [(0, 104, 105, 7)])
+    K.write_vocab(vocab, merges, f"{root}/tok")
+    assert spark.read.parquet(f"{root}/tok/merges").count() == 1
+    assert spark.read.parquet(f"{root}/tok/vocab").count() == 4 + 256 + 1
