@@ -58,20 +58,19 @@ it AS (SELECT *, event_type || '_' || lang AS task,
               event_type || '_' || lang || '_p' || CAST(floor(k / 34) AS BIGINT) AS paradigm FROM items)"""
 
 
-def _score(g: DataFrame, by: list[str], name: str, alias_prefix: str | None) -> DataFrame:
-    a = g.groupBy(*by, name).agg(F.avg("correct").alias("acc"), F.count(F.lit(1)).alias("n"))
-    se = F.when(F.col("n") > 1, F.sqrt(F.col("acc") * (1 - F.col("acc")) / (F.col("n") - 1)))
-    alias = F.concat(F.lit(alias_prefix), F.col(name)) if alias_prefix else F.col(name)
-    return a.select(*by, F.col(name).alias("task"), alias.alias("alias"), "acc", se.alias("stderr"), "n")
-
-
 def score_rows(items: DataFrame, by: tuple[str, ...] = ("model_key", "revision", "file")) -> DataFrame:
-    """Group (depth 0), subtask (depth 1) and paradigm (depth 2) rows."""
-    by = list(by)
-    grp = items.withColumn("group", F.concat(F.lit("zeroshot_"), F.col("lang")))
-    return (_score(grp, by, "group", None)
-            .unionByName(_score(items, by, "task", " - "))
-            .unionByName(_score(items, by, "paradigm", "  - ")))
+    """Group (depth 0), subtask (depth 1) and paradigm (depth 2) rows in one
+    pass: each item is exploded into its three levels, then one aggregation."""
+    levels = F.array(
+        F.struct(F.concat(F.lit("zeroshot_"), F.col("lang")).alias("task"),
+                 F.concat(F.lit("zeroshot_"), F.col("lang")).alias("alias")),
+        F.struct(F.col("task").alias("task"), F.concat(F.lit(" - "), F.col("task")).alias("alias")),
+        F.struct(F.col("paradigm").alias("task"), F.concat(F.lit("  - "), F.col("paradigm")).alias("alias")))
+    x = items.select(*by, "correct", F.explode(levels).alias("lv"))
+    a = x.groupBy(*by, F.col("lv.task").alias("task"), F.col("lv.alias").alias("alias")).agg(
+        F.avg("correct").alias("acc"), F.count(F.lit(1)).alias("n"))
+    se = F.when(F.col("n") > 1, F.sqrt(F.col("acc") * (1 - F.col("acc")) / (F.col("n") - 1)))
+    return a.select(*by, "task", "alias", "acc", se.alias("stderr"), "n")
 
 
 def _se_sql(acc: str = "avg(correct)", n: str = "count(*)") -> str:

@@ -56,7 +56,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Cut lineage with a table written into the shared checkpoint folder.
+
+    The rows are computed once and written as Parquet (an RDD checkpoint of
+    an unpersisted plan would compute it twice); reading it back gives a
+    short lineage that survives executor loss, with column pruning and
+    statistics for later joins.
+    """
+    import uuid
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
