@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import scores as S
 from ..operators.prefix_sum import running_sums
 from ..sources import evals as E
+from ..session import spread
 from ..sources.corpus import table
 from .catalog import register
 
@@ -34,7 +35,7 @@ BASE_MODEL = "org__model-0"
 # ---------------------------------------------------------------------------
 
 def eval_items(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
+    e = spread(table(spark, d, "events"), "event_id")
     k = F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0))
     lang = F.element_at(F.array(*[F.lit(x) for x in LANG3]), (k % 3) + 1)
     return e.select(

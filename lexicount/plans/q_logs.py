@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import milestone_name
 from ..operators import audit, budget, mixture, packing
 from ..operators.prefix_sum import running_sums
+from ..session import spread
 from ..sinks import writers as K
 from ..sources import evals as E
 from ..sources.corpus import documents_corpus, table
@@ -28,7 +29,7 @@ TOKENS_PER_STEP = 4096
 def step_rows(spark, d) -> DataFrame:
     """Events in time order as optimizer steps: step = running count, tokens =
     floor(value), running token total (two-level prefix sums, bucketed by minute)."""
-    e = table(spark, d, "events").select("event_id", "ts", "value")
+    e = spread(table(spark, d, "events"), "event_id").select("event_id", "ts", "value")
     e = e.withColumns({"_one": F.lit(1).cast("long"), "tok": F.floor("value").cast("long")})
     # minute buckets keep each window partition small however long the log
     minute = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(60_000_000))

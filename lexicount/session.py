@@ -68,3 +68,20 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame, key: str, factor: int = 2) -> DataFrame:
+    """Give a small scan enough tasks.
+
+    A file with a single row group is read by one task however it is split,
+    so CPU-heavy text work on it would use one core. When the scan has fewer
+    partitions than ``factor`` x the cluster's parallelism, the rows are
+    hash-partitioned on ``key`` (deterministic). A large input has far more
+    partitions than cores, so this never adds a shuffle there.
+    """
+    if df.isStreaming:
+        return df
+    par = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    return df.repartition(par, key)

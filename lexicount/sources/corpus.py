@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import map_literal, whitespace_tokens
+from ..session import spread
 
 # Column names of the published corpus files -> our names.
 RENAMES = {"doc-id": "doc_id", "data-source": "data_source", "age-estimate": "age_estimate",
@@ -63,7 +64,7 @@ def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     language, there is no age estimate ('n/a'), and ``num_tokens`` is the
     whitespace token count (the published corpora define it the same way).
     """
-    return corpus_view(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return corpus_view(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id"))
 
 
 DOCUMENTS_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
