@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import MixConfig
-from ..functions.columns import WS_RUN, canonical_task, model_key, order_key, task_lang_strict
+from ..functions.columns import WS_RUN, canonical_task, model_key, task_lang_strict
 from ..operators import budget, mixture, packing
 from ..sinks import writers as K
 from ..sources.corpus import documents_corpus
@@ -167,5 +167,3 @@ def q_budget_epochs_timeline(spark, d):
     t = plan.withColumn("ref_tokens_lang_total", F.col("lang_before") + F.col("ref_tokens"))
     return budget.epochs_timeline(t, avail).select("lang", "doc_id", "epoch", "draw", "epochs_seen")
 
-
-_ = order_key  # re-exported for callers building their own shuffles

@@ -232,3 +232,17 @@ def q_cap_steps(spark, d):
     """The sequences of the first 10 optimizer steps."""
     seqs = fixture_pieces(spark, d).select("seq_id").distinct()
     return packing.cap_steps(seqs, 10, _PC)
+
+
+@register("ref_token_share", f"""WITH {PLAN_CTE},
+t AS (SELECT d.lang, c.category AS data_source, CAST(sum(d.ref_tokens) AS BIGINT) AS tokens
+      FROM docs d JOIN corpus c USING (lang, doc_id) GROUP BY ALL)
+SELECT lang, data_source, tokens,
+       round(CAST(tokens AS DOUBLE) / CAST(sum(tokens) OVER (PARTITION BY lang) AS DOUBLE), 4) AS token_share
+FROM t""")
+def q_ref_token_share(spark, d):
+    """Flagship (slice 0): byte-premium-adjusted reference tokens (P05) and
+    their share by source within each language (A01 + A03)."""
+    from ..operators import audit
+    c = budget.with_ref_tokens(documents_corpus(spark, d), FIXTURE_PREMIUM)
+    return audit.token_share(c.withColumn("num_tokens", F.col("ref_tokens")), dim="data_source")
