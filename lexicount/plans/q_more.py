@@ -86,7 +86,21 @@ def q_mix_plan_curriculum(spark, d):
                                                "position", "total_before", "draw")
 
 
-@register("mix_by_category")
+def _category_plan_sql() -> str:
+    from .q_plan import _plan_tail
+    return f"""WITH {CORPUS_CTE},
+prem AS (SELECT * FROM (VALUES {', '.join(f"('{k}', CAST('{v!r}' AS DOUBLE))" for k, v in FIXTURE_PREMIUM.items())}) v(lang, x)),
+docs AS (SELECT c.lang, c.doc_id, c.category, c.num_tokens AS raw_tokens,
+                CAST(floor(c.num_tokens / p.x) AS BIGINT) AS ref_tokens FROM corpus c JOIN prem p USING (lang)),
+cats AS (SELECT DISTINCT category FROM docs),
+wts AS (SELECT category, CAST(1.0 AS DOUBLE) / CAST((SELECT count(*) FROM cats) AS DOUBLE) AS x FROM cats),
+avail AS (SELECT category, CAST(sum(ref_tokens) AS BIGINT) AS available FROM docs GROUP BY category),
+budget AS (SELECT (sum(ref_tokens) // 2) * 2 AS cap FROM docs),
+{_plan_tail("category", 2, FIXTURE_SEED)}
+SELECT category, doc_id, epoch, ref_tokens, lang_before, total_before, draw FROM plan"""
+
+
+@register("mix_by_category", _category_plan_sql())
 def q_mix_by_category(spark, d):
     """The same planner keyed by category - every source of the corpus
     reweighted to an equal token share, budget = half the corpus, 2 epochs."""

@@ -45,29 +45,35 @@ def _values(m: dict, name: str) -> str:
     return f"{name} AS (SELECT * FROM (VALUES {rows}) v(lang, x))"
 
 
+def _plan_tail(key: str, max_epochs: int, seed: int) -> str:
+    """The static-weight plan in SQL over ``docs``, ``wts(key, x)``,
+    ``avail(key, available)`` and ``budget(cap)``: position = key_before / weight."""
+    return f"""rep AS (SELECT d.*, e.epoch,
+               md5(concat_ws('|', '{seed}', CAST(e.epoch AS VARCHAR), CAST(d.doc_id AS VARCHAR))) AS order_key
+        FROM docs d CROSS JOIN (SELECT unnest(range(0, {max_epochs + 1})) AS epoch) e
+        WHERE d.{key} IN (SELECT {key} FROM wts)),
+lb AS (SELECT *, CAST(coalesce(sum(ref_tokens) OVER (PARTITION BY {key} ORDER BY epoch, order_key, doc_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lang_before FROM rep),
+pos AS (SELECT lb.*, CAST(lb.lang_before AS DOUBLE) / w.x AS position FROM lb JOIN wts w USING ({key})),
+g AS (SELECT *, CAST(coalesce(sum(ref_tokens) OVER (ORDER BY position, {key}, epoch, order_key
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS total_before,
+             CAST(row_number() OVER (ORDER BY position, {key}, epoch, order_key) - 1 AS BIGINT) AS draw FROM pos),
+capped AS (SELECT g.* FROM g, budget WHERE g.total_before < budget.cap),
+breach AS (SELECT min(draw) AS fb FROM capped JOIN avail USING ({key})
+           WHERE lang_before + ref_tokens > {max_epochs} * greatest(available, 1)),
+plan AS (SELECT capped.* FROM capped, breach WHERE breach.fb IS NULL OR capped.draw <= breach.fb)"""
+
+
 PLAN_CTE = f"""{CORPUS_CTE},
 {_values(FIXTURE_PREMIUM, 'prem')},
 {_values(W, 'wts')},
-docs AS (SELECT c.lang, c.doc_id, c.text, c.num_tokens AS raw_tokens,
+docs AS (SELECT c.lang, c.doc_id, c.category, c.num_tokens AS raw_tokens,
                 CAST(floor(c.num_tokens / p.x) AS BIGINT) AS ref_tokens
          FROM corpus c JOIN prem p USING (lang)),
 avail AS (SELECT d.lang, CAST(floor(sum(d.raw_tokens) / p.x) AS BIGINT) AS available
           FROM docs d JOIN prem p USING (lang) GROUP BY d.lang, p.x),
 budget AS (SELECT sum(available) * {FIXTURE_MAX_EPOCHS} AS cap FROM avail),
-rep AS (SELECT d.*, e.epoch,
-               md5(concat_ws('|', '{FIXTURE_SEED}', CAST(e.epoch AS VARCHAR), CAST(d.doc_id AS VARCHAR))) AS order_key
-        FROM docs d CROSS JOIN (SELECT unnest(range(0, {FIXTURE_MAX_EPOCHS + 1})) AS epoch) e
-        WHERE d.lang IN (SELECT lang FROM wts)),
-lb AS (SELECT *, CAST(coalesce(sum(ref_tokens) OVER (PARTITION BY lang ORDER BY epoch, order_key, doc_id
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lang_before FROM rep),
-pos AS (SELECT lb.*, CAST(lb.lang_before AS DOUBLE) / w.x AS position FROM lb JOIN wts w USING (lang)),
-g AS (SELECT *, CAST(coalesce(sum(ref_tokens) OVER (ORDER BY position, lang, epoch, order_key
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS total_before,
-             CAST(row_number() OVER (ORDER BY position, lang, epoch, order_key) - 1 AS BIGINT) AS draw FROM pos),
-capped AS (SELECT g.* FROM g, budget WHERE g.total_before < budget.cap),
-breach AS (SELECT min(draw) AS fb FROM capped JOIN avail USING (lang)
-           WHERE lang_before + ref_tokens > {FIXTURE_MAX_EPOCHS} * greatest(available, 1)),
-plan AS (SELECT capped.* FROM capped, breach WHERE breach.fb IS NULL OR capped.draw <= breach.fb)"""
+{_plan_tail("lang", FIXTURE_MAX_EPOCHS, FIXTURE_SEED)}"""
 
 PLAN_COLS = ["lang", "doc_id", "epoch", "order_key", "ref_tokens", "lang_before", "position",
              "total_before", "draw"]
