@@ -76,7 +76,7 @@ def fluid_segments(stages: Sequence[tuple[float, Mapping[str, float]]], total_bu
                 R = [k for k in active if k not in A]
                 CR = sum(c[k] for k in R)
                 joins = {j: (c[j] + CR / len(A)) / (w[j] + extra) for j in R}
-                now = [j for j, sj in joins.items() if sj <= S * (1 + 1e-12) + 1e-9]
+                now = [j for j, sj in joins.items() if sj <= S * (1 + 1e-12) + 1e-15 * max(1.0, total_budget)]
                 if not now:
                     break
                 A += now
@@ -139,8 +139,12 @@ def mix_plan(docs: DataFrame, cfg: MixConfig, key: str = "lang", id_col: str = "
         if k not in stats or not stats[k]["epoch_tokens"]:
             raise ValueError(f"{key}={k!r} has a positive weight but no tokens to draw")
 
-    segs, c_final = fluid_segments(pts, float(total_cap), keys=sorted(weighted))
-    segs = _merge(segs)
+    # solved for a unit budget and scaled (the water-fill is scale-invariant),
+    # so the breakpoints are the same doubles any engine gets from unit x cap
+    unit, c_unit = fluid_segments(pts, 1.0, keys=sorted(weighted))
+    T = float(total_cap)
+    segs = [Segment(x.key, x.c_lo * T, x.c_hi * T, x.t_lo * T, x.rate) for x in _merge(unit)]
+    c_final = {k: v * T for k, v in c_unit.items()}
     max_doc = max(int(stats[k]["max_doc"] or 0) for k in weighted)
     horizon = float(total_cap) + 4.0 * len(weighted) * max_doc + 1.0
 

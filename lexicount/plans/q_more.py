@@ -74,10 +74,29 @@ def q_weights_at(spark, d):
     return budget.weights_at(fr, budget.stage_table(spark, SCHEDULE))
 
 
-@register("mix_plan_curriculum")
+def _curriculum_sql() -> str:
+    from .q_plan import PLAN_CTE
+    unit, _ = mixture.fluid_segments(budget.validate_schedule(SCHEDULE), 1.0)
+    rows = ", ".join(
+        f"('{x.key}', CAST('{x.c_lo!r}' AS DOUBLE), CAST('{x.c_hi!r}' AS DOUBLE), CAST('{x.t_lo!r}' AS DOUBLE), "
+        f"CAST('{x.rate!r}' AS DOUBLE))" for x in mixture._merge(unit))
+    # the static plan's CTEs, with positions from the scaled unit segments
+    base = PLAN_CTE.split("rep AS (")[0]
+    tail = "rep AS (" + PLAN_CTE.split("rep AS (")[1]
+    tail = tail.replace("WHERE d.lang IN (SELECT lang FROM wts)", "WHERE d.lang IN (SELECT lang FROM seg)")
+    tail = tail.replace(
+        "pos AS (SELECT lb.*, CAST(lb.lang_before AS DOUBLE) / w.x AS position FROM lb JOIN wts w USING (lang)),",
+        "pos AS (SELECT lb.*, s.t_lo * (SELECT cap FROM budget) + (lb.lang_before - s.c_lo * (SELECT cap FROM budget)) / s.rate"
+        " AS position FROM lb JOIN seg s ON lb.lang = s.lang AND lb.lang_before >= s.c_lo * (SELECT cap FROM budget)"
+        " AND lb.lang_before < s.c_hi * (SELECT cap FROM budget)),")
+    return (f"WITH {base}seg AS (SELECT * FROM (VALUES {rows}) v(lang, c_lo, c_hi, t_lo, rate)),\n{tail}\n"
+            "SELECT lang, doc_id, epoch, ref_tokens, lang_before, position, total_before, draw FROM plan")
+
+
+@register("mix_plan_curriculum", _curriculum_sql())
 def q_mix_plan_curriculum(spark, d):
-    """M02 + M04 with a three-stage schedule (rows-only: the water-fill
-    positions are checked against a sequential greedy in the tests)."""
+    """M02 + M04 with a three-stage schedule: unit water-fill segments scaled
+    by the budget (also checked against a sequential greedy in the tests)."""
     docs = plan_docs(spark, d)
     base = fixture_config(docs)
     cfg = MixConfig(schedule=SCHEDULE, budget_reference_tokens=base.budget_reference_tokens,
