@@ -28,7 +28,7 @@ def pack_pieces(plan: DataFrame, seq_len: int, length: str = "n_tokens", order:
     ids+eos), piece_len, seq_pos (offset inside the sequence) + plan columns.
     """
     d = plan.filter(F.col(length) > 0).withColumn("_span", (F.col(length) + 1).cast("long"))
-    total = d.agg(F.sum("_span")).scalar()  # a plain aggregate, no window
+    total = F.coalesce(d.agg(F.sum("_span")).scalar(), F.lit(0))  # a plain aggregate, no window
     d = running_sums(d, ["_span"], order=[order], bucket=F.floor(F.col(order) / F.lit(bucket_rows)),
                      suffix="_off")
     d = d.withColumnRenamed("_span_off", "token_offset")
