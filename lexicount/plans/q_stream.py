@@ -75,7 +75,9 @@ def q_stream_log_metrics(spark, d):
 @register("stream_leakage", f"WITH {LEAK_CTE} SELECT * FROM hits")
 def q_stream_leakage(spark, d):
     probes = leakage.prepare_probes(table(spark, d, "benchmark"))
-    return R.run_to_memory(R.stream_leakage(doc_stream(spark, d), probes))
+    # the driver's documents are one row group: spread each micro-batch
+    par = 2 * spark.sparkContext.defaultParallelism
+    return R.run_to_memory(R.stream_leakage(doc_stream(spark, d), probes, spread_partitions=par))
 
 
 @register("stream_dedup_prefix", f"""WITH {CORPUS_CTE}

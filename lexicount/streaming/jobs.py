@@ -126,10 +126,16 @@ def stream_log_metrics(lines: DataFrame, log_every: int) -> DataFrame:
         F.max("ref_tokens").alias("ref_tokens"), F.count(F.lit(1)).alias("n_steps"))
 
 
-def stream_leakage(stream: DataFrame, probes: DataFrame, ngram: int = 3) -> DataFrame:
-    """Stream-static leakage screen (anchored join, static probe table)."""
+def stream_leakage(stream: DataFrame, probes: DataFrame, ngram: int = 3,
+                   spread_partitions: int | None = None) -> DataFrame:
+    """Stream-static leakage screen (anchored join, static probe table).
+
+    ``spread_partitions`` hash-partitions each micro-batch on ``doc_id`` first:
+    use it when batches come from few large row groups (one task would
+    otherwise match all text); leave it unset when batches span many files."""
     from ..operators.leakage import leakage_hits
-    return leakage_hits(stream, probes, ngram=ngram)
+    s = stream.repartition(spread_partitions, "doc_id") if spread_partitions else stream
+    return leakage_hits(s, probes, ngram=ngram)
 
 
 def stream_dedup_prefix(stream: DataFrame, n: int | None = 300, watermark: str = "1 hour",
