@@ -154,7 +154,7 @@ def finetune_docs(spark, d) -> DataFrame:
 
 FT_PART = f"""{JOBS_PART},
 ft AS (SELECT i.model_key, j.lang, j.task, avg(i.correct) AS accuracy, max(i.value) AS loss, count(*) AS samples,
-              CAST(j.dt AS DOUBLE) AS runtime, 10.0 AS epoch
+              CAST(j.dt AS DOUBLE) AS runtime, CAST(10.0 AS DOUBLE) AS epoch
        FROM items i JOIN jobs j ON i.model_key = j.model_key AND i.event_type = j.task
             AND j.lang = CASE i.lang WHEN 'eng' THEN 'en' WHEN 'nld' THEN 'nl' WHEN 'zho' THEN 'zh' END
        GROUP BY i.model_key, j.lang, j.task, j.dt)"""
