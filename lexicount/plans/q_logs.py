@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import milestone_name
 from ..operators import audit, budget, mixture, packing
+from ..operators import scores as S
 from ..operators.prefix_sum import running_sums
 from ..session import spread
 from ..sinks import writers as K
@@ -311,3 +312,44 @@ def q_audit_report(spark, d):
     maps = p.select("lang", F.explode("r.maps").alias("metric", "m")).select(
         "lang", "metric", F.explode("m").alias("key", "value"))
     return scal.select("lang", "metric", "key", "value").unionByName(maps)
+
+
+# ---------------------------------------------------------------------------
+# A16 / A17 / W07 as on the leaderboard: zero-shot subtasks + fine-tune tasks
+# ---------------------------------------------------------------------------
+
+FT_TASKS = ("click", "error", "purchase", "signup", "view")
+LB_EXPECTED = {lg: [f"{t}_{lg}" for t in FT_TASKS] + [f"ft:{t}" for t in FT_TASKS] for lg in ("eng", "nld", "zho")}
+
+
+def leaderboard_scores(spark, d) -> DataFrame:
+    """Per model at its final revision: zero-shot subtask accuracies plus the
+    fine-tune accuracies (task prefixed ``ft:``), in points (x100)."""
+    from ..functions.columns import map_literal
+    c = curve(spark, d)
+    zs = c.join(latest_revision(c), ["model_key", "revision"]).filter(F.col("indent") == 1).select(
+        "model_key", "lang", "task", (F.col("acc") * 100).alias("points"))
+    ft = E.parse_finetune(finetune_docs(spark, d), keep=("model_key",)).select(
+        "model_key", F.element_at(map_literal({"en": "eng", "nl": "nld", "zh": "zho"}, "string"),
+                                  F.col("lang")).alias("lang"),
+        F.concat(F.lit("ft:"), F.col("task")).alias("task"), (F.col("accuracy") * 100).alias("points"))
+    return zs.unionByName(ft)
+
+
+@register("leaderboard_full", f"""WITH {EVAL_CTE}, {FT_PART},
+last AS (SELECT model_key, arg_max(revision, rev_m) AS revision FROM curve GROUP BY model_key),
+sc AS (SELECT c.model_key, c.lang, c.task, c.acc * 100 AS points FROM curve c JOIN last USING (model_key, revision)
+       WHERE c.indent = 1
+       UNION ALL
+       SELECT model_key, CASE lang WHEN 'en' THEN 'eng' WHEN 'nl' THEN 'nld' WHEN 'zh' THEN 'zho' END, 'ft:' || task,
+              accuracy * 100 FROM ft),
+exp AS (SELECT * FROM (VALUES {', '.join(f"('{lg}', '{t}')" for lg, ts in LB_EXPECTED.items() for t in ts)}) v(lang, task)),
+grid AS (SELECT m.model_key, e.lang, e.task FROM (SELECT DISTINCT model_key FROM sc) m CROSS JOIN exp e),
+la AS (SELECT g.model_key, g.lang, avg(coalesce(s.points, 0.0)) AS lang_avg FROM grid g
+       LEFT JOIN sc s USING (model_key, lang, task) GROUP BY ALL),
+ma AS (SELECT model_key, sum(lang_avg) / 3.0 AS multilingual_avg, count(*) AS n_langs FROM la GROUP BY model_key)
+SELECT model_key, multilingual_avg, n_langs, CAST(rank() OVER (ORDER BY multilingual_avg DESC) AS INTEGER) AS rank FROM ma""")
+def q_leaderboard_full(spark, d):
+    sc = leaderboard_scores(spark, d).withColumnRenamed("points", "acc")
+    la = S.language_average(sc, LB_EXPECTED)
+    return S.leaderboard(S.multilingual_average(la, ("eng", "nld", "zho")))
