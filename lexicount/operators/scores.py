@@ -14,17 +14,19 @@ from pyspark.sql import functions as F
 from ..functions.columns import alias_depth, revision_to_int, task_lang
 
 
-def keep_top_tasks(scores: DataFrame, max_depth: int = 1) -> DataFrame:
+def keep_top_tasks(scores: DataFrame, max_depth: int = 1, digits: int | None = 4) -> DataFrame:
     """P07 + P08 + P09 + P14: depth <= max_depth, rows with accuracy only,
     ``is_group`` = depth 0, language from the task name, revision number,
-    accuracy/stderr rounded half-even to 4 decimals (NULL stderr -> 0)."""
+    accuracy/stderr rounded half-even to ``digits`` decimals (None keeps the
+    raw values), NULL stderr -> 0."""
     d = scores.withColumn("indent", alias_depth("alias"))
     d = d.filter(F.col("acc").isNotNull() & (F.col("indent") <= max_depth))
+    r = (lambda c: F.bround(c, digits)) if digits is not None else (lambda c: c)
     return d.select(
         *[c for c in ("model", "model_key") if c in scores.columns],
         "revision", revision_to_int("revision").alias("rev_m"), F.ltrim("task").alias("task"),
         task_lang(F.col("task")).alias("lang"), "indent", (F.col("indent") == 0).alias("is_group"),
-        F.bround("acc", 4).alias("acc"), F.bround(F.coalesce("stderr", F.lit(0.0)), 4).alias("stderr"))
+        r(F.col("acc")).alias("acc"), r(F.coalesce("stderr", F.lit(0.0))).alias("stderr"))
 
 
 def order_curve(curve: DataFrame) -> DataFrame:

@@ -8,13 +8,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CURVE_COLUMNS = ("revision", "rev_m", "task", "lang", "indent", "is_group", "acc", "stderr")
+CURVE_COLUMNS = ("revision", "rev_M", "task", "lang", "indent", "is_group", "acc", "stderr")
+
+
+def plain_float(c: Column | str) -> Column:
+    """Decimal text of a value with at most 4 decimals, as Python prints it
+    (0.5 -> '0.5', 0.0005 -> '0.0005', never scientific notation)."""
+    s = F.format_string("%.4f", F.col(c) if isinstance(c, str) else c)
+    return F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", ".0")
 
 
 def write_curve(curve: DataFrame, out: str, columns: Sequence[str] = CURVE_COLUMNS) -> None:
-    """Tidy CSV, header, fixed column order, ordered rows in one file.
-    With no rows the file is created empty (no header)."""
-    ordered = curve.orderBy("rev_m", F.coalesce("lang", F.lit("")), "task").select(*columns)
+    """Tidy CSV in the published layout (header, column order, ``True`` /
+    ``False``, plain decimals), ordered rows in one file (the curve is small:
+    revisions x tasks). With no rows the file is created empty (no header)."""
+    text = curve.select(
+        "revision", F.col("rev_m").cast("string").alias("rev_M"), "task", "lang", "indent",
+        F.when(F.col("is_group"), F.lit("True")).otherwise(F.lit("False")).alias("is_group"),
+        plain_float("acc").alias("acc"), plain_float("stderr").alias("stderr"), F.col("rev_m").alias("_order"))
+    ordered = text.orderBy("_order", F.coalesce("lang", F.lit("")), "task").select(*columns)
     if ordered.limit(1).count() == 0:
         ordered.coalesce(1).write.mode("overwrite").option("header", False).csv(out)
         return

@@ -45,7 +45,8 @@ def test_eval_results_latest_wins_and_top_tasks(spark):
     out = f"{_tmp()}/curve"
     K.write_curve(curve.withColumn("model_key", F.lit("m")), out)
     txt = open([os.path.join(out, f) for f in os.listdir(out) if f.endswith(".csv")][0]).read()
-    assert txt.splitlines()[0] == "revision,rev_m,task,lang,indent,is_group,acc,stderr"
+    assert txt.splitlines()[0] == "revision,rev_M,task,lang,indent,is_group,acc,stderr"
+    assert "chck_2M,2,blimp_eng,eng,1,False,0.6,0.0" in txt.splitlines()
     empty = f"{_tmp()}/empty"
     K.write_curve(curve.filter("false"), empty)
     files = [f for f in os.listdir(empty) if f.endswith(".csv")]
