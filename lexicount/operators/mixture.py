@@ -148,10 +148,13 @@ def mix_plan(docs: DataFrame, cfg: MixConfig, key: str = "lang", id_col: str = "
     max_doc = max(int(stats[k]["max_doc"] or 0) for k in weighted)
     horizon = float(total_cap) + 4.0 * len(weighted) * max_doc + 1.0
 
+    # consumption a key can reach inside the horizon: fluid value + margin
+    margin = (4 * len(weighted) + 1) * max_doc
+    reach = {k: c_final.get(k, 0.0) + margin for k in weighted}
     epochs = {}
     for k in weighted:
         e = stats[k]["epoch_tokens"]
-        epochs[k] = int(min(cfg.max_epochs + 1, math.floor(c_final.get(k, 0.0) / e) + 2))
+        epochs[k] = int(min(cfg.max_epochs + 1, math.floor(reach[k] / e) + 1))
     caps = {k: int(cfg.max_epochs * max(1, int(available.get(k, 0)))) for k in weighted}
 
     d = base.filter(F.col(key).isin(weighted_keys))
@@ -159,9 +162,11 @@ def mix_plan(docs: DataFrame, cfg: MixConfig, key: str = "lang", id_col: str = "
         F.lit(0), F.element_at(map_literal(epochs, "int"), F.col(key)) - 1)))
     d = d.withColumn("order_key", order_key(cfg.seed, "epoch", id_col))
     nb = 16 ** hex_buckets
+    # buckets that start beyond the reachable consumption are dropped before
+    # the window sort (a small budget over a huge corpus sorts only a prefix)
     d = running_sums(d, ["ref_tokens"], order=["epoch", "order_key", id_col],
                      bucket=F.col("epoch") * nb + key_bucket("order_key", hex_buckets),
-                     partition=[key], suffix="_lang_before")
+                     partition=[key], suffix="_lang_before", keep_until=reach)
     d = d.withColumnRenamed("ref_tokens_lang_before", "lang_before")
 
     seg_df = spark.createDataFrame(

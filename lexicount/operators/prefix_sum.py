@@ -11,40 +11,49 @@ again.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import map_literal
+
 
 def running_sums(df: DataFrame, values: Sequence[str], order: Sequence[str | Column],
                  bucket: str | Column, partition: Sequence[str] = (),
-                 suffix: str = "_before", inclusive: bool = False) -> DataFrame:
+                 suffix: str = "_before", inclusive: bool = False,
+                 keep_until: Mapping[str, float] | None = None) -> DataFrame:
     """Add ``<value><suffix>`` = sum of ``value`` over all earlier rows
     (``inclusive`` adds the current row) in ``order`` within ``partition``.
 
     ``order`` must be a total order (end with a unique key) for a
-    deterministic result.
+    deterministic result. ``keep_until`` (one partition column, first value)
+    drops every bucket whose offset already exceeds the limit of its
+    partition key *before* the window sorts anything - a prefix of a huge
+    input costs only the bucket totals.
     """
     part = list(partition)
     b = "_ps_bucket"
     d = df.withColumn(b, bucket if isinstance(bucket, Column) else F.col(bucket))
-    w_local = (Window.partitionBy(*part, b).orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local_cols = {f"_ps_loc_{v}": F.sum(F.col(v)).over(w_local) for v in values}
-    # bucket totals straight from the input (partial aggregation, so only one
-    # row per (map task, bucket) is shuffled; the window is not recomputed)
+    # bucket totals straight from the input (partial aggregation: one row per
+    # (map task, bucket) is shuffled), running sum over the small table
     totals = d.groupBy(*part, b).agg(*[F.sum(F.col(v)).alias(f"_ps_tot_{v}") for v in values])
-    d = d.withColumns(local_cols)
     w_b = Window.partitionBy(*part).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *part, b,
         *[F.coalesce(F.sum(f"_ps_tot_{v}").over(w_b), F.lit(0)).alias(f"_ps_off_{v}") for v in values])
-
-    out = d.join(offsets, on=[*part, b], how="inner")
+    if keep_until is not None:
+        if len(part) != 1:
+            raise ValueError("keep_until needs exactly one partition column")
+        lim = F.element_at(map_literal({k: float(v) for k, v in keep_until.items()}, "double"), F.col(part[0]))
+        offsets = offsets.filter(F.col(f"_ps_off_{values[0]}") <= lim)
+    # offsets: one row per bucket; AQE broadcasts it at run time when small
+    d = d.join(offsets, on=[*part, b], how="inner")
+    w_local = (Window.partitionBy(*part, b).orderBy(*order)
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     outs = {}
     for v in values:
-        inc = F.col(f"_ps_off_{v}") + F.col(f"_ps_loc_{v}")
+        inc = F.col(f"_ps_off_{v}") + F.sum(F.col(v)).over(w_local)
         outs[f"{v}{suffix}"] = inc if inclusive else inc - F.col(v)
-    out = out.withColumns(outs)
-    return out.drop(b, *[f"_ps_loc_{v}" for v in values], *[f"_ps_off_{v}" for v in values])
+    d = d.withColumns(outs)
+    return d.drop(b, *[f"_ps_off_{v}" for v in values])
