@@ -261,8 +261,7 @@ SELECT task, 'missing' AS drift FROM (SELECT task FROM exp EXCEPT ALL SELECT tas
 UNION ALL
 SELECT task, 'unexpected' AS drift FROM (SELECT task FROM act EXCEPT ALL SELECT task FROM exp)""")
 def q_task_drift(spark, d):
-    spark_ = spark
-    exp = spark_.createDataFrame([(t,) for ts in EXPECTED.values() for t in ts], "task string").distinct()
+    exp = spark.createDataFrame([(t,) for ts in EXPECTED.values() for t in ts], "task string").distinct()
     act = curve(spark, d).filter(F.col("indent") == 1).select("task").distinct()
     return S.task_drift(exp, act)
 
