@@ -27,7 +27,18 @@ def q_tokenizer_sample(spark, d):
     return sample(spark, d).select("lang", "doc_id", "n_chars", "n_chars_before")
 
 
-@register("pretoken_counts")
+# RE2 has no lookahead: the sentinel U+E000 is put before the last whitespace
+# of every run that precedes a non-space, which splits runs exactly where the
+# pattern's "\s+(?!\S)" alternative does; the sentinel tokens are dropped.
+PRETOKEN_SQL = r"""WITH d AS (
+  SELECT regexp_replace(text, '(\s+)(\s)(\S)', '\1' || chr(57344) || '\2\3', 'g') AS t
+  FROM documents WHERE coalesce(text, '') <> ''),
+p AS (SELECT unnest(regexp_extract_all(t,
+        '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+')) AS pretoken FROM d)
+SELECT pretoken, count(*) AS count FROM p WHERE pretoken <> chr(57344) GROUP BY pretoken"""
+
+
+@register("pretoken_counts", PRETOKEN_SQL)
 def q_pretoken_counts(spark, d):
     return tokenizer.pretoken_counts(documents_corpus(spark, d))
 
