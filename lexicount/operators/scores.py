@@ -43,10 +43,14 @@ def revision_curve(curve: DataFrame, langs: Sequence[str] = ("eng", "nld", "zho"
     return p.na.fill(0.0, subset=list(langs))
 
 
-def group_accuracy(subtasks: DataFrame, by: Sequence[str] = ("model_key", "revision", "group")) -> DataFrame:
-    """Size-weighted group accuracy Σ acc·n / Σ n (and the simple mean)."""
+def group_accuracy(subtasks: DataFrame, by: Sequence[str] = ("model_key", "revision", "group"),
+                   correct: str | None = None) -> DataFrame:
+    """Size-weighted group accuracy Σ acc·n / Σ n (and the simple mean).
+    With a ``correct`` count column the weighted value is Σ correct / Σ n,
+    exact integer sums and one division."""
+    num = F.sum(correct).cast("double") if correct else F.sum(F.col("acc") * F.col("n"))
     return subtasks.groupBy(*by).agg(
-        (F.sum(F.col("acc") * F.col("n")) / F.sum("n")).alias("weighted_acc"),
+        (num / F.sum("n")).alias("weighted_acc"),
         F.avg("acc").alias("simple_mean"), F.sum("n").alias("n"))
 
 

@@ -159,16 +159,16 @@ def q_revision_pivot(spark, d):
 # ---------------------------------------------------------------------------
 
 @register("group_accuracy", f"""WITH {ITEMS_CTE},
-sub AS (SELECT model_key, revision, 'zeroshot_' || lang AS "group", task, avg(correct) AS acc, count(*) AS n
-        FROM it GROUP BY ALL)
-SELECT model_key, revision, "group", sum(acc * n) / sum(n) AS weighted_acc, avg(acc) AS simple_mean,
+sub AS (SELECT model_key, revision, 'zeroshot_' || lang AS "group", task, avg(correct) AS acc, count(*) AS n,
+               sum(correct) AS k FROM it GROUP BY ALL)
+SELECT model_key, revision, "group", CAST(sum(k) AS DOUBLE) / sum(n) AS weighted_acc, avg(acc) AS simple_mean,
        CAST(sum(n) AS BIGINT) AS n FROM sub GROUP BY ALL""")
 def q_group_accuracy(spark, d):
     it = eval_items(spark, d)
     sub = it.groupBy("model_key", "revision", "lang", "task").agg(
-        F.avg("correct").alias("acc"), F.count(F.lit(1)).alias("n"))
+        F.avg("correct").alias("acc"), F.count(F.lit(1)).alias("n"), F.sum("correct").alias("k"))
     sub = sub.withColumn("group", F.concat(F.lit("zeroshot_"), F.col("lang")))
-    return S.group_accuracy(sub)
+    return S.group_accuracy(sub, correct="k")
 
 
 @register("zero_shot_average", f"""WITH {EVAL_CTE}
