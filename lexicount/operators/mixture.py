@@ -24,7 +24,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFICIT_TIE_TOLERANCE, MixConfig
@@ -112,10 +112,10 @@ def mix_plan(docs: DataFrame, cfg: MixConfig, key: str = "lang", id_col: str = "
     """M03 + M04 + M05: the ordered, capped draw sequence.
 
     ``docs`` has ``(key, id_col, ref_tokens, raw_tokens)`` (after the category
-    filter); ``carry`` names extra columns to keep. ``available`` defaults to A12 on the same rows (floor of Σ raw
-    / premium). Returns one row per draw: key, id, epoch, order_key,
-    ref_tokens, ``lang_before`` (same key, earlier draws), ``position``,
-    ``total_before`` and ``draw`` (0-based draw index).
+    filter); ``carry`` names extra columns to keep. ``available`` defaults to
+    A12 on the same rows (floor of Σ raw / premium). Returns one row per draw:
+    key, id, epoch, order_key, ref_tokens, ``lang_before`` (same key, earlier
+    draws), ``position``, ``total_before`` and ``draw`` (0-based draw index).
     """
     spark = docs.sparkSession
     stages = list(cfg.schedule) if cfg.schedule else [(0.0, cfg.weights)]
@@ -124,7 +124,7 @@ def mix_plan(docs: DataFrame, cfg: MixConfig, key: str = "lang", id_col: str = "
 
     # Only the columns the plan needs travel on (no text); persisted because
     # the per-key statistics and the plan both read it.
-    weighted_keys = sorted({k for _, w in pts for k in w})
+    weighted = {k for _, w in pts for k in w}
     base = docs.select(key, id_col, "ref_tokens", "raw_tokens", *carry).persist(StorageLevel.MEMORY_AND_DISK)
     # One small aggregate per key: epoch size, raw total, largest document.
     stats = {r[key]: r for r in base.groupBy(key).agg(
@@ -134,7 +134,6 @@ def mix_plan(docs: DataFrame, cfg: MixConfig, key: str = "lang", id_col: str = "
     if available is None:
         available = {k: int(math.floor(r["raw"] / cfg.premium[k])) if k in cfg.premium else int(r["epoch_tokens"])
                      for k, r in stats.items()}
-    weighted = {k for _, w in pts for k in w}
     for k in weighted:
         if k not in stats or not stats[k]["epoch_tokens"]:
             raise ValueError(f"{key}={k!r} has a positive weight but no tokens to draw")
@@ -157,7 +156,7 @@ def mix_plan(docs: DataFrame, cfg: MixConfig, key: str = "lang", id_col: str = "
         epochs[k] = int(min(cfg.max_epochs + 1, math.floor(reach[k] / e) + 1))
     caps = {k: int(cfg.max_epochs * max(1, int(available.get(k, 0)))) for k in weighted}
 
-    d = base.filter(F.col(key).isin(weighted_keys))
+    d = base.filter(F.col(key).isin(sorted(weighted)))
     d = d.withColumn("epoch", F.explode(F.sequence(
         F.lit(0), F.element_at(map_literal(epochs, "int"), F.col(key)) - 1)))
     d = d.withColumn("order_key", order_key(cfg.seed, "epoch", id_col))
@@ -214,8 +213,7 @@ def share_report(plan: DataFrame, weights: Mapping[str, float], key: str = "lang
     w = normalize(weights)
     agg = plan.groupBy(key).agg(F.sum("ref_tokens").cast("long").alias("tokens"),
                                 F.count(F.lit(1)).alias("docs"))
-    from pyspark.sql import Window
-    tot = Window.partitionBy()
+    tot = Window.partitionBy()  # over the aggregated table: one row per key
     return agg.select(
         key, "tokens", "docs",
         (F.col("tokens") / F.sum("tokens").over(tot)).alias("token_share"),
