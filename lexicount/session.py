@@ -81,7 +81,9 @@ def spread(df: DataFrame, key: str, factor: int = 2) -> DataFrame:
     """
     if df.isStreaming:
         return df
-    par = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() >= par:
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism * factor
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: no RDD view
         return df
-    return df.repartition(par, key)
+    return df if n >= par else df.repartition(par, key)
