@@ -106,8 +106,8 @@ def _merge(segs: list[Segment]) -> list[Segment]:
 
 
 def mix_plan(docs: DataFrame, cfg: MixConfig, key: str = "lang", id_col: str = "doc_id",
-             available: Mapping[str, int] | None = None, hex_buckets: int = 3,
-             position_buckets: int = 4096, checkpoint: bool = True,
+             available: Mapping[str, int] | None = None, hex_buckets: int | None = None,
+             position_buckets: int | None = None, checkpoint: bool = True,
              carry: tuple[str, ...] = ()) -> DataFrame:
     """M03 + M04 + M05: the ordered, capped draw sequence.
 
@@ -130,7 +130,8 @@ def mix_plan(docs: DataFrame, cfg: MixConfig, key: str = "lang", id_col: str = "
     stats = {r[key]: r for r in base.groupBy(key).agg(
         F.sum("ref_tokens").cast("long").alias("epoch_tokens"),
         F.sum(F.coalesce(F.col("raw_tokens"), F.lit(0))).cast("long").alias("raw"),
-        F.max("ref_tokens").cast("long").alias("max_doc")).collect()}
+        F.max("ref_tokens").cast("long").alias("max_doc"),
+        F.count(F.lit(1)).alias("n_docs")).collect()}
     if available is None:
         available = {k: int(math.floor(r["raw"] / cfg.premium[k])) if k in cfg.premium else int(r["epoch_tokens"])
                      for k, r in stats.items()}
@@ -156,6 +157,14 @@ def mix_plan(docs: DataFrame, cfg: MixConfig, key: str = "lang", id_col: str = "
         epochs[k] = int(min(cfg.max_epochs + 1, math.floor(reach[k] / e) + 1))
     caps = {k: int(cfg.max_epochs * max(1, int(available.get(k, 0)))) for k in weighted}
 
+    # bucket counts follow the data: about 4k+ rows per bucket, 16..65536 buckets
+    n_max = max(int(stats[k]["n_docs"]) for k in weighted)
+    if hex_buckets is None:
+        hex_buckets = min(4, max(1, math.ceil(math.log(max(n_max, 1) / 4096, 16)) if n_max > 4096 else 1))
+    if position_buckets is None:
+        rows = sum(int(stats[k]["n_docs"]) * epochs[k] for k in weighted)
+        position_buckets = int(min(65536, max(16, rows // 4096)))
+
     d = base.filter(F.col(key).isin(sorted(weighted)))
     d = d.withColumn("epoch", F.explode(F.sequence(
         F.lit(0), F.element_at(map_literal(epochs, "int"), F.col(key)) - 1)))
