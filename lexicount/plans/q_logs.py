@@ -40,8 +40,10 @@ def step_rows(spark, d) -> DataFrame:
 
 def train_log_lines(spark, d) -> DataFrame:
     s = step_rows(spark, d)
-    total = s.agg(F.count(F.lit(1))).scalar()
-    total_tok = s.agg(F.sum("tok")).scalar()
+    # totals from the raw events: plain aggregates, no second prefix-sum pass
+    ev = table(spark, d, "events")
+    total = ev.agg(F.count(F.lit(1))).scalar()
+    total_tok = ev.agg(F.sum(F.floor("value").cast("long"))).scalar()
     step_line = F.concat(
         F.lit("[step "), F.lpad(F.col("step").cast("string"), 6, " "), F.lit("/"), total.cast("string"),
         F.lit("] loss="), F.col("value").cast("string"),
