@@ -58,3 +58,26 @@ def test_unknown_whitelisted_category_raises(spark):
     with pytest.raises(Exception):
         budget.available_from_cards(E.card_totals(cards), E.card_categories(cards), BYTE_PREMIUM,
                                     {"eng": ["no-such-category"]}).collect()
+
+
+# The per-group totals printed on the same dataset cards.
+GROUPS = {
+    "eng": {"Transcription": 36_814_704, "Education": 0, "Books, Wiki, News": 41_357_314,
+            "Subtitles": 0, "Padding": 20_706_303},
+    "nld": {"Transcription": 3_304_756, "Education": 19_146_045, "Books, Wiki, News": 17_428_015,
+            "Subtitles": 971_334, "Padding": 69_035_414},
+    "zho": {"Transcription": 17_040_031, "Education": 13_465_351, "Books, Wiki, News": 16_001_663,
+            "Subtitles": 91_328_001, "Padding": 0},
+}
+
+
+def test_register_rollup_matches_published_groups(spark):
+    from lexicount.operators import audit
+    rows = [(lang, cat, n) for lang, (_, cats) in CARDS.items() for cat, n in cats.items()]
+    df = spark.createDataFrame(rows, "lang string, category string, num_tokens long")
+    got = {}
+    for r in audit.register_rollup(df).collect():
+        got.setdefault(r.lang, {})[r.register_group] = r.tokens
+    for lang, groups in GROUPS.items():
+        assert {g: got[lang][g] for g in groups} == groups
+        assert got[lang]["Other"] == 0  # every published category has a group
