@@ -81,3 +81,68 @@ def test_register_rollup_matches_published_groups(spark):
     for lang, groups in GROUPS.items():
         assert {g: got[lang][g] for g in groups} == groups
         assert got[lang]["Other"] == 0  # every published category has a group
+
+
+# The third run's submitted scores (one zero-shot task renamed).
+SUBMISSION = {
+    "blimp_filtered": {"blimp_filtered": 0.6243006263048017},
+    "hellaswag_en_mubench": {"hellaswag_en_mubench": 0.26437417072091995},
+    "multiblimp_eng": {"multiblimp_eng": 0.8090909090909091},
+    "winogrande_en_mubench": {"winogrande_en_mubench": 0.49381698268755153},
+    "xstorycloze_en_mubench": {"xstorycloze_en_mubench": 0.49303405572755415},
+    "blimp_nl": {"blimp_nl": 0.7326666666666667},
+    "hellaswag_nl_mubench": {"hellaswag_nl_mubench": 0.26437417072091995},
+    "multiblimp_nld": {"multiblimp_nld": 0.8953238953238953},
+    "winogrande_nl_mubench": {"winogrande_nl_mubench": 0.4830997526793075},
+    "xcomps_nl": {"xcomps_nl": 0.5178173719376392},
+    "xstorycloze_nl_mubench": {"xstorycloze_nl_mubench": 0.4791021671826625},
+    "hellaswag_zh_mubench": {"hellaswag_zh_mubench": 0.26393188854489164},
+    "winogrande_zh_mubench": {"winogrande_zh_mubench": 0.5045342126957956},
+    "xcomps_zh": {"xcomps_zh": 0.5260996659242761},
+    "xstorycloze_zh_mubench": {"xstorycloze_zh_mubench": 0.47523219814241485},
+    "zhoblimp": {"zhoblimp": 0.6493220338983051},
+    "arc": {"en": 0.234375, "nl": 0.2388392835855484, "zh": 0.25},
+    "belebele": {"en": 0.203125, "nl": 0.203125, "zh": 0.2265625},
+    "bmlama": {"en": 0.1362847238779068, "nl": 0.1380208283662796, "zh": 0.1137152761220932},
+    "mnli": {"en": 0.4722222089767456, "nl": 0.4704861044883728, "zh": 0.5063657164573669},
+    "sib200": {"en": 0.6041666865348816, "nl": 0.6614583134651184, "zh": 0.7239583134651184},
+    "truthfulqa": {"en": 0.25, "nl": 0.25, "zh": 0.171875},
+    "xnli": {"en": 0.4702621102333069, "zh": 0.45766130089759827},
+    "include": {"nl": 0.359375, "zh": 0.25},
+}
+# Zero-shot tasks scored per language.
+ZERO_SHOT = {
+    "eng": ["blimp_filtered", "multiblimp_eng", "winogrande_en_mubench", "xstorycloze_en_mubench",
+            "hellaswag_en_mubench"],
+    "nld": ["blimp_nl", "multiblimp_nld", "winogrande_nl_mubench", "xcomps_nl", "hellaswag_nl_mubench",
+            "xstorycloze_nl_mubench"],
+    "zho": ["zhoblimp", "winogrande_zh_mubench", "xcomps_zh", "hellaswag_zh_mubench", "xstorycloze_zh_mubench"],
+}
+
+
+def test_leaderboard_averages_match_published(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from lexicount.config import EXPECTED_FINETUNE, LANG_3_TO_2
+    from lexicount.functions.columns import map_literal
+    from lexicount.operators import scores as S
+    from lexicount.sinks import writers as K
+
+    rows = K.read_submission(spark.createDataFrame([("v3", json.dumps(SUBMISSION))], "model_key string, json string"))
+    zs_lang = {t: lg for lg, ts in ZERO_SHOT.items() for t in ts}
+    to3 = {v: k for k, v in LANG_3_TO_2.items()}
+    is_zs = F.col("key") == F.col("task")
+    sc = rows.select(
+        "model_key",
+        F.when(is_zs, F.element_at(map_literal(zs_lang, "string"), F.col("task")))
+         .otherwise(F.element_at(map_literal(to3, "string"), F.col("key"))).alias("lang"),
+        F.when(is_zs, F.col("task")).otherwise(F.concat(F.lit("ft:"), F.col("task"))).alias("task"),
+        (F.col("acc") * 100).alias("acc"))
+    expected = {lg: ZERO_SHOT[lg] + [f"ft:{t}" for t in EXPECTED_FINETUNE[LANG_3_TO_2[lg]]] for lg in ZERO_SHOT}
+    la = S.language_average(sc, expected)
+    got = {r.lang: (round(r.lang_avg, 3), r.n_expected) for r in la.collect()}
+    assert got == {"eng": (42.125, 12), "nld": (43.798, 13), "zho": (39.379, 13)}
+    ma = S.multilingual_average(la, ["eng", "nld", "zho"]).collect()[0]
+    assert round(ma.multilingual_avg, 3) == 41.767
