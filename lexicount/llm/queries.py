@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact
+from . import exact, mixing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,41 @@ WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)"""
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = mixing.mixed(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES["op9_mixing"] = op9_mixing
+ORACLE["op9_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+           FROM documents),
+z AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight,
+             2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM z),
+l AS (SELECT *, row_number() OVER o AS i,
+             (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST
+                                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST
+                                 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+      FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
+t AS (SELECT source, source_size, coalesce(least(cap, weight * (SELECT min_by(level, i) FROM l WHERE level * weight < cap)),
+                                           cap) AS target FROM l),
+c AS (SELECT *, sum(target) OVER () AS total,
+             sum(target) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) AS upto FROM t),
+r AS (SELECT source, total, CAST(greatest(1, ceil(total / 131072)) AS BIGINT) AS words,
+             CAST(floor((upto - target) / total * 4294967296) AS BIGINT) AS lo,
+             CASE WHEN upto >= total THEN 4294967296 ELSE CAST(floor(upto / total * 4294967296) AS BIGINT) END AS hi
+      FROM c WHERE total > 0),
+n AS (SELECT r.source, any_value(words) * count(*) AS words
+      FROM range(131072) s(i) JOIN r ON (s.i * 2654435769) % 4294967296 >= lo AND (s.i * 2654435769) % 4294967296 < hi
+                                    AND s.i < ceil(total / words)
+      GROUP BY r.source),
+p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, size
+                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
+SELECT p.doc_id, p.size, t.source_size, t.target,
+       CAST(greatest(0, least(p.size, coalesce(n.words, 0) - p.before))
+            + greatest(0, least(p.size, coalesce(n.words, 0) - t.source_size - p.before)) AS BIGINT) AS taken
+FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN n ON p.source IS NOT DISTINCT FROM n.source"""
