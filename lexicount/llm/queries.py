@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing
+from . import exact, mixing, pieces
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,10 @@ SELECT p.doc_id, p.size, t.source_size, t.target,
        CAST(greatest(0, least(p.size, coalesce(n.words, 0) - p.before))
             + greatest(0, least(p.size, coalesce(n.words, 0) - t.source_size - p.before)) AS BIGINT) AS taken
 FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN n ON p.source IS NOT DISTINCT FROM n.source"""
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.load_vocabulary(pieces.MODEL_PATH))
+
+
+QUERIES["op8_sentencepiece"] = op8_sentencepiece
