@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -234,7 +235,7 @@ def decode_ids(voc: Vocabulary, ids: np.ndarray) -> str:
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
     begin = total = 0
     for i, n in enumerate(sizes):
         if total and total + n > SLICE_BYTES:
