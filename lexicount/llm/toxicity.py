@@ -68,7 +68,7 @@ def score_text(text: str | None, per_bucket: np.ndarray, bias: float) -> float:
     return float(1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))))
 
 
-def train(texts: list[str], y: np.ndarray, weight: np.ndarray, rounds: int = 70, step: float = 100.0,
+def train(texts: list[str], y: np.ndarray, weight: np.ndarray, rounds: int = 70, step: float = 1.8,
           decay: float = 0.002, seed: int = 7) -> ToxicityModel:
     """Joint full-batch descent on embeddings and softmax; distinct words are embedded once per round.
 
@@ -120,7 +120,7 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, rounds: int = 70,
         grads = (np.outer(g_bucket, diff), np.stack([-g_diff, g_diff], axis=1),
                  np.array([-g_win.sum(), g_win.sum()], dtype=np.float32))
         loss = float(-(weight * np.log(np.where(y == 1, p, 1 - p) + 1e-12)).sum())
-        size = step * (1 - it / rounds) * min(1.0, 0.1 + 2 * loss)
+        size = step * np.sqrt(len(y)) * (1 - it / rounds) * min(1.0, 0.1 + 2 * loss)
         for a, g, v, s in zip((emb, top, bias), grads, speed, (1.0, 0.02, 0.05), strict=True):
             v *= 0.8
             v += 0.2 * g / (np.sqrt((g * g).sum()) + 1e-12)
