@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, minhash, mixing, pieces, quality, toxicity
+from . import chat, exact, minhash, mixing, pieces, quality, toxicity, vectors
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,26 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, t0 NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(3 + sum(chars) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id"""
+
+
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op7_vectors"] = op7_vectors
+ORACLE["op7_vectors"] = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0
+    AND len(list_filter(embedding, lambda z: z <> 0)) > 0),
+n AS (SELECT *, sqrt(list_dot_product(x, x)) AS norm FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id < b.vec_id
+      WHERE list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.93),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(node, other) AS (SELECT a, b FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a),
+m AS (SELECT node, least(node, min(other)) AS component_id FROM r GROUP BY node),
+c AS (SELECT a AS node, count(*) AS n_links FROM e GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(m.component_id, vec_id) AS component_id,
+       coalesce(m.component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN m ON m.node = vec_id LEFT JOIN c ON c.node = vec_id"""
