@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, minhash, mixing, pieces, quality, toxicity, vectors
+from . import chat, exact, langid, minhash, mixing, pieces, quality, toxicity, vectors
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,10 @@ c AS (SELECT a AS node, count(*) AS n_links FROM e GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(m.component_id, vec_id) AS component_id,
        coalesce(m.component_id, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN m ON m.node = vec_id LEFT JOIN c ON c.node = vec_id"""
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_language"] = op10_language
