@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, langid, minhash, mixing, pieces, quality, toxicity, vectors
+from . import chat, exact, langid, minhash, mixing, pieces, quality, suffix, toxicity, vectors
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_language"] = op10_language
+
+
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_suffix"] = op4_suffix
