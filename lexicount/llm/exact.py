@@ -123,5 +123,4 @@ def exact_groups(docs: DataFrame, digest_bytes: int = 32, max_files_per_trigger:
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that stay, with all their columns; repeated rows of one id become one."""
     ids = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return (docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-            .dropDuplicates(["doc_id"]))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi").dropDuplicates(["doc_id"])

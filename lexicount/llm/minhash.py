@@ -32,16 +32,19 @@ class Params:
     """shingle words; bands x rows minima; threshold as similarity >= num / den.
 
     A pair at similarity s shares no band with probability (1 - s^rows)^bands:
-    5e-8 at 0.8. ``margin`` standard deviations of the signature estimate are
-    allowed below the threshold before a pair is dropped unconfirmed.
+    5e-6 at 0.8, 6e-9 at 0.85. ``margin`` standard deviations of the signature
+    estimate are allowed below the threshold before a pair is dropped
+    unconfirmed (chance 1e-10 at 0.8). ``growth`` is by how much the number of
+    elected members of a band that is still open grows from round to round.
     """
 
     shingle: int = 5
-    bands: int = 32
-    rows: int = 4
+    bands: int = 40
+    rows: int = 6
     num: int = 80
     den: int = 100
-    margin: float = 8.0
+    margin: float = 6.5
+    growth: int = 64
 
     @property
     def least_matches(self) -> int:
@@ -154,6 +157,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _elected(open_rows: DataFrame, salts: int) -> DataFrame:
+    """bucket, hub, hub_label: up to ``salts`` members of each bucket, the heaviest of each salt."""
+    best = F.max(F.struct("weight", (-F.col("id")).alias("minus"), "label"))
+    return cut(open_rows.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).agg(best.alias("h"))
+               .select("bucket", (-F.col("h.minus")).alias("hub"), F.col("h.label").alias("hub_label")), "minhash-hubs")
+
+
 def near_groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
@@ -173,12 +183,16 @@ def near_groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
     rep_sig = cut(known.join(reps, "seq").filter("doc_id = rep").dropDuplicates(["seq"])
                   .select(F.col("rep").alias("id"), "sig", "bucket"), "minhash-reps")
     band = rep_sig.select(F.explode("bucket").alias("bucket"), "id").distinct()
-    shared = band.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last")
-    shared = cut(shared.select("bucket", "hub"), "minhash-shared")
-    open_rows = cut(band.join(shared.select("bucket"), "bucket").withColumn("label", F.col("id")), "minhash-open")
-    hubs = shared.select("bucket", "hub", F.col("hub").alias("hub_label"))
+    shared = band.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n"))
+    shared = cut(shared.filter("lo < hi").select("bucket", "n"), "minhash-shared")
+    first = cut(band.join(shared, "bucket").select("bucket", "id", "n"), "minhash-open")
+    # members of the fullest bands are nearest to the middle of their group: they are elected first
+    weight = cut(first.groupBy("id").agg(F.sum("n").alias("weight")), "minhash-weights")
+    open_rows = cut(first.select("bucket", "id").join(weight, "id")
+                    .select("bucket", "id", "weight", F.col("id").alias("label")), "minhash-open")
+    hubs = _elected(open_rows, 1)
     sig = rep_sig.select("id", "sig")
-    cand_ids = open_rows.select(F.col("id").alias("cand")).distinct()
+    cand_ids = weight.select(F.col("id").alias("cand"))
     texts = cut(docs.join(cand_ids, F.col("doc_id") == F.col("cand"), "left_semi"), "minhash-texts")
     edges: DataFrame | None = None
     salts = 1
@@ -193,17 +207,15 @@ def near_groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
         edges = found if edges is None else edges.unionByName(found)
         labels = components(edges)
         # elected members are done in their buckets; buckets with one label left are done
-        rest = open_rows.select("bucket", "id").join(
+        rest = open_rows.select("bucket", "id", "weight").join(
             hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
         rest = cut(rest.join(labels, F.col("id") == F.col("node"), "left")
-                   .select("bucket", "id", F.coalesce("component", "id").alias("label")), "minhash-rest")
+                   .select("bucket", "id", "weight", F.coalesce("component", "id").alias("label")), "minhash-rest")
         split = cut(rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                     .filter("lo < hi").select("bucket"), "minhash-split")
         open_rows = cut(rest.join(split, "bucket"), "minhash-open")
-        salts *= 4
-        hubs = cut(open_rows.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
-                   .agg(F.min(F.struct("id", "label")).alias("h"))
-                   .select("bucket", F.col("h.id").alias("hub"), F.col("h.label").alias("hub_label")), "minhash-hubs")
+        salts *= p.growth
+        hubs = _elected(open_rows, salts)
     if edges is not None:
         members = cut(members, "minhash-members").join(components(edges), F.col("rep") == F.col("node"), "left")
     else:
@@ -218,4 +230,4 @@ def near_groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each near-duplicate group stays (five words, similarity 0.8 or more)."""
     gone = near_groups(docs).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

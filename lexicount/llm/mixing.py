@@ -124,5 +124,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     copies = (taken.filter("taken > 0").groupBy(F.col("doc_id").alias("mix_id"))
               .agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("mix_copies"))
               .filter("mix_copies > 0"))
-    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mix_id")))
-    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    out = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mix_id"]))
+    each = F.explode(F.sequence(F.lit(1), copies["mix_copies"]))
+    return out.select(*[docs[c] for c in docs.columns], each.alias("mix_" + "_".join(docs.columns))).toDF(
+        *docs.columns, "mix_" + "_".join(docs.columns)).select(*docs.columns)
