@@ -30,7 +30,7 @@ def main() -> None:
     from lexicount.plans.catalog import QUERIES
     from lexicount.session import get_session
     spark = get_session(f"local[{cpus}]", app="lexicount-bench", shuffle_partitions=2 * cpus,
-                        extra={"spark.driver.memory": "16g"})
+                        extra={"spark.driver.memory": "16g", "lexicount.scan.partitions": str(2 * cpus)})
     # warm-up (JIT, file listing); not timed
     QUERIES["corpus_profile"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float | None] = {}

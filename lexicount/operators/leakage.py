@@ -1,16 +1,16 @@
 """Benchmark leakage screen (is a probe a substring of a doc?).
 
-Two plans with identical results:
-
-* ``nested``: broadcast nested-loop join with ``instr`` - only for a probe
-  set whose size is checked against ``max_broadcast_probes``.
-* ``anchored`` (the scalable one): every probe contributes one *interior*
-  word n-gram (its first and last words may be cut mid-word, interior ones
-  are whole words in any containing document). Documents emit their distinct
-  word n-gram hashes, a hash join on the anchor finds candidate pairs, and
-  ``instr`` verifies them in the same stage, so document text is never
-  shuffled. Probes too short for an interior n-gram fall back to the nested
-  loop (a bounded set).
+Candidate pairs are found on ids alone; text is fetched once for the
+candidates and verified with ``instr``:
+
+* ``leakage_hits`` (spaced text): a probe contained in a document has all its
+  *interior* word n-grams (its first and last words may be cut mid-word) among
+  the document's. Documents emit (id, n-gram) only for n-grams some probe has;
+  each probe is looked up by its rarest one, and a probe with an n-gram that
+  no document has is settled at once.
+* ``leakage_hits_char`` (unspaced text, and probes without an interior
+  n-gram): character k-grams at sampled positions.
+* ``leakage_hits_nested``: a nested-loop join, for a probe set of checked size.
 """
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import WS_RUN
+from ..session import cut_lineage
 
 
 def _words(c):
@@ -74,34 +75,68 @@ def leakage_hits_nested(docs: DataFrame, probes: DataFrame, display: int = 80,
     return _finish(j.withColumn("match_pos", F.instr(F.col("text"), F.col("probe"))), display)
 
 
-def leakage_hits(docs: DataFrame, probes: DataFrame, ngram: int = 3, display: int = 80,
-                 max_broadcast_probes: int = 20000) -> DataFrame:
-    """J02 + J03, anchored plan (see module doc). Output: set, probe_id,
+_DOC = ["doc_id", "lang", "data_source", "category", "text"]
+
+
+def _verified(docs: DataFrame, probes: DataFrame, cand: DataFrame, display: int) -> DataFrame:
+    """Hits among candidate pairs (doc_id, probe_id, set): the texts of candidates are joined in once."""
+    p = cand.join(probes.select("set", "probe_id", "probe"), ["set", "probe_id"])
+    hit = docs.select(*_DOC).join(p, "doc_id").withColumn("match_pos", F.instr(F.col("text"), F.col("probe")))
+    return _finish(hit.filter(F.col("match_pos") > 0), display)
+
+
+def leakage_hits(docs: DataFrame, probes: DataFrame, ngram: int = 3, display: int = 80) -> DataFrame:
+    """J02 + J03 by each probe's rarest interior word n-gram (see module doc). Output: set, probe_id,
     probe_head, doc_id, lang, doc_src, doc_cat, match_pos, context."""
     pw = probes.withColumn("_w", _word_hashes(_words(F.col("probe"))))
     # interior n-grams: start at word 2, end before the last word
-    pw = pw.withColumn("_anchors", _ngram_hashes(F.col("_w"), ngram, first=2, last_excl_tail=1))
-    anchored = pw.filter(F.size("_anchors") > 0).select(
-        "set", "probe_id", "probe", F.element_at("_anchors", 1).alias("_anchor"))
+    pw = pw.withColumn("_anchors", F.array_distinct(_ngram_hashes(F.col("_w"), ngram, first=2, last_excl_tail=1)))
+    keys = pw.filter(F.size("_anchors") > 0).select("set", "probe_id", F.explode("_anchors").alias("_anchor"))
     short = pw.filter(F.size("_anchors") == 0).select("set", "probe_id", "probe")
 
-    d = docs.select("doc_id", "lang", "data_source", "category", "text")
     # words are computed once per document; the n-gram lambda only indexes them
-    grams = (d.withColumn("_dw", _word_hashes(_words(F.col("text"))))
-              .withColumn("_anchor", F.explode(F.array_distinct(_ngram_hashes(F.col("_dw"), ngram))))
-              .drop("_dw"))
-    # The anchor table has one row per probe; AQE broadcasts it when small
-    # (runtime size check) and shuffles on the 8-byte hash otherwise.
-    cand = grams.join(anchored, "_anchor", "inner").drop("_anchor")
-    hit = cand.withColumn("match_pos", F.instr(F.col("text"), F.col("probe"))).filter(F.col("match_pos") > 0)
-    out = _finish(hit, display)
-    if short.limit(1).count():
-        out = out.unionByName(leakage_hits_nested(docs, short, display, max_broadcast_probes))
+    words = docs.select("doc_id", _word_hashes(_words(F.col("text"))).alias("_dw"))
+    grams = words.select("doc_id", F.explode(F.array_distinct(_ngram_hashes(F.col("_dw"), ngram))).alias("_anchor"))
+    grams = grams.join(keys.select("_anchor").distinct(), "_anchor", "left_semi")
+    if docs.isStreaming:  # no counts over a stream: every probe by its first interior n-gram
+        first = keys.groupBy("set", "probe_id").agg(F.min("_anchor").alias("_anchor"))
+        return _verified_stream(docs, probes, first, ngram, display)
+    grams = cut_lineage(grams, "leakage-grams")
+    seen = grams.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_df"))
+    rare = keys.join(seen, "_anchor", "left").groupBy("set", "probe_id").agg(
+        F.min_by("_anchor", F.coalesce("_df", F.lit(0))).alias("_anchor"))
+    cand = grams.join(rare, "_anchor").select("doc_id", "set", "probe_id").distinct()
+    out = _verified(docs, probes, cand, display)
+    if not short.isEmpty():
+        out = out.unionByName(leakage_hits_char(docs, short, display=display))
     return out
 
 
-def leakage_hits_char(docs: DataFrame, probes: DataFrame, k: int = 8, stride: int = 16, display: int = 80,
-                      max_broadcast_probes: int = 20000) -> DataFrame:
+def _verified_stream(docs: DataFrame, probes: DataFrame, anchors: DataFrame, ngram: int, display: int) -> DataFrame:
+    """Stream-static form: each streamed document meets its candidate probes inside its own row."""
+    table = probes.select("set", "probe_id", "probe").join(anchors, ["set", "probe_id"], "left")
+    d = docs.select(*_DOC).withColumn("_dw", _word_hashes(_words(F.col("text"))))
+    d = d.withColumn("_anchor", F.explode(F.array_union(
+        _ngram_hashes(F.col("_dw"), ngram), F.array(F.lit(None).cast("bigint"))))).drop("_dw")
+    hit = d.join(table, d["_anchor"].eqNullSafe(table["_anchor"]), "inner")
+    hit = hit.withColumn("match_pos", F.instr(F.col("text"), F.col("probe"))).filter(F.col("match_pos") > 0)
+    return _finish(hit, display)
+
+
+def _char_candidates(docs: DataFrame, probes: DataFrame, k: int, stride: int) -> DataFrame:
+    """(doc_id, set, probe_id) that share a sampled k-gram; complete for probes of ``stride + k - 1`` characters or more."""
+    at = F.explode(F.sequence(F.lit(0), F.lit(stride - 1))).alias("_o")
+    anchors = probes.select("set", "probe_id", "probe", at).select(
+        "set", "probe_id", F.xxhash64(F.substring(F.col("probe"), F.col("_o") + 1, F.lit(k))).alias("_anchor"))
+    n = F.floor((F.coalesce(F.length("text"), F.lit(0)) - k) / stride)
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))),
+                        lambda j: F.xxhash64(F.substring(F.col("text"), j * stride + 1, F.lit(k))))
+    g = docs.select("doc_id", F.explode(F.when(n >= 0, F.array_distinct(grams))
+                                        .otherwise(F.array().cast("array<bigint>"))).alias("_anchor"))
+    return g.join(anchors, "_anchor").select("doc_id", "set", "probe_id").distinct()
+
+
+def leakage_hits_char(docs: DataFrame, probes: DataFrame, k: int = 8, stride: int = 16, display: int = 80) -> DataFrame:
     """J02 + J03 for text without word separators (e.g. Chinese): character
     anchors.
 
@@ -110,27 +145,19 @@ def leakage_hits_char(docs: DataFrame, probes: DataFrame, k: int = 8, stride: in
     k-grams at offsets 0..stride-1. If the probe occurs at position P, exactly
     one sampled position q lies in [P, P + stride), and the document k-gram at
     q equals the probe k-gram at offset q - P, so the join cannot miss a
-    match. Probes shorter than ``stride + k - 1`` use the nested loop.
-    Duplicate candidates (several offsets of one probe in one document) are
-    verified, then only the small hit rows are deduplicated."""
-    need = stride + k - 1
-    long_p = probes.filter(F.length("probe") >= need)
-    short = probes.filter(F.length("probe") < need)
-    anchors = long_p.select("set", "probe_id", "probe", F.explode(F.sequence(F.lit(0), F.lit(stride - 1))).alias("_o"))
-    anchors = anchors.select("set", "probe_id", "probe",
-                             F.xxhash64(F.substring(F.col("probe"), F.col("_o") + 1, F.lit(k))).alias("_anchor"))
-    d = docs.select("doc_id", "lang", "data_source", "category", "text")
-    n = F.floor((F.coalesce(F.length("text"), F.lit(0)) - k) / stride)
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))),
-                        lambda j: F.xxhash64(F.substring(F.col("text"), j * stride + 1, F.lit(k))))
-    g = d.withColumn("_anchor", F.explode(F.when(n >= 0, F.array_distinct(grams))
-                                          .otherwise(F.array().cast("array<bigint>"))))
-    cand = g.join(anchors, "_anchor", "inner").drop("_anchor")
-    hit = cand.withColumn("match_pos", F.instr(F.col("text"), F.col("probe"))).filter(F.col("match_pos") > 0)
-    out = _finish(hit, display).dropDuplicates(["set", "probe_id", "doc_id"])
-    if short.limit(1).count():
-        out = out.unionByName(leakage_hits_nested(docs, short, display, max_broadcast_probes))
-    return out
+    match. Probes shorter than ``stride + k - 1`` are sampled at every
+    position, with 3-grams or (one or two characters) single characters."""
+    size = F.length("probe")
+    cand = None
+    for lo, hi, kk, st in ((stride + k - 1, None, k, stride), (3, stride + k - 2, 3, 1), (1, 2, 1, 1)):
+        part = probes.filter((size >= lo) & (size <= hi) if hi else size >= lo)
+        if part.isEmpty():
+            continue
+        c = _char_candidates(docs, part, kk, st)
+        cand = c if cand is None else cand.unionByName(c)
+    if cand is None:
+        cand = docs.select("doc_id").limit(0).crossJoin(probes.select("set", "probe_id").limit(0))
+    return _verified(docs, probes, cand, display)
 
 
 def leakage_summary(hits: DataFrame, probes: DataFrame, n_examples: int = 3) -> DataFrame:

@@ -113,8 +113,14 @@ def log_intervals(steps: DataFrame, log_every: int, tokens_per_step: int,
     g = steps.withColumn("interval", b).groupBy("interval").agg(
         F.avg(loss).alias("mean_loss"), F.max(step).alias("last_step"),
         F.max(ts).alias("t_end"), F.count(F.lit(1)).alias("n_steps"))
-    w = Window.orderBy("interval")  # one row per interval: small
-    prev = F.lag("t_end").over(w)
-    dt = F.unix_micros(F.col("t_end").cast("timestamp")) - F.unix_micros(prev.cast("timestamp"))
+    # the interval before is in the same block of intervals, or the last one of the block before
+    block = F.floor(F.col("interval") / F.lit(4096))
+    g = g.withColumn("_block", block)
+    ends = g.groupBy("_block").agg(F.max_by("t_end", "interval").alias("_last"))  # one row per 4096 intervals
+    ends = ends.withColumn("_edge", F.lag("_last").over(Window.orderBy("_block"))).drop("_last")
+    g = g.join(ends, "_block")
+    prev = F.coalesce(F.lag("t_end").over(Window.partitionBy("_block").orderBy("interval")), F.col("_edge"))
+    g = g.withColumn("_prev", prev)
+    dt = F.unix_micros(F.col("t_end").cast("timestamp")) - F.unix_micros(F.col("_prev").cast("timestamp"))
     return g.withColumn("tok_per_s", F.when(dt > 0, F.lit(float(tokens_per_step)) * F.col("n_steps")
-                                            / (dt / F.lit(1e6))))
+                                            / (dt / F.lit(1e6)))).drop("_block", "_edge", "_prev")

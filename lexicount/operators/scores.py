@@ -39,7 +39,7 @@ def revision_curve(curve: DataFrame, langs: Sequence[str] = ("eng", "nld", "zho"
     """One row per revision, one column per language (group rows only),
     missing -> 0."""
     g = curve.filter(F.col("is_group"))
-    p = g.groupBy(*by, "revision", "rev_m").pivot("lang", list(langs)).agg(F.first("acc"))
+    p = g.groupBy(*by, "revision", "rev_m").pivot("lang", list(langs)).agg(F.max_by("acc", "task"))
     return p.na.fill(0.0, subset=list(langs))
 
 

@@ -65,12 +65,14 @@ def _apply_batch(syms, batch: dict[int, int]):
 
 
 def learn_bpe(counts: DataFrame, vocab_size: int, specials: Sequence[str] = SPECIAL_TOKENS,
-              candidates: int = 64, min_count: int = 2, checkpoint_every: int = 10,
+              candidates: int = 64, min_count: int = 1, checkpoint_every: int = 10,
               max_rounds: int | None = None) -> tuple[list[tuple[int, int, int, int]], int]:
     """Exact BPE merges from a pre-token count table.
 
     Returns (merges, n_rounds); a merge is (rank, left_id, right_id, count).
-    Ids: specials 0..s-1, bytes s..s+255, merge k gets id s+256+k.
+    Ids: specials 0..s-1, bytes s..s+255, merge k gets id s+256+k. Learning
+    ends when ``vocab_size`` is reached or no pair is left; ``min_count`` is a
+    parameter for a minimum pair count (1: none).
     """
     off = len(specials)
     words = counts.select(_byte_ids(F.col("pretoken"), off).alias("syms"), F.col("count").cast("long").alias("cnt"))
@@ -319,6 +321,9 @@ def learn_unigram(df: DataFrame, vocab_size: int, specials: Sequence[str] = SPEC
             break
         keep = max(target, int(len(pieces) * shrink))
         singles = {p: f for p, f in pieces.items() if len(p) == 1}
+        if len(singles) > target:
+            raise ValueError(f"vocab_size {vocab_size} cannot hold the {len(singles)} distinct characters "
+                             f"and {len(specials)} specials")
         multi = sorted(((p, f) for p, f in pieces.items() if len(p) > 1), key=lambda x: (-x[1], x[0]))
         pieces = dict(singles)
         for p, f in multi[:max(0, keep - len(singles))]:

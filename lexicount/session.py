@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,8 +43,9 @@ def get_session(master: str | None = None, app: str = "lexicount",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names it; only when it is unset (tests, local runs) a scratch
-    folder is created here.
+    The cluster names it. Only a local master (tests, local runs), where
+    driver and executors share one disk, gets a scratch folder of its own when
+    it is unset; elsewhere that is an error.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -51,6 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="lexicount-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return d
@@ -70,20 +74,12 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def spread(df: DataFrame, key: str, factor: int = 2) -> DataFrame:
-    """Give a small scan enough tasks.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a scan out by ``key`` into ``lexicount.scan.partitions`` tasks, if the session sets that.
 
-    A file with a single row group is read by one task however it is split,
-    so CPU-heavy text work on it would use one core. When the scan has fewer
-    partitions than ``factor`` x the cluster's parallelism, the rows are
-    hash-partitioned on ``key`` (deterministic). A large input has far more
-    partitions than cores, so this never adds a shuffle there.
+    A file with a single row group is read by one task however it is split; a
+    user with few such files can ask for more tasks. Without the setting the
+    scan is left as it is, at every size.
     """
-    if df.isStreaming:
-        return df
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism * factor
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: no RDD view
-        return df
-    return df if n >= par else df.repartition(par, key)
+    n = df.sparkSession.conf.get("lexicount.scan.partitions", None)
+    return df if df.isStreaming or not n else df.repartition(int(n), key)

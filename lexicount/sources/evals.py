@@ -8,11 +8,10 @@ no per-line Python.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import revision_to_int
 
 # Harness result entry; keys contain commas, so the schema is explicit.
 TASK_ENTRY = T.StructType([
@@ -46,15 +45,16 @@ def parse_results(df: DataFrame, json_col: str = "json", keep: tuple[str, ...] =
 
 
 def eval_results(spark: SparkSession, root: str, model: str | None = None) -> DataFrame:
-    """S04 on files: ``root/chck_*/<org__model>/results_*.json``. Revision,
+    """S04 on files: ``root/<revision>/<org__model>/results_*.json``, revisions
+    being ``chck_*`` and ``main``. Revision,
     model key and file name come from the path (``_metadata.file_path``)."""
-    glob = f"{root}/chck_*/{model.replace('/', '__') if model else '*'}/results_*.json"
+    glob = f"{root}/{{chck_*,main}}/{model.replace('/', '__') if model else '*'}/results_*.json"
     raw = spark.read.option("wholetext", True).text(glob).select(
         F.col("value").alias("json"), F.col("_metadata.file_path").alias("path"))
     raw = raw.select(
         "json",
-        F.regexp_extract("path", r"/(chck_[^/]+)/[^/]+/results_[^/]*\.json$", 1).alias("revision"),
-        F.regexp_extract("path", r"/chck_[^/]+/([^/]+)/results_[^/]*\.json$", 1).alias("model_key"),
+        F.regexp_extract("path", r"/(chck_[^/]+|main)/[^/]+/results_[^/]*\.json$", 1).alias("revision"),
+        F.regexp_extract("path", r"/(?:chck_[^/]+|main)/([^/]+)/results_[^/]*\.json$", 1).alias("model_key"),
         F.regexp_extract("path", r"/(results_[^/]*\.json)$", 1).alias("file"))
     return parse_results(raw, keep=("model_key", "revision", "file"))
 
@@ -103,37 +103,74 @@ def parse_metadata(df: DataFrame, json_col: str = "json") -> DataFrame:
 # Dataset cards (markdown)
 # ---------------------------------------------------------------------------
 
+def card_files(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Card files by language -> (lang, card), one row per file."""
+    out = None
+    for lang, path in paths.items():
+        one = spark.read.option("wholetext", True).text(path).select(F.lit(lang).alias("lang"), F.col("value").alias("card"))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return spark.createDataFrame([], "lang string, card string")
+    return out
+
+
 def card_lines(cards: DataFrame, text: str = "card", keep: tuple[str, ...] = ("lang",)) -> DataFrame:
     """Cards ``(lang, card)`` -> numbered lines (one card is one bounded document)."""
     return cards.select(*keep, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
 
 
+def _plain(line: Column) -> Column:
+    """A markdown line without emphasis, list bullet and surrounding blanks."""
+    return F.trim(F.regexp_replace(F.replace(line, F.lit("*")), r"^\s*-\s+", ""))
+
+
+def _count(text: Column) -> Column:
+    """A count with thousands separators as a long; null when it is not one."""
+    return F.replace(F.trim(text), F.lit(",")).try_cast("long")
+
+
 def card_totals(cards: DataFrame, text: str = "card") -> DataFrame:
-    """``Total Tokens:** N`` (thousands separators) -> (lang, total_tokens);
-    a card without the line raises at run time."""
-    v = F.regexp_extract(F.col(text), r"Total Tokens:\*\*\s*([\d,]+)", 1)
-    chk = F.when(v != "", F.replace(v, F.lit(","), F.lit("")).cast("long")).otherwise(
-        F.raise_error(F.concat(F.lit("could not find Total Tokens for "), F.col("lang"))))
-    return cards.select("lang", chk.alias("total_tokens"))
+    """The ``Total Tokens: N`` field of each card -> (lang, total_tokens);
+    a card without it raises at run time."""
+    field = _plain(F.col("line"))
+    value = F.when(F.substring_index(field, ":", 1) == "Total Tokens", _count(F.substring_index(field, ":", -1)))
+    found = card_lines(cards, text).groupBy("lang").agg(F.max(value).alias("n"))
+    return found.select("lang", F.coalesce("n", F.raise_error(
+        F.concat(F.lit("no total token count on the card of "), F.col("lang"))).cast("long")).alias("total_tokens"))
 
 
 def card_categories(cards: DataFrame, text: str = "card",
                     section: str = "Tokens Per Category", stop: str = "Tokens Per Group") -> DataFrame:
-    """List items inside the category section only (it ends at the next
-    ``###`` heading or the group section) -> (lang, category, tokens)."""
-    ln = card_lines(cards, text)
-    starts = F.col("line").contains(section)
-    ends = F.col("line").startswith("###") | F.col("line").contains(stop)
-    # section id: the last heading seen so far (per card, by line number)
-    mark = F.when(starts, F.lit(1)).when(ends, F.lit(0))
-    w = Window.partitionBy("lang").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    ln = ln.withColumn("_in", F.last(mark, ignorenulls=True).over(w))
-    rx = r"^-\s*\*\*([^:*]+):\*\*\s*([\d,]+)\s*tokens"
-    item = F.trim(F.col("line"))
-    out = ln.filter((F.col("_in") == 1) & ~starts & item.rlike(rx)).select(
-        "lang", F.trim(F.regexp_extract(item, rx, 1)).alias("category"),
-        F.replace(F.regexp_extract(item, rx, 2), F.lit(","), F.lit("")).cast("long").alias("tokens"))
-    return out
+    """``name: N tokens`` items of the category section (up to the next
+    ``###`` heading or the group section) -> (lang, category, tokens). A card
+    without the section, or with an empty one, raises at run time."""
+    body = F.element_at(F.split(F.col(text), section, 2), 2)  # null when there is no such heading
+    body = F.substring_index(F.substring_index(body, stop, 1), "\n###", 1)
+    items = F.filter(F.transform(F.split(body, "\n"), _plain), lambda x: x.endswith(" tokens") & x.contains(":"))
+    pairs = F.filter(F.transform(items, lambda x: F.struct(
+        F.trim(F.substring_index(x, ":", 1)).alias("category"),
+        _count(F.substring_index(F.substring_index(x, ":", -1), " tokens", 1)).alias("tokens"))),
+        lambda s: s["tokens"].isNotNull())
+    missing = F.raise_error(F.concat(F.lit("no category counts on the card of "), F.col("lang")))
+    checked = F.when(F.size(pairs) > 0, pairs).otherwise(missing)
+    return cards.select("lang", F.explode(checked).alias("p")).select("lang", "p.category", "p.tokens")
+
+
+def metadata_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """S11 on files: (file, json), one row per metadata file."""
+    return spark.read.option("wholetext", True).text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("json"))
+
+
+def log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Text files of S07-S10 as (file, line_no, line), numbered per file.
+
+    A log is read as one value, so that its lines keep their order: one log
+    must fit in a task's memory, the number of logs is free.
+    """
+    whole = spark.read.option("wholetext", True).text(paths)
+    return whole.select(F.col("_metadata.file_path").alias("file"),
+                        F.posexplode(F.split(F.col("value"), "\r?\n")).alias("line_no", "line"))
 
 
 # ---------------------------------------------------------------------------
@@ -237,5 +274,3 @@ def job_log(lines: DataFrame, line: str = "line", by: tuple[str, ...] = ()) -> D
         F.max(F.col("is_end").try_cast("int")).cast("boolean").alias("finished"))
 
 
-def with_revision_int(df: DataFrame, rev: str = "revision") -> DataFrame:
-    return df.withColumn("rev_m", revision_to_int(rev))

@@ -91,11 +91,11 @@ def stream_milestones(stream: DataFrame, milestones: Sequence[int], state_dir: s
     ms = sorted(set(int(m) for m in milestones))
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        try:
+        # batch 0 has no state; for any other a missing or unreadable state must stop the query
+        before = 0
+        if batch_id > 0:
             prev = spark.read.parquet(f"{state_dir}/totals").filter(F.col("batch_id") < batch_id)
-            before = prev.agg(F.sum("batch_tokens")).collect()[0][0] or 0
-        except Exception:  # noqa: BLE001 - first batch: no state yet
-            before = 0
+            before = prev.agg(F.sum("batch_tokens")).first()[0] or 0
         b = batch.withColumn("_t", F.col(tokens).cast("long"))
         b = running_sums(b, ["_t"], order=list(order), bucket=F.floor(F.col(order[0]) / F.lit(1 << 16)),
                          suffix="_before")
