@@ -24,7 +24,7 @@ LOW, HIGH, BITS = 1, 3, 13
 DIM = (1 << BITS) + 1
 GRADES = 3
 #: Bound of the training sample, per grade.
-TRAIN_PER_GRADE = 1500
+TRAIN_PER_GRADE = 1000
 #: A document is selected when P(grade >= 1) reaches this.
 SELECT_TAIL = 0.5
 
@@ -93,8 +93,10 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, grades: int = GRADES
 
 def fit(docs: DataFrame, labels: DataFrame, grade: Column | None = None, per_grade: int = TRAIN_PER_GRADE) -> OrdinalModel:
     got = labelled_sample(docs, labels, graded() if grade is None else grade, per_grade, GRADES)
-    x = np.stack([text_features(t) for t in got["text"]]) if len(got) else np.zeros((0, DIM))
-    return train(x.astype(np.float32), got["y"].to_numpy(dtype=np.int64), got["weight"].to_numpy(dtype=np.float64))
+    x = np.zeros((len(got), DIM), dtype=np.float32)  # the one large table on the driver, bounded by the sample
+    for i, t in enumerate(got["text"]):
+        x[i] = text_features(t)
+    return train(x, got["y"].to_numpy(dtype=np.int64), got["weight"].to_numpy(dtype=np.float64))
 
 
 def grade_texts(docs: DataFrame, model: OrdinalModel) -> DataFrame:
