@@ -39,12 +39,6 @@ DEFAULT_BUDGET_REFERENCE_TOKENS = 100_000_000
 DEFAULT_MAX_EPOCHS = 10
 
 
-def default_milestones() -> list[int]:
-    """Checkpoint milestones: 1..9M by 1M, 10..90M by 10M, 100..1000M by 100M."""
-    return ([i * 1_000_000 for i in range(1, 10)]
-            + [i * 10_000_000 for i in range(1, 10)]
-            + [i * 100_000_000 for i in range(1, 11)])
-
 
 # Register groups of corpus categories (dataset card "Tokens Per Group").
 REGISTER_GROUPS = {

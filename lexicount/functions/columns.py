@@ -20,10 +20,6 @@ def whitespace_tokens(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(col(text), F.lit(WS_TOKEN)), F.lit(0)).cast("long")
 
 
-def non_empty(text: str | Column) -> Column:
-    """Text is neither NULL nor empty."""
-    return F.coalesce(col(text), F.lit("")) != F.lit("")
-
 
 def token_count(c: str | Column) -> Column:
     """Missing token count -> 0."""
@@ -39,11 +35,6 @@ def map_literal(m: Mapping, value_type: str | None = None) -> Column:
     return out.cast(f"map<string,{value_type}>") if value_type else out
 
 
-def ref_tokens(raw: str | Column, lang: str | Column, premium: Mapping[str, float]) -> Column:
-    """Reference tokens = floor(raw / premium[lang]); unknown lang -> NULL."""
-    p = F.element_at(map_literal(premium, "double"), col(lang))
-    return F.floor(token_count(raw) / p).cast("long")
-
 
 def text_head(text: str | Column, n: int = 200, newline_marker: str = "\\n") -> Column:
     """First ``n`` characters with newlines shown as a marker."""
@@ -110,8 +101,3 @@ def canonical_task(task: str | Column, aliases: Mapping[str, str]) -> Column:
 def model_key(repo: str | Column) -> Column:
     """``org/model`` -> ``org__model``."""
     return F.replace(col(repo), F.lit("/"), F.lit("__"))
-
-
-def round_score(c: str | Column, digits: int = 4) -> Column:
-    """Round to ``digits`` decimals, NULL -> 0."""
-    return F.round(F.coalesce(col(c).cast("double"), F.lit(0.0)), digits)

@@ -4,12 +4,13 @@ from __future__ import annotations
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from lexicount.plans.catalog import QUERIES
 from conftest import SF_SMALL
 from oracle_check import compare, open_oracle
 
 # covered (exactly, against a sequential learner) by test_tokenizer.py
 HEAVY = {"bpe_merges", "bpe_vocab_specials", "token_fertility", "unigram_vocab"}
-NAMES = [n for n in queries() if n not in HEAVY]
+NAMES = [n for n in QUERIES if n not in HEAVY]
 
 
 @pytest.fixture(scope="module")
