@@ -54,9 +54,14 @@ REGISTER_GROUPS = {
 }
 REGISTER_GROUP_ORDER = ("Transcription", "Education", "Books, Wiki, News", "Subtitles", "Padding")
 
-# Byte-level pre-tokenisation pattern (GPT-2 style), Java regex syntax.
+# White space as the Unicode property White_Space, spelled as the inside of a character class: the
+# shorthand \s means ASCII only in Java and RE2, but all of these in Python.
+WHITE_SPACE = "\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+# Byte-level pre-tokenisation pattern (GPT-2 style), the same for Java, Python and (without the lookahead) RE2.
 BYTE_LEVEL_PATTERN = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + WHITE_SPACE + r"\p{L}\p{N}]+"
+    "|[" + WHITE_SPACE + "]+(?![^" + WHITE_SPACE + "])|[" + WHITE_SPACE + "]+"
 )
 
 

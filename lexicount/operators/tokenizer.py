@@ -17,14 +17,14 @@
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import BYTE_LEVEL_PATTERN, SPECIAL_TOKENS
+from ..config import BYTE_LEVEL_PATTERN, SPECIAL_TOKENS, WHITE_SPACE
 from ..session import cut_lineage
 
 N_BYTES = 256
@@ -157,7 +157,7 @@ def encode(df: DataFrame, merges: Sequence[tuple[int, int, int, int]], text: str
     pattern = BYTE_LEVEL_PATTERN
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def _encode(texts: pd.Series) -> pd.Series:
+    def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import regex
         rx = regex.compile(pattern)
         rk = bc.value
@@ -200,7 +200,8 @@ def encode(df: DataFrame, merges: Sequence[tuple[int, int, int, int]], text: str
                 ids.extend(c)
             return ids
 
-        return texts.map(enc)
+        for texts in batches:  # one cache for the whole task
+            yield texts.map(enc)
 
     return df.withColumn(out, _encode(F.col(text)))
 
@@ -231,7 +232,7 @@ def unigram_words(df: DataFrame, text: str = "text") -> DataFrame:
     """Word counts after NFKC, split on whitespace, each word prefixed by the
     boundary marker."""
     d = df.filter(F.coalesce(F.col(text), F.lit("")) != "").select(nfkc(F.col(text)).alias("_t"))
-    w = d.select(F.explode(F.split("_t", r"\s+")).alias("w")).filter(F.col("w") != "")
+    w = d.select(F.explode(F.split("_t", f"[{WHITE_SPACE}]+")).alias("w")).filter(F.col("w") != "")
     return w.groupBy(F.concat(F.lit(WORD_BOUNDARY), F.col("w")).alias("word")).agg(
         F.count(F.lit(1)).alias("count"))
 

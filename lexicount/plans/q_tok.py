@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import WHITE_SPACE
 from ..operators import budget, tokenizer
 from ..sources.corpus import documents_corpus
 from .catalog import CORPUS_CTE, register
@@ -31,11 +32,11 @@ def q_tokenizer_sample(spark, d):
 # of every run that precedes a non-space, which splits runs exactly where the
 # pattern's "\s+(?!\S)" alternative does; the sentinel tokens are dropped.
 PRETOKEN_SQL = r"""WITH d AS (
-  SELECT regexp_replace(text, '(\s+)(\s)(\S)', '\1' || chr(57344) || '\2\3', 'g') AS t
+  SELECT regexp_replace(text, '([WS]+)([WS])([^WS])', '\1' || chr(57344) || '\2\3', 'g') AS t
   FROM documents WHERE coalesce(text, '') <> ''),
 p AS (SELECT unnest(regexp_extract_all(t,
-        '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+')) AS pretoken FROM d)
-SELECT pretoken, count(*) AS count FROM p WHERE pretoken <> chr(57344) GROUP BY pretoken"""
+        '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^WS\p{L}\p{N}]+|[WS]+')) AS pretoken FROM d)
+SELECT pretoken, count(*) AS count FROM p WHERE pretoken <> chr(57344) GROUP BY pretoken""".replace("WS", WHITE_SPACE)
 
 
 @register("pretoken_counts", PRETOKEN_SQL)

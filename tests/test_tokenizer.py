@@ -71,3 +71,27 @@ def test_unigram_vocab(spark):
     assert "▁the" in pieces            # frequent word survives pruning
     assert "ｆ" not in "".join(pieces)       # NFKC folded full-width letters
     assert all(r.logprob <= 0 for r in vocab[4:])
+
+
+def test_unicode_white_space_is_one_definition(spark):
+    """Learning (Java) and encoding (Python) cut the same pre-tokens at U+00A0, U+2003 and U+3000."""
+    import regex
+    from lexicount.config import BYTE_LEVEL_PATTERN
+    text = "x!\u3000y \u3000b\u00a0 c\u2003\u2003d 1\n\n e"
+    df = spark.createDataFrame([(text,)], "text string")
+    got = [r.pretoken for r in tokenizer.pretokens(df).collect()]
+    assert got == regex.findall(BYTE_LEVEL_PATTERN, text) == regex.findall(
+        r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", text)
+
+
+def test_unigram_refuses_a_vocabulary_below_the_characters(spark):
+    import pytest
+    df = spark.createDataFrame([("the quick brown fox jumps over the lazy dog",)], "text string")
+    with pytest.raises(ValueError, match="distinct characters"):
+        tokenizer.learn_unigram(df, vocab_size=20)
+
+
+def test_every_pair_can_be_merged(spark):
+    counts = spark.createDataFrame([("abcd", 1)], "pretoken string, count long")
+    merges, _ = tokenizer.learn_bpe(counts, vocab_size=1000)
+    assert len(merges) == 3
