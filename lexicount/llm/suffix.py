@@ -304,7 +304,8 @@ def repeated_bytes(docs: DataFrame, length: int = 200) -> DataFrame:
     rows = cut(docs.select("doc_id", F.unhex(F.sha2(raw, 256)).alias("sha"), F.octet_length(raw).alias("n_bytes")),
                "suffix-rows").withColumn("tid", F.substring("sha", 1, 16))
     # one copy of every text long enough, with its grams
-    kinds = cut(rows.groupBy("tid").agg(F.count(F.lit(1)).alias("copies")), "suffix-texts")
+    row_key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    kinds = cut(rows.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min(row_key).alias("one")), "suffix-texts")
     long_texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") >= length)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,10 +326,13 @@ def repeated_bytes(docs: DataFrame, length: int = 200) -> DataFrame:
     both = each.groupBy("gram").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi"), F.max("many").alias("many"))
     repeated = cut(both.filter("many or lo <> hi").select("gram"), "suffix-repeated")
     wanted = each.select("tid", "gram").join(repeated, "gram").groupBy("tid").agg(F.collect_set("gram").alias("wanted"))
-    wanted = cut(wanted, "suffix-wanted")
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.substring(
-        F.sha2(F.col("text").cast("binary"), 256), 1, 32))).join(wanted, F.col("key") == F.col("tid"))
-    texts = cut(texts.dropDuplicates(["tid"]).select("tid", "text", "wanted"), "suffix-candidates")
+    wanted = wanted.join(kinds.select(F.col("tid").alias("ktid"), "one"), F.col("tid") == F.col("ktid"))
+    wanted = cut(wanted.select("tid", "one", "wanted"), "suffix-wanted")
+    # the text of one row of each: copies of a text never meet in one task
+    source = docs.select(row_key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = source.join(wanted, F.col("key") == F.col("one")).filter(F.col("tid") == F.unhex(F.substring(
+        F.sha2(F.col("text").cast("binary"), 256), 1, 32)))
+    texts = cut(texts.dropDuplicates(["key", "tid"]).select("tid", "text", "wanted"), "suffix-candidates")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, total = [], 0
@@ -382,7 +386,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200) -> DataFrame:
 
     cleaned = cut(again.select("tid", "text", "windows").mapInArrow(
         removed, "rtid binary, r_bytes long, r_spans long, r_sha string"), "suffix-cleaned")
-    out = rows.join(kinds.withColumnRenamed("tid", "ktid"), F.col("tid") == F.col("ktid"))
+    out = rows.join(kinds.select(F.col("tid").alias("ktid"), "copies"), F.col("tid") == F.col("ktid"))
     out = out.join(cleaned, F.col("tid") == F.col("rtid"), "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     nothing = hashlib.sha256(b"").hexdigest()
