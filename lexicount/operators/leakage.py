@@ -98,9 +98,6 @@ def leakage_hits(docs: DataFrame, probes: DataFrame, ngram: int = 3, display: in
     words = docs.select("doc_id", _word_hashes(_words(F.col("text"))).alias("_dw"))
     grams = words.select("doc_id", F.explode(F.array_distinct(_ngram_hashes(F.col("_dw"), ngram))).alias("_anchor"))
     grams = grams.join(keys.select("_anchor").distinct(), "_anchor", "left_semi")
-    if docs.isStreaming:  # no counts over a stream: every probe by its first interior n-gram
-        first = keys.groupBy("set", "probe_id").agg(F.min("_anchor").alias("_anchor"))
-        return _verified_stream(docs, probes, first, ngram, display)
     grams = cut_lineage(grams, "leakage-grams")
     seen = grams.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_df"))
     rare = keys.join(seen, "_anchor", "left").groupBy("set", "probe_id").agg(
@@ -112,17 +109,6 @@ def leakage_hits(docs: DataFrame, probes: DataFrame, ngram: int = 3, display: in
     return out
 
 
-def _verified_stream(docs: DataFrame, probes: DataFrame, anchors: DataFrame, ngram: int, display: int) -> DataFrame:
-    """Stream-static form: each streamed document meets its candidate probes inside its own row."""
-    table = probes.select("set", "probe_id", "probe").join(anchors, ["set", "probe_id"], "left")
-    d = docs.select(*_DOC).withColumn("_dw", _word_hashes(_words(F.col("text"))))
-    d = d.withColumn("_anchor", F.explode(F.array_union(
-        _ngram_hashes(F.col("_dw"), ngram), F.array(F.lit(None).cast("bigint"))))).drop("_dw")
-    hit = d.join(table, d["_anchor"].eqNullSafe(table["_anchor"]), "inner")
-    hit = hit.withColumn("match_pos", F.instr(F.col("text"), F.col("probe"))).filter(F.col("match_pos") > 0)
-    return _finish(hit, display)
-
-
 def _char_candidates(docs: DataFrame, probes: DataFrame, k: int, stride: int) -> DataFrame:
     """(doc_id, set, probe_id) that share a sampled k-gram; complete for probes of ``stride + k - 1`` characters or more."""
     at = F.explode(F.sequence(F.lit(0), F.lit(stride - 1))).alias("_o")

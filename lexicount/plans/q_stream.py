@@ -75,13 +75,13 @@ def q_stream_log_metrics(spark, d):
 @register("stream_leakage", f"WITH {LEAK_CTE} SELECT * FROM hits")
 def q_stream_leakage(spark, d):
     probes = leakage.prepare_probes(table(spark, d, "benchmark"))
-    # the driver's documents are one row group: spread each micro-batch
-    par = 2 * spark.sparkContext.defaultParallelism
-    return R.run_to_memory(R.stream_leakage(doc_stream(spark, d), probes, spread_partitions=par))
+    out = R.scratch(spark, "leakage-hits")
+    R.stream_leakage(doc_stream(spark, d), probes, out).awaitTermination()
+    return spark.read.parquet(out).drop("batch_id")
 
 
 @register("stream_dedup_prefix", f"""WITH {CORPUS_CTE}
 SELECT lang, count(DISTINCT md5(substring(coalesce(text, ''), 1, 300))) AS kept FROM corpus GROUP BY lang""")
 def q_stream_dedup_prefix(spark, d):
-    kept = R.run_to_memory(R.stream_dedup_prefix(doc_stream(spark, d), 300).select("lang", "doc_id"))
+    kept = R.run_to_files(R.stream_dedup_prefix(doc_stream(spark, d), 300).select("lang", "doc_id"))
     return kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))

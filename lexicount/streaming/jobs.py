@@ -38,9 +38,10 @@ def stream_corpus(spark: SparkSession, path: str, schema: T.StructType | str,
     return df.filter(whitelist_predicate(whitelist)) if whitelist else df
 
 
-def run_to_memory(df: DataFrame, mode: str = "append", name: str | None = None) -> DataFrame:
-    """Run a streaming query over everything available (``availableNow``) into
-    a memory sink and return the sink as a DataFrame (small results only)."""
+def run_to_memory(df: DataFrame, mode: str = "complete", name: str | None = None) -> DataFrame:
+    """Run a streaming aggregation over everything available (``availableNow``)
+    into a memory sink: its rows (one per key) end up on the driver, so this is
+    for results of a few keys; everything else goes through ``run_to_files``."""
     spark = df.sparkSession
     name = name or f"lexicount_{uuid.uuid4().hex[:10]}"
     q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
@@ -50,6 +51,17 @@ def run_to_memory(df: DataFrame, mode: str = "append", name: str | None = None)
     return spark.table(name)
 
 
+def run_to_files(df: DataFrame, out: str | None = None) -> DataFrame:
+    """Run an append-only streaming query over everything available into a
+    Parquet sink (exactly once per batch) and return what was written."""
+    spark = df.sparkSession
+    out = out or scratch(spark, "stream-out")
+    q = (df.writeStream.format("parquet").outputMode("append").option("path", out)
+           .option("checkpointLocation", scratch(spark, "stream-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
 def stream_consumption(stream: DataFrame, premium: Mapping[str, float], total_budget: int,
                        raw: str = "num_tokens") -> DataFrame:
     """Running reference-token consumption per language (streaming state
@@ -61,15 +73,15 @@ def stream_consumption(stream: DataFrame, premium: Mapping[str, float], total_bu
 
 
 def stream_local_shuffle(stream: DataFrame, seed: int, out: str, id_col: str = "doc_id"):
-    """Bounded-buffer shuffle: every micro-batch is ordered by the seeded
-    key and appended (a *local* shuffle - biased when the input is clustered,
+    """Bounded-buffer shuffle: every micro-batch is ordered as a whole by the
+    seeded key and appended (a *local* shuffle - biased when the input is clustered,
     exactly like a shuffle buffer). Returns the started query."""
     spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn("order_key", order_key(seed, F.lit(0), id_col))
               .withColumn("batch_id", F.lit(batch_id))
-              .sortWithinPartitions("order_key")
+              .orderBy("order_key", id_col)
               .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}"))
 
     return (stream.writeStream.foreachBatch(write)
@@ -126,16 +138,20 @@ def stream_log_metrics(lines: DataFrame, log_every: int) -> DataFrame:
         F.max("ref_tokens").alias("ref_tokens"), F.count(F.lit(1)).alias("n_steps"))
 
 
-def stream_leakage(stream: DataFrame, probes: DataFrame, ngram: int = 3,
-                   spread_partitions: int | None = None) -> DataFrame:
-    """Stream-static leakage screen (anchored join, static probe table).
+def stream_leakage(stream: DataFrame, probes: DataFrame, out: str, ngram: int = 3):
+    """Leakage screen of every micro-batch against the static probes.
 
-    ``spread_partitions`` hash-partitions each micro-batch on ``doc_id`` first:
-    use it when batches come from few large row groups (one task would
-    otherwise match all text); leave it unset when batches span many files."""
+    Each batch runs the id-only plan of ``leakage_hits`` and overwrites its own
+    folder under ``out``, so a replayed batch is idempotent. Returns the
+    started query."""
     from ..operators.leakage import leakage_hits
-    s = stream.repartition(spread_partitions, "doc_id") if spread_partitions else stream
-    return leakage_hits(s, probes, ngram=ngram)
+
+    def screen(batch: DataFrame, batch_id: int) -> None:
+        leakage_hits(batch, probes, ngram=ngram).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    return (stream.writeStream.foreachBatch(screen)
+                  .option("checkpointLocation", scratch(stream.sparkSession, "leakage-ckpt"))
+                  .trigger(availableNow=True).start())
 
 
 def stream_dedup_prefix(stream: DataFrame, n: int | None = 300, watermark: str = "1 hour",
