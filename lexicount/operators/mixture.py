@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFICIT_TIE_TOLERANCE, MixConfig
 from ..functions.columns import key_bucket, map_literal, order_key
-from .budget import normalize, validate_schedule
+from .budget import normalize, validate_schedule, whitelist_predicate
 from ..session import cut_lineage
 from .prefix_sum import running_sums
 
@@ -122,6 +122,10 @@ def mix_plan(docs: DataFrame, cfg: MixConfig, key: str = "lang", id_col: str = "
     pts = validate_schedule(stages)
     total_cap = int(cfg.total_token_budget)
 
+    if cfg.category_whitelist:
+        if "category" not in docs.columns:
+            raise ValueError("a category whitelist needs documents with a category column")
+        docs = docs.filter(whitelist_predicate(cfg.category_whitelist))
     # Only the columns the plan needs travel on (no text); persisted because
     # the per-key statistics and the plan both read it.
     weighted = {k for _, w in pts for k in w}

@@ -87,12 +87,13 @@ def estimate_steps(budget: int, max_epochs: int, cfg: PackConfig, fertility: flo
     return max(1, int(budget * max_epochs * fertility) // per_step)
 
 
-def milestone_crossings(plan: DataFrame, milestones: Sequence[int]) -> DataFrame:
+def milestone_crossings(plan: DataFrame, milestones: Sequence[int], tokens_per_step: int | None = None) -> DataFrame:
     """J04 + P10: for each milestone, the first draw whose inclusive running
     total reaches it (several milestones may fire on one draw). The milestone
     list is a tiny broadcast table; each milestone matches exactly one draw
     (``total_before < m <= total_before + ref_tokens``). Name collisions
-    (e.g. 10k and 100k both -> chck_1M) are flagged."""
+    (e.g. 10k and 100k both -> chck_1M) are flagged. With ``tokens_per_step``
+    the optimizer step that reads the crossing token is added (``step``)."""
     spark = plan.sparkSession
     m = F.broadcast(spark.createDataFrame([(int(x),) for x in sorted(set(milestones))], "milestone long"))
     cond = (F.col("total_before") < m["milestone"]) & (
@@ -101,6 +102,8 @@ def milestone_crossings(plan: DataFrame, milestones: Sequence[int]) -> DataFrame
         "milestone", milestone_name(F.col("milestone")).alias("name"), "draw",
         (F.col("total_before") + F.col("ref_tokens")).alias("ref_tokens_at_save"))
     from pyspark.sql import Window
+    if tokens_per_step:
+        j = j.withColumn("step", F.ceil(F.col("milestone") / F.lit(tokens_per_step)).cast("long"))
     return j.withColumn("name_collision", F.count(F.lit(1)).over(Window.partitionBy("name")) > 1)
 
 

@@ -1,6 +1,8 @@
 """Registered leakage queries: benchmark items screened against documents."""
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import leakage
 from ..sources.corpus import documents_corpus, table
 from .catalog import CORPUS_CTE, register
@@ -38,11 +40,16 @@ def q_leakage_hits_nested(spark, d):
 @register("leakage_summary", f"""WITH {LEAK_CTE}
 SELECT p.set, count(DISTINCT p.probe_id) AS probes,
        (SELECT count(DISTINCT probe_id) FROM hits) AS hits_total,
-       (SELECT count(*) FROM hits) AS hit_pairs
+       (SELECT count(*) FROM hits) AS hit_pairs,
+       (SELECT coalesce(string_agg(probe_head || '@' || doc_src || '/' || doc_cat || '/' || context, '|'
+                                   ORDER BY probe_id, doc_id), '')
+        FROM (SELECT * FROM hits ORDER BY probe_id, doc_id LIMIT 3)) AS examples
 FROM probes p GROUP BY p.set""")
 def q_leakage_summary(spark, d):
     docs, probes = _inputs(spark, d)
-    return leakage.leakage_summary(leakage.leakage_hits(docs, probes), probes).drop("examples")
+    out = leakage.leakage_summary(leakage.leakage_hits(docs, probes), probes)
+    one = lambda e: F.concat(e["probe"], F.lit("@"), e["doc_src"], F.lit("/"), e["doc_cat"], F.lit("/"), e["context"])
+    return out.withColumn("examples", F.array_join(F.transform("examples", one), "|"))
 
 
 @register("leakage_hits_char", f"WITH {LEAK_CTE} SELECT * FROM hits")

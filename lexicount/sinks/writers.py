@@ -87,11 +87,19 @@ def audit_report(long: DataFrame) -> DataFrame:
     return j.select("lang", F.to_json(F.struct("scalars", "maps")).alias("json"))
 
 
+def write_json(documents: DataFrame, out: str, json_col: str = "json") -> None:
+    """JSON documents as text files, one document per line
+    (columns besides ``json_col``, such as the model or language, become
+    partition folders)."""
+    keys = [c for c in documents.columns if c != json_col]
+    w = documents.select(*keys, F.col(json_col).alias("value")).write.mode("overwrite")
+    (w.partitionBy(*keys) if keys else w).text(out)
+
+
 def write_sequences(seqs: DataFrame, out: str, rows_per_file: int = 1 << 16) -> None:
     """Packed sequences as Parquet, range-partitioned on ``seq_id`` so each
     file holds a contiguous block of sequences."""
-    n = max(1, seqs.rdd.getNumPartitions())
-    (seqs.repartitionByRange(n, "seq_id").sortWithinPartitions("seq_id")
+    (seqs.repartitionByRange("seq_id").sortWithinPartitions("seq_id")
          .write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(out))
 
 
@@ -100,8 +108,8 @@ def write_shuffled(df: DataFrame, out: str, seed: int, id_col: str = "doc_id", p
     the md5 key, sorted within), so any prefix of the files is a uniform sample."""
     from ..functions.columns import order_key
     d = df.withColumn("order_key", order_key(seed, F.lit(0), id_col))
-    n = partitions or max(1, df.rdd.getNumPartitions())
-    d.repartitionByRange(n, "order_key").sortWithinPartitions("order_key").write.mode("overwrite").parquet(out)
+    ranged = d.repartitionByRange(partitions, "order_key") if partitions else d.repartitionByRange("order_key")
+    ranged.sortWithinPartitions("order_key").write.mode("overwrite").parquet(out)
 
 
 def write_vocab(vocab: DataFrame, merges: DataFrame, out: str) -> None:

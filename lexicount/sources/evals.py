@@ -49,7 +49,7 @@ def eval_results(spark: SparkSession, root: str, model: str | None = None) -> Da
     being ``chck_*`` and ``main``. Revision,
     model key and file name come from the path (``_metadata.file_path``)."""
     glob = f"{root}/{{chck_*,main}}/{model.replace('/', '__') if model else '*'}/results_*.json"
-    raw = spark.read.option("wholetext", True).text(glob).select(
+    raw = spark.read.text(glob, wholetext=True).select(
         F.col("value").alias("json"), F.col("_metadata.file_path").alias("path"))
     raw = raw.select(
         "json",
@@ -84,7 +84,7 @@ def parse_finetune(df: DataFrame, json_col: str = "json", path_col: str = "path"
 
 
 def finetune_results(spark: SparkSession, root: str) -> DataFrame:
-    raw = spark.read.option("wholetext", True).text(f"{root}/finetune/*/*/eval_results.json")
+    raw = spark.read.text(f"{root}/finetune/*/*/eval_results.json", wholetext=True)
     return parse_finetune(raw.select(F.col("value").alias("json"), F.col("_metadata.file_path").alias("path")))
 
 
@@ -107,7 +107,7 @@ def card_files(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Card files by language -> (lang, card), one row per file."""
     out = None
     for lang, path in paths.items():
-        one = spark.read.option("wholetext", True).text(path).select(F.lit(lang).alias("lang"), F.col("value").alias("card"))
+        one = spark.read.text(path, wholetext=True).select(F.lit(lang).alias("lang"), F.col("value").alias("card"))
         out = one if out is None else out.unionByName(one)
     if out is None:
         return spark.createDataFrame([], "lang string, card string")
@@ -146,7 +146,7 @@ def card_categories(cards: DataFrame, text: str = "card",
     without the section, or with an empty one, raises at run time."""
     body = F.element_at(F.split(F.col(text), section, 2), 2)  # null when there is no such heading
     body = F.substring_index(F.substring_index(body, stop, 1), "\n###", 1)
-    items = F.filter(F.transform(F.split(body, "\n"), _plain), lambda x: x.endswith(" tokens") & x.contains(":"))
+    items = F.filter(F.transform(F.split(body, "\n"), _plain), lambda x: x.contains(" tokens") & x.contains(":"))
     pairs = F.filter(F.transform(items, lambda x: F.struct(
         F.trim(F.substring_index(x, ":", 1)).alias("category"),
         _count(F.substring_index(F.substring_index(x, ":", -1), " tokens", 1)).alias("tokens"))),
@@ -158,7 +158,7 @@ def card_categories(cards: DataFrame, text: str = "card",
 
 def metadata_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """S11 on files: (file, json), one row per metadata file."""
-    return spark.read.option("wholetext", True).text(paths).select(
+    return spark.read.text(paths, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.col("value").alias("json"))
 
 
@@ -168,7 +168,7 @@ def log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     A log is read as one value, so that its lines keep their order: one log
     must fit in a task's memory, the number of logs is free.
     """
-    whole = spark.read.option("wholetext", True).text(paths)
+    whole = spark.read.text(paths, wholetext=True)
     return whole.select(F.col("_metadata.file_path").alias("file"),
                         F.posexplode(F.split(F.col("value"), "\r?\n")).alias("line_no", "line"))
 

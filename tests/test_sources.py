@@ -163,3 +163,25 @@ def test_corpus_scan_and_writers(spark):
     K.write_vocab(vocab, merges, f"{root}/tok")
     assert spark.read.parquet(f"{root}/tok/merges").count() == 1
     assert spark.read.parquet(f"{root}/tok/vocab").count() == 4 + 256 + 1
+
+
+def test_json_documents_and_text_readers(spark, tmp_path):
+    from pyspark.errors import PySparkException
+    from lexicount.sinks.writers import write_json
+    from lexicount.sources import evals
+    docs = spark.createDataFrame([("eng", '{"a":1}'), ("nld", '{"b":2}')], "lang string, json string")
+    write_json(docs, str(tmp_path / "json"))
+    assert sorted(map(tuple, spark.read.text(str(tmp_path / "json")).collect())) == [('{"a":1}', "eng"), ('{"b":2}', "nld")]
+    (tmp_path / "a.log").write_text("one\ntwo\n")
+    (tmp_path / "b.log").write_text("three")
+    got = {(r.file.rsplit("/", 1)[1], r.line_no, r.line) for r in evals.log_lines(spark, str(tmp_path / "*.log")).collect()}
+    assert {("a.log", 0, "one"), ("a.log", 1, "two"), ("b.log", 0, "three")} <= got
+    (tmp_path / "card.md").write_text("**Total Tokens:** 1,234\n### Tokens Per Category\n- **books:** 1,000 tokens (81%)\n"
+                                      "- **wiki:** 234 tokens\n### Tokens Per Group\n- **other:** 9 tokens\n")
+    cards = evals.card_files(spark, {"eng": str(tmp_path / "card.md")})
+    assert evals.card_totals(cards).first().total_tokens == 1234
+    got = {(r.category, r.tokens) for r in evals.card_categories(cards).collect()}
+    assert got == {("wiki", 234), ("books", 1000)}
+    import pytest
+    with pytest.raises(PySparkException):
+        evals.card_categories(spark.createDataFrame([("x", "no section")], "lang string, card string")).collect()
