@@ -132,8 +132,10 @@ def sweep_lines(spark, d) -> DataFrame:
 SELECT model_key, revision, lang AS section, task, indent AS depth, m.metric, acc AS value, stderr
 FROM curve, (VALUES ('acc'), ('acc_norm')) m(metric)""")
 def q_sweep_scores(spark, d):
-    return E.score_tables(sweep_lines(spark, d), by=("model_key", "revision"),
-                          header_rx=r"^\[sweep\] \S+ / zeroshot_(\w+)$")
+    # the revision of a row comes from the header line above it
+    lines = sweep_lines(spark, d).withColumn("file", F.concat_ws("/", "model_key", "revision")).drop("revision")
+    return E.score_tables(lines, by=("model_key", "file"), header_rx=r"^\[sweep\] \S+ / zeroshot_(\w+)$",
+                          revision_rx=r"^\[sweep\] (\S+) / zeroshot_\w+$").drop("file")
 
 
 # ---------------------------------------------------------------------------

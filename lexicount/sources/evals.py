@@ -213,7 +213,8 @@ def _cells(line):
 
 
 def score_tables(lines: DataFrame, line: str = "line", line_no: str = "line_no",
-                 by: tuple[str, ...] = ("file",), header_rx: str | None = None) -> DataFrame:
+                 by: tuple[str, ...] = ("file",), header_rx: str | None = None,
+                 revision_rx: str | None = None) -> DataFrame:
     """Pipe tables of harness stdout -> (section, task, depth,
     metric, value, stderr).
 
@@ -221,11 +222,22 @@ def score_tables(lines: DataFrame, line: str = "line", line_no: str = "line_no",
     continuation row has an empty task cell and inherits the task above
     (forward fill with ``last(..., ignorenulls)`` in line order per file).
     ``header_rx`` (one capture group) marks a section header line whose
-    value is forward-filled too (S09: ``[sweep] <rev> / zeroshot_<lang>``).
+    value is forward-filled too (S09: ``[sweep] <rev> / zeroshot_<lang>``);
+    ``revision_rx`` takes the revision from such a line into ``revision``.
+    Without ``header_rx`` the section is the kind of table (groups or tasks)
+    and ``title`` the ``=== title ===`` line above it (S08).
     """
     v = F.col(line)
     w = Window.partitionBy(*by).orderBy(line_no).rowsBetween(Window.unboundedPreceding, 0)
-    d = lines
+    d, more = lines, []
+
+    def carried(rx: str) -> Column:
+        return F.last(F.when(v.rlike(rx), F.regexp_extract(v, rx, 1)), ignorenulls=True).over(w)
+
+    if revision_rx:
+        d, more = d.withColumn("revision", carried(revision_rx)), ["revision"]
+    if not header_rx:
+        d, more = d.withColumn("title", carried(r"^=== (.+?) ===\s*$")), [*more, "title"]
     if header_rx:
         d = d.withColumn("section", F.last(F.when(v.rlike(header_rx), F.regexp_extract(v, header_rx, 1)),
                                            ignorenulls=True).over(w))
@@ -244,7 +256,7 @@ def score_tables(lines: DataFrame, line: str = "line", line_no: str = "line_no",
     depth = F.when(F.col("_task_raw").rlike(r"^ *- "),
                    F.length(F.regexp_extract(F.col("_task_raw"), r"^( *)", 1))).otherwise(F.lit(0))
     return rows.select(
-        *by, "section", F.trim(name).alias("task"), depth.try_cast("int").alias("depth"),
+        *by, *more, "section", F.trim(name).alias("task"), depth.try_cast("int").alias("depth"),
         F.element_at("_c", 6).alias("metric"), F.element_at("_c", 8).try_cast("double").alias("value"),
         F.element_at("_c", 10).try_cast("double").alias("stderr"))
 
