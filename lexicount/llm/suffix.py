@@ -66,8 +66,9 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     of one are finished and not touched again.
     """
     n = len(data)
-    order = np.argsort(words8(data)[:n])
-    key = words8(data)[order]
+    eight = words8(data)
+    order = np.argsort(eight)
+    key = eight[order]
     slot = np.arange(n)
     rank = np.zeros(n + depth + 1, dtype=np.int64)
     h = 8
@@ -222,9 +223,14 @@ def shard_repeats(shard: list[tuple[bytes, np.ndarray, tuple]], length: int) ->
 
 def _solve(chunk: list[tuple], carry: tuple | None, more: bool, length: int) -> tuple[list[tuple], tuple | None]:
     """(flagged windows of a chunk of stretches and of ``carry``, distinct windows to carry on of the last gram)."""
-    keys = [window_keys(np.frombuffer(c[4], dtype=np.uint8), length) for c in chunk]
-    k1, k2 = (np.concatenate([k[i] for k in keys]) for i in (0, 1))
-    edge = np.concatenate([[0], np.cumsum([c[2] - c[1] + 1 for c in chunk])])
+    # keys of the whole chunk at once; windows over a seam between two stretches are left out
+    ends = np.cumsum([len(c[4]) for c in chunk])
+    whole = np.frombuffer(b"".join([c[4] for c in chunk]), dtype=np.uint8)
+    count = np.array([c[2] - c[1] + 1 for c in chunk])
+    edge = np.concatenate([[0], np.cumsum(count)])
+    begin = ends - np.array([len(c[4]) for c in chunk])
+    at_byte = np.repeat(begin - edge[:-1], count) + np.arange(edge[-1])
+    k1, k2 = (k[at_byte] for k in window_keys(whole, length))
     order = np.lexsort((k2, k1))
     s1, s2 = k1[order], k2[order]
     head = np.flatnonzero(np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])]))
@@ -242,9 +248,14 @@ def _solve(chunk: list[tuple], carry: tuple | None, more: bool, length: int) ->
             if not told[i]:
                 told[i] = True
                 out.append((holder[i], int(window[i]), int(window[i]), 0, None))
-    for i, c in enumerate(chunk):
-        for x, y in zip(*runs(hit[edge[i]:edge[i + 1]]), strict=True):
-            out.append((c[0], int(x + c[1]), int(y + c[1]), 0, None))
+    opens = np.zeros(len(hit), dtype=bool)
+    opens[edge[:-1]] = True
+    start_at = np.flatnonzero(hit & (opens | ~np.concatenate([[False], hit[:-1]])))
+    shut = np.concatenate([opens[1:] | ~hit[1:], [True]])
+    end_at = np.flatnonzero(hit & shut)
+    owner = np.searchsorted(edge, start_at, "right") - 1
+    for i, x, y in zip(owner.tolist(), (start_at - edge[owner]).tolist(), (end_at - edge[owner]).tolist(), strict=True):
+        out.append((chunk[i][0], x + chunk[i][1], y + chunk[i][1], 0, None))
     if not more:
         return out, None
     start = next(i for i, c in enumerate(chunk) if c[3] == chunk[-1][3])  # stretches of one gram are neighbours
