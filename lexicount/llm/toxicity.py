@@ -81,7 +81,7 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, rounds: int = 70,
     base = float(np.clip(np.average(y, weights=weight), 1e-3, 1 - 1e-3)) if len(y) else 0.05
     bias = np.array([0.0, np.log(base / (1 - base)) - 4.0], dtype=np.float32)
     if not len(y) or len(set(y.tolist())) < 2:
-        return ToxicityModel(emb * 0, top, bias)
+        return ToxicityModel(emb * 0, top, np.array([0.0, -60.0], dtype=np.float32))
     known: dict[str, int] = {}
     ids, win_of, doc_of = [], [], []
     n_win = 0
