@@ -100,41 +100,47 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray
     """Kasai: for each slot the common prefix (at most ``cap``) of its suffix with the one before it in ``order``.
 
     Positions are walked in text order, where a prefix shrinks by one at most;
-    runs of 256 positions are walked side by side, eight bytes at a time.
+    runs of 256 positions are walked side by side.
     """
     n = len(data)
     before = np.full(n, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
-    w = np.concatenate([words8(data), np.zeros(cap + 9, dtype=np.uint64)])
+    words = -(-cap // 8)
+    w = np.concatenate([words8(data), np.zeros(2 * cap + 32, dtype=np.uint64)])
     out = np.zeros(n, dtype=np.int64)
     lane = np.arange(0, n, 256)
     have = np.zeros(len(lane), dtype=np.int64)
     for t in range(256):
         p = lane + t
-        live = np.flatnonzero(p < n)
-        p = p[live]
+        if p[-1] >= n:  # only the last run is shorter
+            lane, have, p = lane[:-1], have[:-1], p[:-1]
+            if not len(p):
+                break
         q = before[p]
-        h = np.where(have[live] < cap, np.maximum(have[live] - 1, 0), 0)  # ties beyond the cap are in any order
-        h[q < 0] = 0
-        go = np.flatnonzero((q >= 0) & (h < cap))
-        while len(go):
-            diff = w[p[go] + h[go]] ^ w[q[go] + h[go]]
-            same = diff == 0
-            h[go[same]] += 8
-            rest, d = go[~same], diff[~same]
-            for k in range(7):  # whole equal bytes before the first difference
-                d_top = (d >> np.uint64(56 - 8 * k)) & np.uint64(255)
-                rest, d = rest[d_top == 0], d[d_top == 0]
-                h[rest] += 1
-            go = go[same]
-            go = go[h[go] < cap]
-        limit = np.minimum(cap, n - np.maximum(p, q))
-        h = np.minimum(h, limit)
-        have[live] = h
-        out[p] = h
+        h = np.where((have < cap) & (q >= 0), np.maximum(have - 1, 0), 0)  # ties beyond the cap are in any order
+        more = equal_bytes(w[p + h] ^ w[q + h])
+        h += more
+        go = np.flatnonzero(more == 8)
+        if len(go):  # the rest of a long prefix in one look
+            at = h[go, None] + np.arange(0, 8 * words, 8)
+            diff = w[p[go, None] + at] ^ w[q[go, None] + at]
+            differs = diff != 0
+            first = differs.argmax(axis=1)
+            lead = 8 * first + equal_bytes(diff[np.arange(len(go)), first])
+            h[go] += np.where(differs.any(axis=1), lead, cap)
+        have = np.where(q >= 0, np.minimum(h, np.minimum(cap, n - np.maximum(p, q))), 0)
+        out[p] = have
     return out[order]
 
 
+_BYTE_STEPS = np.array([1 << (8 * k) for k in range(8)], dtype=np.uint64)
+
+
+def equal_bytes(diff: np.ndarray) -> np.ndarray:
+    """Number of leading zero bytes of each 64-bit difference (8 when all are equal)."""
+    return 8 - np.searchsorted(_BYTE_STEPS, diff, side="right")
+
+
 def window_keys(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit keys of every window of ``length`` bytes, composed from those of its binary parts."""
     out = []
