@@ -121,6 +121,14 @@ def exact_groups(docs: DataFrame, digest_bytes: int = 32, max_files_per_trigger:
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that stay, with all their columns; repeated rows of one id become one."""
-    ids = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Pipeline stage: one row of every distinct text (up to white space), with all its columns.
+
+    The row has the smallest id of its text; the same id, or none, under
+    another text is another document and stays too.
+    """
+    kept = exact_groups(docs).filter("kept").select(
+        F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
+    sha = "exact_" + "_".join(docs.columns)
+    d = docs.withColumn(sha, F.sha2(normalised(docs["text"]).cast("binary"), 256))
+    d = d.join(kept, d["doc_id"].eqNullSafe(kept["kept_id"]) & (d[sha] == kept["kept_sha"]), "left_semi")
+    return d.dropDuplicates([sha]).select(*docs.columns)

@@ -266,6 +266,15 @@ def test_exact_null_ids_and_empty(spark):
     assert rows(stage, "doc_id") == [(0,), (1,)] and "kept_id" in stage.columns
 
 
+def test_exact_stage_keeps_every_distinct_text(spark):
+    data = [(None, "a b"), (None, "c"), (None, "c"), (7, "d"), (7, "e"), (7, "e"), (3, "d"), (9, "a  b"), (8, None), (None, "f")]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("kept_sha", F.lit("x"))
+    stage = exact.exact_stage(spark, df, "")
+    assert stage.columns == df.columns
+    assert rows(stage, "doc_id", "text") == sorted(
+        [(9, "a  b"), (None, "c"), (3, "d"), (7, "e"), (8, None), (None, "f")], key=repr)
+
+
 # ---- 7: vectors -------------------------------------------------------------
 
 def test_vectors_equal_brute_force(spark):
