@@ -8,7 +8,7 @@ agree, and any prefix of it is close to the target shares.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.prefix_sum import running_sums
@@ -73,6 +73,21 @@ def schedule(spark: SparkSession, targets: DataFrame, slots: int = 1 << 17) -> D
     return hit.select("slot", "skey", (F.row_number().over(rank) - 1).cast("long").alias("block"), "words")
 
 
+def positions(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, passes: int = 2,
+              seed: str = "", *more: Column) -> tuple[DataFrame, DataFrame]:
+    """(documents with ``more``, size, skey, source_size, target and the words before them in their source, sources with targets)."""
+    skey = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("="), F.col("source")))
+    d = cut(docs.select("doc_id", "source", skey.alias("skey"), count_words(docs["text"]).alias("size"), *more),
+            "mix-sizes")
+    sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = cut(source_targets(sizes, weights, share, float(passes)).withColumn("skey", skey), "mix-targets")
+    okey = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)))
+    d = d.withColumn("okey", okey)
+    d = d.join(targets.select("skey", "source_size", "target"), "skey")
+    d = running_sums(d, ["size"], ["okey", "doc_id", "size"], F.substring("okey", 1, 3), ["skey"])
+    return cut(d, "mix-positions"), targets
+
+
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, passes: int = 2,
           slots: int = 1 << 17, seed: str = "") -> tuple[DataFrame, DataFrame]:
     """(documents with targets and words taken, pieces of the mix).
@@ -84,20 +99,11 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     count as separate documents. An empty table gives no rows, and no words at
     all give targets of 0. Columns besides doc_id, text, source are ignored.
     """
-    spark = docs.sparkSession
-    skey = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("="), F.col("source")))
-    d = cut(docs.select("doc_id", "source", skey.alias("skey"), count_words(docs["text"]).alias("size")), "mix-sizes")
-    sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = cut(source_targets(sizes, weights, share, float(passes)).withColumn("skey", skey), "mix-targets")
-    plan = schedule(spark, targets, slots)
-    okey = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)))
-    d = d.withColumn("okey", okey)
-    d = d.join(targets.select("skey", "source_size", "target"), "skey")
-    d = running_sums(d, ["size"], ["okey", "doc_id", "size"], F.substring("okey", 1, 3), ["skey"])
+    d, targets = positions(docs, weights, share, passes, seed)
+    plan = schedule(docs.sparkSession, targets, slots)
     total = targets.agg(F.greatest(F.lit(1), F.ceil(F.sum("target") / slots)).cast("long").alias("words"))
     per_block = int(total.first()["words"] or 1)
     start = F.col("pass_no") * F.col("source_size") + F.col("size_before")
-    d = cut(d, "mix-positions")
     spans = (d.filter("size > 0").withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
              .withColumn("start", start.cast("long"))
              .withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / per_block),
@@ -119,12 +125,23 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents as often as the mix takes them (words taken / size, rounded: 0, 1 or 2 rows)."""
-    taken, _ = mixed(docs)
-    copies = (taken.filter("taken > 0").groupBy(F.col("doc_id").alias("mix_id"))
+    """Pipeline stage: documents as often as the mix takes them (words taken / size, rounded: 0, 1 or 2 rows).
+
+    Which words a finished mix takes does not depend on its order: a source's
+    documents in shuffled order, pass after pass, up to its target, to the word.
+    """
+    sha = F.sha2(docs["text"].cast("binary"), 256)  # documents may share an id, or have none
+    d, _ = positions(docs, (5, 2, 1), 1.5, 2, "", sha.alias("sha"))
+    upto = F.floor(F.col("target") + 0.5)
+    parts = [F.greatest(F.lit(0), F.least(F.col("size"), upto - k * F.col("source_size") - F.col("size_before")))
+             for k in range(2)]
+    taken = d.filter("size > 0").withColumn("taken", parts[0] + parts[1])
+    copies = (taken.filter("taken > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"),
+                                                F.col("sha").alias("mix_sha"))
               .agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("mix_copies"))
               .filter("mix_copies > 0"))
-    out = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mix_id"]))
+    out = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mix_id"]) & docs["source"].eqNullSafe(copies["mix_source"])
+                    & (sha == copies["mix_sha"]))
     each = F.explode(F.sequence(F.lit(1), copies["mix_copies"]))
     return out.select(*[docs[c] for c in docs.columns], each.alias("mix_" + "_".join(docs.columns))).toDF(
         *docs.columns, "mix_" + "_".join(docs.columns)).select(*docs.columns)

@@ -386,6 +386,25 @@ def test_mixing_targets_and_pieces(spark):
     assert stage.columns == frame(spark, ODD, **CLASH).columns
 
 
+def test_mixing_stage_reaches_small_targets_in_a_large_corpus(spark):
+    # 14 million words: a block of the 1 << 17 slots has 161 words, more than the target of the small source
+    data = [(i, "w " * 30_000, "big") for i in range(470)] + [(1000 + i, "t " * 2, "tiny") for i in range(20)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = Counter(r.source for r in mixing.mixing_stage(spark, df, "").collect())
+    target = {r.source: r.target for r in mixing.source_targets(
+        spark.createDataFrame([("big", 470 * 30_000), ("tiny", 40)], "source string, source_size long")).collect()}
+    assert abs(got["tiny"] * 2 - target["tiny"]) <= 2 and abs(got["big"] * 30_000 - target["big"]) <= 30_000
+
+
+def test_mixing_stage_counts_rows_of_one_id_apart(spark):
+    data = [(i if i % 2 else None, f"x{i} y z", "ab"[i % 2]) for i in range(200)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = Counter(r.source for r in mixing.mixing_stage(spark, df, "").collect())
+    target = {r.source: r.target for r in mixing.source_targets(
+        spark.createDataFrame([("a", 300), ("b", 300)], "source string, source_size long")).collect()}
+    assert all(abs(3 * got[s] - target[s]) <= 3 for s in target)
+
+
 # ---- 10: language -----------------------------------------------------------
 
 def test_language_evidence(spark):
