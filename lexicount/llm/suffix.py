@@ -6,7 +6,9 @@ occur once in the corpus settle all their windows. What is left is cut out of
 the documents and goes through per-shard suffix arrays (Larsson-Sadakane
 refinement, Kasai common prefixes), which find the repeats inside a shard; the
 first copy of each window in a shard is then merged with the other shards,
-routed by its gram, by binary search over sorted window keys.
+routed by its gram, by binary search over sorted window keys. Grams with very
+many such windows (a line that stands in many documents) are not routed whole:
+each of their windows meets its equals by its own key.
 """
 from __future__ import annotations
 
@@ -22,6 +24,7 @@ from .common import cut, mix64
 
 GRAM = 64
 SHARD_BYTES = 1 << 20
+HOT_WINDOWS = 1 << 16  # first copies of one gram that may meet in one task
 PIECE = 1 << 20  # long documents are hashed in overlapping pieces of this size
 _POS_BITS = np.uint64(21)
 
@@ -227,16 +230,22 @@ def shard_repeats(shard: list[tuple[bytes, np.ndarray, tuple]], length: int) ->
             yield tid, a, b, int(gram[i0 + k]), data[a:b + length].tobytes()
 
 
-def _solve(chunk: list[tuple], carry: tuple | None, more: bool, length: int) -> tuple[list[tuple], tuple | None]:
-    """(flagged windows of a chunk of stretches and of ``carry``, distinct windows to carry on of the last gram)."""
-    # keys of the whole chunk at once; windows over a seam between two stretches are left out
-    ends = np.cumsum([len(c[4]) for c in chunk])
-    whole = np.frombuffer(b"".join([c[4] for c in chunk]), dtype=np.uint8)
-    count = np.array([c[2] - c[1] + 1 for c in chunk])
+def stretch_keys(stretches: list[tuple], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offset of each stretch's first window and the end, both keys of all windows) of stretches (tid, lo, hi, gram, bytes)."""
+    # keys of all bytes at once; windows over a seam between two stretches are left out
+    ends = np.cumsum([len(c[4]) for c in stretches])
+    whole = np.frombuffer(b"".join([c[4] for c in stretches]), dtype=np.uint8)
+    count = np.array([c[2] - c[1] + 1 for c in stretches])
     edge = np.concatenate([[0], np.cumsum(count)])
-    begin = ends - np.array([len(c[4]) for c in chunk])
+    begin = ends - np.array([len(c[4]) for c in stretches])
     at_byte = np.repeat(begin - edge[:-1], count) + np.arange(edge[-1])
     k1, k2 = (k[at_byte] for k in window_keys(whole, length))
+    return edge, k1, k2
+
+
+def _solve(chunk: list[tuple], carry: tuple | None, more: bool, length: int) -> tuple[list[tuple], tuple | None]:
+    """(flagged windows of a chunk of stretches and of ``carry``, distinct windows to carry on of the last gram)."""
+    edge, k1, k2 = stretch_keys(chunk, length)
     order = np.lexsort((k2, k1))
     s1, s2 = k1[order], k2[order]
     head = np.flatnonzero(np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])]))
@@ -305,6 +314,31 @@ def merged_repeats(rows: Iterator[tuple], length: int, chunk_bytes: int = 4 * SH
         yield from _solve(chunk, carry if carried == chunk[0][3] else None, False, length)[0]
 
 
+def hot_repeats(stretches: DataFrame, length: int) -> DataFrame:
+    """(tid, lo, hi) of the windows that occur in more than one stretch, each window a row dealt by its keys.
+
+    Shards hold a first copy each, so the windows of one key grow with the
+    shards, not with the documents; the join is a plain exchange.
+    """
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = list(zip(*(c.to_pylist() for c in batch.slice(at, 512).columns), strict=True))
+                edge, k1, k2 = stretch_keys(part, length)
+                count = np.diff(edge)
+                lo = np.arange(edge[-1]) + np.repeat(np.array([c[1] for c in part]) - edge[:-1], count)
+                tid = pa.array([c[0] for c in part], pa.binary()).take(pa.array(np.repeat(np.arange(len(part)), count)))
+                yield pa.RecordBatch.from_arrays(
+                    [tid, pa.array(lo, pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))],
+                    names=["tid", "lo", "k1", "k2"])
+
+    each = cut(stretches.select(*_FIELDS).mapInArrow(windows, "tid binary, lo long, k1 long, k2 long"), "suffix-windows")
+    again = each.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = again.select(F.col("k1").alias("r1"), F.col("k2").alias("r2"))
+    found = each.join(again, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left_semi")
+    return found.select("tid", "lo", F.col("lo").alias("hi"))
+
+
 def repeated_bytes(docs: DataFrame, length: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per input row.
 
@@ -368,7 +402,12 @@ def repeated_bytes(docs: DataFrame, length: int = 200) -> DataFrame:
             yield _batch(list(shard_repeats(shard, length)))
 
     local = cut(texts.select("tid", "text", "wanted").mapInArrow(shards, _OUT), "suffix-shards")
-    stretches = local.filter("bytes is not null").repartition("gram").sortWithinPartitions("gram")
+    leads = local.filter("bytes is not null")
+    hot = leads.groupBy("gram").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("windows"))
+    # at most one gram for every HOT_WINDOWS windows of the corpus
+    hot = F.broadcast(cut(hot.filter(F.col("windows") > HOT_WINDOWS).select(F.col("gram").alias("hot")), "suffix-hot"))
+    stretches = leads.join(hot, F.col("gram") == F.col("hot"), "left_anti").repartition("gram").sortWithinPartitions("gram")
+    crowds = hot_repeats(leads.join(hot, F.col("gram") == F.col("hot"), "left_semi"), length)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows_in = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -382,7 +421,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200) -> DataFrame:
             yield _batch(held)
 
     across = cut(stretches.select(*_FIELDS).mapInArrow(merge, _OUT).select("tid", "lo", "hi"), "suffix-across")
-    flagged = local.filter("bytes is null").select("tid", "lo", "hi").unionByName(across)
+    flagged = local.filter("bytes is null").select("tid", "lo", "hi").unionByName(across).unionByName(crowds)
     windows = flagged.groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("windows"))
     again = windows.withColumnRenamed("tid", "wtid").join(texts.select("tid", "text"), F.col("wtid") == F.col("tid"))
 

@@ -200,6 +200,34 @@ def test_suffix_chunks_of_one_gram():
     assert cover(whole) == cover(parts) == {(b"%d" % i, w) for i in range(40) for w in range(61)}
 
 
+def test_suffix_gram_of_very_many_windows(spark, monkeypatch):
+    rng = random.Random(11)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(90))
+
+    def noise(n):
+        return "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    texts = [noise(150) + line + noise(150) for _ in range(40)]
+    texts += [noise(30) + texts[0][60:320], noise(9) + texts[1][100:330] + noise(9), None, line]
+    frames = {}
+
+    def spied(df, name):
+        frames[name] = write(df, name)
+        return frames[name]
+    write = suffix.cut
+    monkeypatch.setattr(suffix, "cut", spied)
+    monkeypatch.setattr(suffix, "HOT_WINDOWS", 500, raising=False)
+    monkeypatch.setattr(suffix, "SHARD_BYTES", 1)  # every text a shard
+    got = suffix.repeated_bytes(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute_repeats(texts)
+    leads = frames["suffix-shards"].filter("bytes is not null")
+    size = {r.gram: r.n for r in leads.groupBy("gram").agg(F.sum(F.expr("hi - lo + 1")).alias("n")).collect()}
+    hot = {g for g, n in size.items() if n > 500}
+    assert hot and {r.hot for r in frames["suffix-hot"].collect()} == hot
+    each = frames["suffix-windows"]
+    assert each.count() == sum(size[g] for g in hot)  # window by window
+    assert each.groupBy("k1", "k2").count().agg(F.max("count")).first()[0] <= 3
+
+
 def test_suffix_empty_and_repeated_ids(spark):
     df = spark.createDataFrame([(1, "q" * 150), (1, "ab" * 150), (None, "ab" * 150)], "doc_id long, text string")
     assert rows(suffix.repeated_bytes(df), "doc_id", "n_removed") == sorted([(1, 0), (1, 300), (None, 300)], key=repr)
