@@ -69,7 +69,7 @@ def q_stream_log_metrics(spark, d):
     logdir = R.scratch(spark, "trainlog")
     train_log_lines(spark, d).select(F.col("line").alias("value")).write.text(logdir)
     lines = spark.readStream.format("text").load(logdir)
-    return R.run_to_memory(R.stream_log_metrics(lines, LOG_EVERY), mode="complete")
+    return R.run_updates(R.stream_log_metrics(lines, LOG_EVERY), "interval")
 
 
 @register("stream_leakage", f"WITH {LEAK_CTE} SELECT * FROM hits")

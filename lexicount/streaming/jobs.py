@@ -62,6 +62,27 @@ def run_to_files(df: DataFrame, out: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
+def run_updates(df: DataFrame, key: str, out: str | None = None) -> DataFrame:
+    """Run a streaming aggregation over everything available and return the
+    last row of every ``key``. Each batch writes the rows it changed into its
+    own folder (overwrite, so a replayed batch is idempotent); none of them
+    goes through the driver."""
+    spark = df.sparkSession
+    out = out or scratch(spark, "stream-updates")
+    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{out}/batch_id=-1")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    q = (df.writeStream.foreachBatch(write).outputMode("update")
+           .option("checkpointLocation", scratch(spark, "stream-ckpt"))
+           .trigger(availableNow=True).start())
+    q.awaitTermination()
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])).parquet(out)
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*df.columns), "batch_id").alias("r"))
+    return last.select("r.*")
+
+
 def stream_consumption(stream: DataFrame, premium: Mapping[str, float], total_budget: int,
                        raw: str = "num_tokens") -> DataFrame:
     """Running reference-token consumption per language (streaming state

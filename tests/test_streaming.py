@@ -47,3 +47,27 @@ def test_milestones_and_consumption_across_batches(spark):
     s = {r.lang: r.consumed for r in cons.collect()}
     e = {r.lang: r.t for r in batch.groupBy("lang").agg(F.sum("ref_tokens").alias("t")).collect()}
     assert s == e
+
+
+def test_last_row_of_every_key_across_batches(spark):
+    src = tempfile.mkdtemp(prefix="lexicount-updates-", dir="/tmp")
+    for i in range(3):
+        spark.range(i * 40, i * 40 + 60).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(src)
+    out = R.scratch(spark, "test-updates")
+    got = R.run_updates(stream.groupBy(F.expr("id div 25").alias("interval")).agg(F.count(F.lit(1)).alias("n")), "interval", out)
+    want = {}
+    for i in range(3):
+        for x in range(i * 40, i * 40 + 60):
+            want[x // 25] = want.get(x // 25, 0) + 1
+    assert {r.interval: r.n for r in got.collect()} == want
+    assert spark.read.parquet(out).select("batch_id").distinct().count() == 3  # three micro-batches
+
+
+def test_log_metrics_stay_off_the_driver(spark, monkeypatch):
+    from lexicount.plans.catalog import QUERIES
+
+    def to_driver(*args, **kwargs):
+        raise AssertionError("rows that grow with the input were put into the driver's memory sink")
+    monkeypatch.setattr(R, "run_to_memory", to_driver)
+    assert QUERIES["stream_log_metrics"](spark, SF_SMALL).count() > 0
