@@ -425,11 +425,11 @@ def test_mixing_stage_reaches_small_targets_in_a_large_corpus(spark):
 
 
 def test_mixing_stage_counts_rows_of_one_id_apart(spark):
-    data = [(i if i % 2 else None, f"x{i} y z", "ab"[i % 2]) for i in range(200)]
+    data = [(i, f"x{i} y z", "a") for i in range(150)] + [(None, f"x{i} y z", "b") for i in range(250)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
     got = Counter(r.source for r in mixing.mixing_stage(spark, df, "").collect())
     target = {r.source: r.target for r in mixing.source_targets(
-        spark.createDataFrame([("a", 300), ("b", 300)], "source string, source_size long")).collect()}
+        spark.createDataFrame([("a", 450), ("b", 750)], "source string, source_size long")).collect()}
     assert all(abs(3 * got[s] - target[s]) <= 3 for s in target)
 
 
