@@ -2,12 +2,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage as cut
 
-__all__ = ["WORD", "SPACE", "cut", "table", "byte_words", "count_words", "mix64", "fold_of"]
+__all__ = ["WORD", "SPACE", "cut", "table", "byte_words", "count_words", "mix64", "fold_of", "in_order"]
 
 #: One word / one run of white space (ASCII space and \t..\r), as every contract here uses them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,3 +43,23 @@ def fold_of(doc_id: str | Column) -> Column:
     """crc32 of the id as text modulo 4; fold 2 is held out from every learner."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(c.cast("string").cast("binary")) % 4
+
+
+def in_order(rows: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """``rows`` with ``pos``, their position (from 0) in the given order of the whole table.
+
+    A range exchange deals the rows out, every task numbers its own sorted
+    rows, and the totals of the tasks before it are added: no group, however
+    large, is ever one task's window. The numbered rows are written, so a lost
+    executor cannot deal them differently. Rows equal in the order are
+    numbered as they come.
+    """
+    low = (1 << 33) - 1  # monotonically_increasing_id: task above, row within it below
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order)
+                 .withColumn("pos", F.monotonically_increasing_id()), name)
+    task = F.shiftright("pos", 33)
+    sizes = placed.groupBy(task.alias("in_task")).agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.orderBy("in_task").rowsBetween(Window.unboundedPreceding, -1)  # one row per task of the exchange
+    offsets = sizes.select("in_task", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("offset"))
+    out = placed.join(F.broadcast(offsets), task == F.col("in_task"))
+    return out.withColumn("pos", F.col("offset") + F.col("pos").bitwiseAND(F.lit(low))).drop("in_task", "offset")

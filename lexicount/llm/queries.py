@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, langid, minhash, mixing, pieces, quality, suffix, toxicity, vectors
+from . import chat, exact, fingerprint, langid, minhash, mixing, pieces, quality, suffix, toxicity, vectors
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,10 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_suffix"] = op4_suffix
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op13_fingerprints"] = op13_fingerprints
