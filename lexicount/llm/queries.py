@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, fingerprint, langid, minhash, mixing, pieces, quality, suffix, toxicity, vectors
+from . import chat, exact, fingerprint, langid, merkle, minhash, mixing, pieces, quality, suffix, toxicity, vectors
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,52 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op13_fingerprints"] = op13_fingerprints
+
+
+def _crc32_sql(digits: str) -> str:
+    """crc32 of a string of ASCII characters, bit by bit."""
+    step = "list_reduce(range(0, 8)::UBIGINT[], lambda y, i: xor(y >> 1, 3988292384 * (y & 1)), xor(c, a)::UBIGINT)"
+    codes = f"list_transform(string_split({digits}, ''), lambda z: ascii(z)::UBIGINT)"
+    return f"xor(list_reduce({codes}, lambda c, a: {step}, 4294967295::UBIGINT), 4294967295::UBIGINT)"
+
+
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op11_manifest"] = op11_manifest
+ORACLE["op11_manifest"] = r"""
+WITH RECURSIVE f AS (SELECT doc_id, source, text, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+    || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head FROM documents),
+d AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN CRC % 2 = 0 THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-'))
+         END AS tampered FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM d),
+t(source, h, l) AS (SELECT source, 0, list(leaf ORDER BY rank) FROM r GROUP BY source
+    UNION ALL SELECT source, h + 1, list_transform(range(0, len(l), 3), lambda i: sha256(array_to_string(l[i + 1:i + 3], '')))
+    FROM t WHERE len(l) > 1),
+s AS (SELECT source, l[1] AS subroot, h AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS spos FROM t WHERE len(l) = 1),
+u(h, l) AS (SELECT 0, list(subroot ORDER BY spos) FROM s
+    UNION ALL SELECT h + 1, list_transform(range(0, len(l), 3), lambda i: sha256(array_to_string(l[i + 1:i + 3], '')))
+    FROM u WHERE len(l) > 1),
+top AS (SELECT l[1] AS root FROM u WHERE len(l) = 1),
+steps AS (
+    SELECT r.source, r.rank, t.h AS step, r.rank // CAST(pow(3, t.h) AS BIGINT) AS i, t.l
+    FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source WHERE len(t.l) > 1
+    UNION ALL
+    SELECT r.source, r.rank, 1000 + u.h, s.spos // CAST(pow(3, u.h) AS BIGINT), u.l
+    FROM r JOIN s ON r.source IS NOT DISTINCT FROM s.source JOIN u ON len(u.l) > 1),
+parts AS (SELECT source, rank, step, array_to_string(l[i - i % 3 + 1:i], '') AS before,
+                 array_to_string(l[i + 2:i - i % 3 + 3], '') AS after FROM steps),
+p AS (SELECT source, rank, string_agg(before || after, '' ORDER BY step) AS siblings,
+             list({'b': before, 'a': after} ORDER BY step) AS path FROM parts GROUP BY source, rank),
+w(source, rank, k, h, path) AS (SELECT r.source, r.rank, 0, coalesce(r.tampered, r.leaf), p.path
+    FROM r LEFT JOIN p ON r.source IS NOT DISTINCT FROM p.source AND r.rank = p.rank
+    UNION ALL SELECT source, rank, k + 1, sha256(path[k + 1].b || h || path[k + 1].a), path FROM w WHERE k < len(path))
+SELECT r.doc_id, r.leaf, s.subroot, top.root, sha256(coalesce(p.siblings, '')) AS proof_sha256, w.h AS folded_root,
+       w.h = top.root AS verified
+FROM r JOIN s ON r.source IS NOT DISTINCT FROM s.source JOIN top ON true
+LEFT JOIN p ON r.source IS NOT DISTINCT FROM p.source AND r.rank = p.rank
+JOIN w ON r.source IS NOT DISTINCT FROM w.source AND r.rank = w.rank AND w.k = coalesce(len(w.path), 0)""".replace(
+    "CRC", _crc32_sql("CAST(doc_id AS VARCHAR)"))
