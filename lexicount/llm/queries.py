@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, fingerprint, langid, merkle, minhash, mixing, pieces, quality, suffix, toxicity, vectors
+from . import chat, exact, fingerprint, langid, merkle, minhash, mixing, pieces, quality, suffix, toxicity, trie, vectors
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,3 +219,32 @@ FROM r JOIN s ON r.source IS NOT DISTINCT FROM s.source JOIN top ON true
 LEFT JOIN p ON r.source IS NOT DISTINCT FROM p.source AND r.rank = p.rank
 JOIN w ON r.source IS NOT DISTINCT FROM w.source AND r.rank = w.rank AND w.k = coalesce(len(w.path), 0)""".replace(
     "CRC", _crc32_sql("CAST(doc_id AS VARCHAR)"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES["op12_prefix_trie"] = op12_prefix_trie
+ORACLE["op12_prefix_trie"] = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, strlen(r) || ':' || r || x AS body FROM t),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(body)) AS at FROM o),
+c AS (SELECT conv_id AS c, count(*) AS n, CRC % 4 AS h, conv_id - conv_id % 20 AS donor FROM s GROUP BY conv_id),
+k AS (SELECT a.*, least(a.h, coalesce(b.n, 0)) AS lent FROM c a LEFT JOIN c b ON a.donor = b.c),
+b AS (SELECT k.c, s.at AS d, s.x, s.body FROM k JOIN s ON s.conv_id = k.donor AND s.at <= k.h
+      UNION ALL SELECT k.c, k.lent + s.at - k.h, s.x, s.body FROM k JOIN s ON s.conv_id = k.c AND s.at > k.h),
+p AS (SELECT c, d, len(regexp_extract_all(x, '[^ 	-]+')) AS words,
+             sha256(string_agg(strlen(body) || ':' || body, '' ) OVER (PARTITION BY c ORDER BY d)) AS key FROM b
+      UNION ALL SELECT c, 0, 0, 'root' FROM c),
+e AS (SELECT p.*, q.key AS up, p.d = max(p.d) OVER (PARTITION BY p.c) AS is_end FROM p LEFT JOIN p q ON q.c = p.c AND q.d = p.d - 1),
+n AS (SELECT key, min(c) AS conv_id, any_value(d) AS depth, any_value(up) AS up, count(*) AS n_convs,
+             (count(*) - 1) * any_value(words) AS saved,
+             sha256(coalesce(string_agg(c, ',' ORDER BY c) FILTER (is_end), '')) AS ends_sha256 FROM e GROUP BY key),
+m AS (SELECT up AS key, count(*) AS n_children FROM n GROUP BY up),
+f AS (SELECT n.*, coalesce(m.n_children, 0) AS n_children FROM n LEFT JOIN m USING (key)),
+z AS (SELECT p.key, sum(f.saved) AS saved_tokens, count(*) FILTER (f.n_children = 0) AS n_leaves
+      FROM f JOIN p ON p.c = f.conv_id AND p.d <= f.depth GROUP BY p.key)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, g.conv_id AS parent_conv_id, f.n_convs, f.n_children, z.n_leaves,
+       CAST(z.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN z USING (key) LEFT JOIN f g ON g.key = f.up""".replace("CRC", _crc32_sql("CAST(conv_id AS VARCHAR)"))
