@@ -3,21 +3,14 @@
 * T02: pre-tokens come from the byte-level pattern (``regexp_extract_all``)
   and are counted with a two-phase ``groupBy`` - the learner then works on
   the (much smaller) distinct pre-token table, never on the raw text.
-* T03: each round counts adjacent symbol pairs (explode + ``groupBy.sum``),
-  collects only the top candidates (bounded), accepts an *exact* batch of
-  merges on the driver and rewrites the words with a built-in ``aggregate``.
-  A batch is exact: a candidate is accepted only if it shares no symbol with
-  an accepted merge and its count is strictly above every count a pair
-  created by the accepted merges can reach (a pair (x, ab) never occurs more
-  often than (x, a), nor (ab, y) more often than (b, y)); the batch stops at
-  the first candidate that fails. Lineage is cut with ``checkpoint`` into the
-  shared checkpoint folder.
-* T05: encoding is an Arrow-batched pandas UDF with the merge ranks shipped
-  once per executor and a per-task cache of encoded pre-tokens.
+* T03, T05: see ``bpe``; encoding takes any object with ``encode``, shipped once
+  per executor, with a per-task cache of encoded pre-tokens.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,9 +19,11 @@ from pyspark.sql import types as T
 
 from ..config import BYTE_LEVEL_PATTERN, SPECIAL_TOKENS, WHITE_SPACE
 from ..session import cut_lineage
+from .bpe import N_BYTES, BpeEncoder, learn_bpe
+
+__all__ = ["learn_bpe", "BpeEncoder", "encode", "pretokens", "pretoken_counts", "vocab_table", "check_specials",
+           "require_specials", "token_fertility", "learn_unigram", "unigram_words", "nfkc"]
 
-N_BYTES = 256
-KEY_SHIFT = 1 << 20  # pair key = left * KEY_SHIFT + right (ids < 2^20)
 
 
 def pretokens(df: DataFrame, text: str = "text", pattern: str = BYTE_LEVEL_PATTERN) -> DataFrame:
@@ -42,90 +37,6 @@ def pretoken_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return pretokens(df, text).groupBy("pretoken").agg(F.count(F.lit(1)).alias("count"))
 
 
-def _byte_ids(col, offset: int):
-    """UTF-8 bytes of a string as symbol ids ``offset + byte``."""
-    b = F.encode(col, "UTF-8")
-    return F.transform(F.sequence(F.lit(1), F.octet_length(b)),
-                       lambda i: (F.conv(F.hex(F.substring(b, i, 1)), 16, 10).cast("int") + offset))
-
-
-def _apply_batch(syms, batch: dict[int, int]):
-    """Left-to-right merge of the (symbol-disjoint) batch pairs in one pass."""
-    m = F.create_map(*[x for k, v in batch.items() for x in (F.lit(k).cast("long"), F.lit(v))])
-
-    def step(acc, x):
-        n = F.size(acc)
-        last = F.element_at(acc, -1)
-        key = last.cast("long") * KEY_SHIFT + x.cast("long")
-        hit = F.element_at(m, key)
-        merged = F.concat(F.slice(acc, 1, n - 1), F.array(hit))
-        return F.when((n > 0) & hit.isNotNull(), merged).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(syms, F.array().cast("array<int>"), step)
-
-
-def learn_bpe(counts: DataFrame, vocab_size: int, specials: Sequence[str] = SPECIAL_TOKENS,
-              candidates: int = 64, min_count: int = 1, checkpoint_every: int = 10,
-              max_rounds: int | None = None) -> tuple[list[tuple[int, int, int, int]], int]:
-    """Exact BPE merges from a pre-token count table.
-
-    Returns (merges, n_rounds); a merge is (rank, left_id, right_id, count).
-    Ids: specials 0..s-1, bytes s..s+255, merge k gets id s+256+k. Learning
-    ends when ``vocab_size`` is reached or no pair is left; ``min_count`` is a
-    parameter for a minimum pair count (1: none).
-    """
-    off = len(specials)
-    words = counts.select(_byte_ids(F.col("pretoken"), off).alias("syms"), F.col("count").cast("long").alias("cnt"))
-    words = words.filter(F.size("syms") > 1)
-    words = cut_lineage(words)
-    merges: list[tuple[int, int, int, int]] = []
-    next_id = off + N_BYTES
-    rounds = 0
-    while next_id < vocab_size and (max_rounds is None or rounds < max_rounds):
-        rounds += 1
-        n = F.size("syms")
-        pairs = words.select(F.explode(F.arrays_zip(
-            F.slice("syms", F.lit(1), n - 1).alias("a"), F.slice("syms", F.lit(2), n - 1).alias("b"))).alias("p"),
-            "cnt").groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("cnt").alias("c"))
-        pairs = pairs.filter(F.col("c") >= min_count).cache()
-        top = pairs.orderBy(F.col("c").desc(), "a", "b").limit(candidates).collect()
-        if not top:
-            pairs.unpersist()
-            break
-        syms = sorted({r.a for r in top} | {r.b for r in top})
-        # largest count of a pair ending (R) / starting (L) with each candidate symbol
-        ends = pairs.filter(F.col("b").isin(syms)).groupBy(F.col("b").alias("s")).agg(
-            F.max("c").alias("m")).withColumn("side", F.lit("R"))
-        starts = pairs.filter(F.col("a").isin(syms)).groupBy(F.col("a").alias("s")).agg(
-            F.max("c").alias("m")).withColumn("side", F.lit("L"))
-        maxima = ends.unionByName(starts).collect()
-        right_max = {r.s: r.m for r in maxima if r.side == "R"}
-        left_max = {r.s: r.m for r in maxima if r.side == "L"}
-        pairs.unpersist()
-        batch: dict[int, int] = {}
-        used: set[int] = set()
-        bound = 0
-        for r in top:
-            if next_id >= vocab_size:
-                break
-            if batch and (r.a in used or r.b in used or r.c <= bound):
-                break
-            batch[r.a * KEY_SHIFT + r.b] = next_id
-            merges.append((len(merges), r.a, r.b, int(r.c)))
-            used |= {r.a, r.b}
-            bound = max(bound, right_max.get(r.a, 0), left_max.get(r.b, 0))
-            next_id += 1
-        prev = words
-        words = words.select(_apply_batch(F.col("syms"), batch).alias("syms"), "cnt").filter(F.size("syms") > 1)
-        if rounds % checkpoint_every == 0:
-            words = cut_lineage(words)
-        else:
-            words = words.persist()
-            words.count()  # materialise before the previous round's copy is dropped
-        prev.unpersist()
-    return merges, rounds
-
-
 def vocab_table(spark, merges: Sequence[tuple[int, int, int, int]], specials: Sequence[str] = SPECIAL_TOKENS
                 ) -> tuple[DataFrame, DataFrame]:
     """K07 tables: vocabulary (id, token as hex bytes or special) and merges."""
@@ -148,60 +59,51 @@ def check_specials(vocab: DataFrame, specials: Sequence[str] = SPECIAL_TOKENS) -
     return want.join(vocab.filter("special").select("token"), "token", "left_anti")
 
 
-def encode(df: DataFrame, merges: Sequence[tuple[int, int, int, int]], text: str = "text",
-           specials: Sequence[str] = SPECIAL_TOKENS, out: str = "ids") -> DataFrame:
-    """Byte-level BPE ids of each text (pandas UDF, Arrow batches)."""
-    off = len(specials)
-    ranks = {(a, b): (rank, off + N_BYTES + rank) for rank, a, b, _ in merges}
-    bc = df.sparkSession.sparkContext.broadcast(ranks)
-    pattern = BYTE_LEVEL_PATTERN
+def require_specials(vocab: DataFrame, specials: Sequence[str] = SPECIAL_TOKENS) -> DataFrame:
+    """T06 as a gate: the vocabulary itself, or an error that names the specials that did not survive training."""
+    missing = sorted(r.token for r in check_specials(vocab, specials).collect())  # at most the specials
+    if missing:
+        raise ValueError(f"special tokens missing from the vocabulary: {missing}")
+    return vocab
+
+
+class Encoder(Protocol):
+    """Anything that turns a text piece into ids."""
+
+    def encode(self, text: str) -> Any: ...
+
+
+def _ids(encoded: Any) -> list[int]:
+    """Ids from a list or from an object that carries them as ``ids``."""
+    return list(getattr(encoded, "ids", encoded))
+
+
+def encode(df: DataFrame, encoder: Encoder | Sequence[tuple[int, int, int, int]], text: str = "text",
+           specials: Sequence[str] = SPECIAL_TOKENS, out: str = "ids", pattern: str | None = BYTE_LEVEL_PATTERN) -> DataFrame:
+    """Ids of each text by any encoder; a merge list stands for its BPE encoder.
+
+    With ``pattern`` the encoder is given pre-tokens, each distinct one once
+    per task and while it stays among the recent ones; without, whole texts
+    (encoders that cut texts themselves). Null texts have no ids.
+    """
+    enc = encoder if hasattr(encoder, "encode") else BpeEncoder(encoder, specials)
+    shared = df.sparkSession.sparkContext.broadcast(enc)  # bounded by the vocabulary
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import regex
-        rx = regex.compile(pattern)
-        rk = bc.value
-        cache: dict[str, list[int]] = {}
-
-        def bpe(piece: str) -> list[int]:
-            syms = [off + b for b in piece.encode("utf-8")]
-            while len(syms) > 1:
-                best = None
-                for i in range(len(syms) - 1):
-                    r = rk.get((syms[i], syms[i + 1]))
-                    if r is not None and (best is None or r[0] < best[0]):
-                        best = (r[0], r[1], i)
-                if best is None:
-                    break
-                _, new, _ = best
-                pair = (syms[best[2]], syms[best[2] + 1])
-                merged, i = [], 0
-                while i < len(syms):
-                    if i < len(syms) - 1 and (syms[i], syms[i + 1]) == pair:
-                        merged.append(new)
-                        i += 2
-                    else:
-                        merged.append(syms[i])
-                        i += 1
-                syms = merged
-            return syms
-
-        def enc(t) -> list[int]:
-            if t is None:
+        one = lru_cache(maxsize=200_000)(lambda piece: _ids(shared.value.encode(piece)))
+        rx = regex.compile(pattern) if pattern else None
+
+        def ids(t: str | None) -> list[int]:
+            if not t:
                 return []
-            ids: list[int] = []
-            for m in rx.finditer(t):
-                p = m.group(0)
-                c = cache.get(p)
-                if c is None:
-                    c = bpe(p)
-                    if len(cache) < 200_000:
-                        cache[p] = c
-                ids.extend(c)
-            return ids
+            if rx is None:
+                return _ids(shared.value.encode(t))
+            return [i for m in rx.finditer(t) for i in one(m.group(0))]
 
         for texts in batches:  # one cache for the whole task
-            yield texts.map(enc)
+            yield texts.map(ids)
 
     return df.withColumn(out, _encode(F.col(text)))
 

@@ -9,9 +9,9 @@ from ..operators import budget, mixture, packing
 from ..sources.corpus import documents_corpus
 from .catalog import CORPUS_CTE, register
 from .fixture import (FIXTURE_MAX_EPOCHS, FIXTURE_PREMIUM, FIXTURE_SEED, FIXTURE_SEQ_LEN,
-                      FIXTURE_WEIGHTS, normalized)
+                      FIXTURE_WEIGHTS)
 
-W = normalized(FIXTURE_WEIGHTS)
+W = budget.normalize(FIXTURE_WEIGHTS)
 
 
 def plan_docs(spark: SparkSession, d: str) -> DataFrame:

@@ -1,16 +1,21 @@
 """Registered tokenizer queries."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..config import WHITE_SPACE
+from ..config import SPECIAL_TOKENS, WHITE_SPACE
 from ..operators import budget, tokenizer
+from ..session import checkpoint_dir
+from ..sinks import writers
 from ..sources.corpus import documents_corpus
 from .catalog import CORPUS_CTE, register
 from .fixture import FIXTURE_PREMIUM, FIXTURE_SEED
 
 SAMPLE_CHARS = 100_000   # per language
-N_MERGES = 64
+N_MERGES = 256         # merges of the queries that SQL repeats one by one
+VOCAB_SIZE = 32_768    # the default vocabulary
 
 
 def sample(spark, d):
@@ -31,12 +36,13 @@ def q_tokenizer_sample(spark, d):
 # RE2 has no lookahead: the sentinel U+E000 is put before the last whitespace
 # of every run that precedes a non-space, which splits runs exactly where the
 # pattern's "\s+(?!\S)" alternative does; the sentinel tokens are dropped.
-PRETOKEN_SQL = r"""WITH d AS (
+RE2_PATTERN = r"""''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^WS\p{L}\p{N}]+|[WS]+""".replace("WS", WHITE_SPACE)
+PRETOKEN_SQL = (r"""WITH d AS (
   SELECT regexp_replace(text, '([WS]+)([WS])([^WS])', '\1' || chr(57344) || '\2\3', 'g') AS t
   FROM documents WHERE coalesce(text, '') <> ''),
-p AS (SELECT unnest(regexp_extract_all(t,
-        '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^WS\p{L}\p{N}]+|[WS]+')) AS pretoken FROM d)
-SELECT pretoken, count(*) AS count FROM p WHERE pretoken <> chr(57344) GROUP BY pretoken""".replace("WS", WHITE_SPACE)
+p AS (SELECT unnest(regexp_extract_all(t, 'PATTERN')) AS pretoken FROM d)
+SELECT pretoken, count(*) AS count FROM p WHERE pretoken <> chr(57344) GROUP BY pretoken"""
+                .replace("WS", WHITE_SPACE).replace("PATTERN", RE2_PATTERN))
 
 
 @register("pretoken_counts", PRETOKEN_SQL)
@@ -44,31 +50,68 @@ def q_pretoken_counts(spark, d):
     return tokenizer.pretoken_counts(documents_corpus(spark, d))
 
 
+# the sequential rule on all distinct pre-tokens: symbol i is the character 300 + i, a merge replaces two characters
+_S0 = 300
+BPE_SQL = f"""WITH RECURSIVE p AS ({PRETOKEN_SQL}),
+w AS (SELECT pretoken AS o, count AS c, array_to_string(list_transform(range(0, strlen(pretoken)), lambda i:
+             chr(('0x' || substr(hex(encode(pretoken)), CAST(2 * i + 1 AS INT), 2))::INT + {_S0 + len(SPECIAL_TOKENS)})), '') AS w
+      FROM p),
+t(k, o, w, c, a, b, n) AS (SELECT 0, o, w, c, 0, 0, 0::BIGINT FROM w WHERE length(w) > 1
+  UNION ALL
+  SELECT k + 1, o, replace(t.w, chr(best.a) || chr(best.b), chr({_S0 + len(SPECIAL_TOKENS) + 256} + k)), t.c, best.a, best.b, best.n
+  FROM t, (SELECT ord(x) AS a, ord(substr(x, 2)) AS b, CAST(sum(c) AS BIGINT) AS n
+           FROM (SELECT unnest(list_transform(range(1, length(w)), lambda i: substr(w, CAST(i AS INT), 2))) AS x, c FROM t)
+           GROUP BY x ORDER BY sum(c) DESC, a, b LIMIT 1) best
+  WHERE k < {N_MERGES})
+"""
+
+
 def learned(spark, d):
-    counts = tokenizer.pretoken_counts(sample(spark, d))
-    merges, _ = tokenizer.learn_bpe(counts, vocab_size=len(tokenizer.SPECIAL_TOKENS) + 256 + N_MERGES)
+    """The first N_MERGES merges learned from every document."""
+    counts = tokenizer.pretoken_counts(documents_corpus(spark, d))
+    merges, _ = tokenizer.learn_bpe(counts, vocab_size=len(SPECIAL_TOKENS) + 256 + N_MERGES)
     return merges
 
 
-@register("bpe_merges")
+@register("bpe_merges", BPE_SQL + """SELECT CAST(k - 1 AS INT) AS rank, CAST(any_value(a) - 300 AS INT) AS left,
+       CAST(any_value(b) - 300 AS INT) AS right, any_value(n) AS count FROM t WHERE k > 0 GROUP BY k""")
 def q_bpe_merges(spark, d):
     _, mtab = tokenizer.vocab_table(spark, learned(spark, d))
     return mtab
 
 
-@register("bpe_vocab_specials")
+@register("bpe_vocab_specials", "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{t}', false)" for i, t in enumerate(SPECIAL_TOKENS)) + ") v(id, token, missing)")
 def q_bpe_vocab_specials(spark, d):
-    vocab, _ = tokenizer.vocab_table(spark, learned(spark, d))
+    """T06 / K07 on a vocabulary of the default size, learned from every document, written and read back."""
+    counts = tokenizer.pretoken_counts(documents_corpus(spark, d))
+    merges, _ = tokenizer.learn_bpe(counts, vocab_size=VOCAB_SIZE)
+    vocab, mtab = tokenizer.vocab_table(spark, merges)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/vocab-{uuid.uuid4().hex[:12]}"
+    writers.write_vocab(vocab, mtab, path)
+    vocab = tokenizer.require_specials(spark.read.parquet(f"{path}/vocab"))
     missing = tokenizer.check_specials(vocab)
     return vocab.filter("special").join(missing.withColumn("missing", F.lit(True)), "token", "left") \
         .select("id", "token", F.coalesce("missing", F.lit(False)).alias("missing"))
 
 
-@register("token_fertility")
+_PREMIUM_ROWS = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in FIXTURE_PREMIUM.items())
+# tokens of a pre-token: the characters left of its word after the last merge; a single byte is one token
+FERTILITY_SQL = BPE_SQL + f""", {CORPUS_CTE},
+prem(lang, x) AS (VALUES {_PREMIUM_ROWS}),
+l AS (SELECT lang, unnest(regexp_extract_all(regexp_replace(text, '([WS]+)([WS])([^WS])', '\\1' || chr(57344) || '\\2\\3', 'g'),
+             '{RE2_PATTERN}')) AS o FROM documents WHERE coalesce(text, '') <> ''),
+f AS (SELECT o, length(w) AS m FROM t WHERE k = (SELECT max(k) FROM t)),
+n AS (SELECT lang, CAST(sum(coalesce(m, 1)) AS BIGINT) AS tokenizer_tokens FROM l LEFT JOIN f USING (o) WHERE o <> chr(57344) GROUP BY lang),
+r AS (SELECT lang, CAST(sum(floor(num_tokens / x)) AS BIGINT) AS reference_tokens FROM corpus JOIN prem USING (lang) GROUP BY lang)
+SELECT lang, tokenizer_tokens, reference_tokens, CAST(tokenizer_tokens AS DOUBLE) / reference_tokens AS fertility FROM n JOIN r USING (lang)
+""".replace("WS", WHITE_SPACE)
+
+
+@register("token_fertility", FERTILITY_SQL)
 def q_token_fertility(spark, d):
-    merges = learned(spark, d)
     docs = budget.with_ref_tokens(documents_corpus(spark, d), FIXTURE_PREMIUM)
-    return tokenizer.token_fertility(tokenizer.encode(docs, merges))
+    return tokenizer.token_fertility(tokenizer.encode(docs, learned(spark, d)))
 
 
 @register("unigram_vocab")

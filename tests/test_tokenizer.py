@@ -3,7 +3,10 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pytest
+
 from lexicount.operators import tokenizer
+from lexicount.operators.bpe import merge_symbols
 
 TEXT = ("the cat sat on the mat. the cats sat on the mats! a cat, a mat; the hat. "
         "über die Straße, ça va? 東京 2024 the the that this thin thing things ") * 3
@@ -95,3 +98,61 @@ def test_every_pair_can_be_merged(spark):
     counts = spark.createDataFrame([("abcd", 1)], "pretoken string, count long")
     merges, _ = tokenizer.learn_bpe(counts, vocab_size=1000)
     assert len(merges) == 3
+
+
+@pytest.mark.parametrize("limits", [{}, {"pairs_per_round": 8}, {"pairs_per_round": 40, "max_runs": 12}, {"max_runs": 1}])
+def test_rounds_change_with_the_limits_but_not_the_merges(spark, limits):
+    df = spark.createDataFrame([(TEXT,), ("aaaa aaaaaaa aa banana bananas nana",)], "text string")
+    counts = tokenizer.pretoken_counts(df)
+    local = {r.pretoken: r["count"] for r in counts.collect()}
+    n = 6 if limits == {"max_runs": 1} else 60  # no run fits: one merge a round
+    merges, rounds = tokenizer.learn_bpe(counts, vocab_size=4 + 256 + n, **limits)
+    assert [(a, b, c) for _, a, b, c in merges] == sequential_bpe(local, n, min_count=1)
+    assert rounds == 1 if not limits else 1 < rounds <= n
+
+
+def test_a_round_makes_many_merges(spark):
+    """A vocabulary of thousands takes a few rounds, and the threshold of a round is never undercut."""
+    import random
+    rng = random.Random(3)
+    words = ["".join(rng.choice(["ba", "ke", "lo", "mi", "tun", "ser"]) for _ in range(rng.randint(1, 5))) for _ in range(1500)]
+    counts = spark.createDataFrame([(w, 1 + 3000 // (i + 1)) for i, w in enumerate(dict.fromkeys(words))], "pretoken string, count long")
+    merges, rounds = tokenizer.learn_bpe(counts, vocab_size=4 + 256 + 700, pairs_per_round=300)
+    assert len(merges) == 700 and rounds <= 20
+    assert all(x[3] >= y[3] for x, y in zip(merges, merges[1:], strict=False))
+
+
+def test_merge_of_a_long_pretoken_is_fast():
+    import time
+    table = {(1, 1): (0, 2), (2, 2): (1, 3), (3, 3): (2, 4)}
+    start = time.time()
+    assert tokenizer.BpeEncoder([]).encode("") == [] and merge_symbols([1] * 5, table) == [3, 1]
+    assert len(merge_symbols([1] * 200_001, table)) == 25_001
+    assert time.time() - start < 10
+
+
+class Words:
+    """An encoder of whole texts: the length of each word."""
+
+    def encode(self, text):
+        return [len(w) for w in text.split()]
+
+
+class Carrier:
+    """An encoder whose result carries the ids."""
+
+    def encode(self, piece):
+        return type("Encoded", (), {"ids": list(piece.encode())})()
+
+
+def test_any_encoder_can_be_used(spark):
+    df = spark.createDataFrame([("ab cde",), ("",), (None,)], "text string")
+    assert [r.ids for r in tokenizer.encode(df, Words(), pattern=None).collect()] == [[2, 3], [], []]
+    assert [r.ids for r in tokenizer.encode(df, Carrier()).collect()] == [list(b"ab cde"), [], []]
+
+
+def test_missing_specials_stop_the_run(spark):
+    vocab, _ = tokenizer.vocab_table(spark, [], specials=("<pad>", "<eos>"))
+    with pytest.raises(ValueError, match="<bos>.*<unk>"):
+        tokenizer.require_specials(vocab)
+    assert tokenizer.require_specials(vocab, ("<pad>", "<eos>")).count() == 258
