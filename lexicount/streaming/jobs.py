@@ -159,19 +159,33 @@ def stream_log_metrics(lines: DataFrame, log_every: int) -> DataFrame:
         F.max("ref_tokens").alias("ref_tokens"), F.count(F.lit(1)).alias("n_steps"))
 
 
-def stream_leakage(stream: DataFrame, probes: DataFrame, out: str, ngram: int = 3):
-    """Leakage screen of every micro-batch against the static probes.
-
-    Each batch runs the id-only plan of ``leakage_hits`` and overwrites its own
-    folder under ``out``, so a replayed batch is idempotent. Returns the
-    started query."""
-    from ..operators.leakage import leakage_hits
+def stream_leakage(stream: DataFrame, probes: DataFrame, out: str, block_chars: int = 1 << 22):
+    """Leakage screen of a stream against static probes; returns the started query.
+
+    The probe index is built once. Probes of at most ``block_chars``
+    characters become one automaton on every executor, and the stream itself
+    emits hits: no batch plans, joins or shuffles anything. For larger probe
+    sets an index of their word n-grams is written before the stream starts;
+    each batch looks its texts' n-grams up there by the n-gram of every probe
+    that earlier batches have seen least, and adds its own document
+    frequencies. A replayed batch overwrites what it wrote.
+    """
+    from ..operators import leakage
+    spark = stream.sparkSession
+    ckpt = scratch(spark, "leakage-ckpt")
+    if leakage.n_blocks(probes, block_chars) == 1:
+        shared, ids = leakage.share_block(probes, 0, 1)
+        schema = leakage.hit_schema(stream, ids)
+        hits = stream.select("doc_id", "lang", "data_source", "category", "text").mapInArrow(
+            leakage.scanner(shared, schema.names), schema)
+        return (hits.writeStream.format("parquet").outputMode("append").option("path", out)
+                    .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    index = leakage.ProbeIndex.build(probes, scratch(spark, "leakage-index"))
 
     def screen(batch: DataFrame, batch_id: int) -> None:
-        leakage_hits(batch, probes, ngram=ngram).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        index.screen(batch, batch_id).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    return (stream.writeStream.foreachBatch(screen)
-                  .option("checkpointLocation", scratch(stream.sparkSession, "leakage-ckpt"))
+    return (stream.writeStream.foreachBatch(screen).option("checkpointLocation", ckpt)
                   .trigger(availableNow=True).start())
 
 
