@@ -1,10 +1,13 @@
 """Mixing sources to target weights by a low-discrepancy schedule (operator 9).
 
 Points of the golden-ratio sequence are mapped through the cumulative source
-weights; the k-th slot that falls to a source takes that source's k-th block
+targets; the k-th slot that falls to a source takes that source's k-th block
 of equally many words, cut from its documents in a shuffled order repeated up
-to ``cap`` times. The schedule is a fixed function of the targets, so reruns
-agree, and any prefix of it is close to the target shares.
+to ``cap`` times. A source's last block ends at its target to the word, and a
+block that got no slot is appended, so every source reaches its target at any
+size; slots grow with the corpus and are ranked in parallel. The schedule is a
+fixed function of the targets, so reruns agree, and any prefix of it is close
+to the target shares.
 """
 from __future__ import annotations
 
@@ -12,12 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.prefix_sum import running_sums
-from .common import count_words, cut
+from .common import count_words, cut, in_order
 
 #: Multiplier of the integer golden-ratio sequence on [0, 2^32): fixed value, floor(2^32 / phi) made odd.
 GOLDEN = 2654435769
 _RING = 1 << 32
-_CELL_BITS = 12
+_CELL_BITS = 12  # at least; more for many sources
+_RANK_BITS = 16  # slots of a ranking bucket
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5,
@@ -47,30 +51,43 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     return s.select("source", "source_size", target.alias("target"))
 
 
-def schedule(spark: SparkSession, targets: DataFrame, slots: int = 1 << 17) -> DataFrame:
-    """slot, skey, block (0, 1, ... within the source), words (of a block).
+def schedule(targets: DataFrame, block_words: int = 1024) -> DataFrame:
+    """slot, skey, block (0, 1, ... within the source), words (of the block).
 
-    ``targets`` has skey, target. Slots are equal-word blocks, about ``slots``
-    of them; slot i has the point frac(i / phi) in 32-bit integers. Points meet
-    sources through equal cells of the unit interval (an equi-join).
+    ``targets`` has skey, target; a target is taken in whole words (rounded).
+    There are as many slots as blocks; slot i has the point frac(i / phi) in
+    32-bit integers. Points meet sources through equal cells of the unit
+    interval (an equi-join), four cells or more for each source.
     """
-    o = Window.orderBy("skey")
-    t = targets.select("skey", "target", F.sum("target").over(Window.partitionBy()).alias("total"),
-                       F.sum("target").over(o.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
-    t = t.filter("total > 0").select(
-        "skey", F.greatest(F.lit(1), F.ceil(F.col("total") / slots)).cast("long").alias("words"), "total",
-        F.floor((F.col("upto") - F.col("target")) / F.col("total") * _RING).cast("long").alias("lo"),
-        F.when(F.col("upto") >= F.col("total"), F.lit(_RING)).otherwise(F.floor(F.col("upto") / F.col("total") * _RING))
-        .cast("long").alias("hi")).filter("hi > lo")
-    shift = 32 - _CELL_BITS
-    cells = t.withColumn("cell", F.explode(F.sequence(F.shiftright("lo", shift), F.shiftright(F.col("hi") - 1, shift))))
-    points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") * GOLDEN) % _RING).alias("point"))
+    spark = targets.sparkSession
+    whole = F.floor(F.col("target") + 0.5).cast("long")
+    t = targets.select("skey", whole.alias("words")).filter("words > 0")
+    o = Window.orderBy("skey")  # one row per source
+    t = cut(t.select("skey", "words", F.ceil(F.col("words") / block_words).alias("blocks"), F.sum("words").over(o).alias("upto"),
+                     F.sum("words").over(Window.partitionBy()).alias("total")), "mix-plan")
+    facts = t.agg(F.sum("blocks").alias("slots"), F.count(F.lit(1)).alias("sources")).first()
+    slots = int(facts["slots"] or 0)
+    bits = min(28, max(_CELL_BITS, facts["sources"].bit_length() + 2))
+    t = t.withColumn("lo", F.floor((F.col("upto") - F.col("words")) / F.col("total") * _RING).cast("long"))
+    t = t.withColumn("hi", F.floor(F.col("upto") / F.col("total") * _RING).cast("long"))
+    shift = 32 - bits
+    cells = t.filter("hi > lo").withColumn("cell", F.explode(F.sequence(F.shiftright("lo", shift), F.shiftright(F.col("hi") - 1, shift))))
+    i = F.col("id") % _RING  # i * GOLDEN modulo the ring in two halves, which stay below 2^63
+    point = ((F.shiftright(i, 16) * GOLDEN % _RING) * 65536 + i.bitwiseAND(F.lit(65535)) * GOLDEN) % _RING
+    points = spark.range(slots).select(F.col("id").alias("slot"), point.alias("point"))
     points = points.withColumn("cell", F.shiftright("point", shift))
-    hit = points.join(cells, "cell").filter(
-        (F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi")) &
-        (F.col("slot") < F.ceil(F.col("total") / F.col("words"))))
-    rank = Window.partitionBy("skey").orderBy("slot")  # at most ``slots`` rows in all, a parameter
-    return hit.select("slot", "skey", (F.row_number().over(rank) - 1).cast("long").alias("block"), "words")
+    hit = points.join(cells, "cell").filter((F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi")))
+    hit = hit.select("slot", "skey", F.lit(1).cast("long").alias("one"))
+    hit = running_sums(cut(hit, "mix-slots"), ["one"], ["slot"], F.shiftright("slot", _RANK_BITS), ["skey"])
+    hit = hit.select("slot", F.col("skey").alias("hkey"), F.col("one_before").alias("block"))
+    size = F.least(F.lit(block_words).cast("long"), F.col("words") - F.col("block") * block_words).alias("words")
+    placed = cut(hit.join(t, F.col("hkey") == F.col("skey")).filter("block < blocks").select("slot", "skey", "block", size), "mix-placed")
+    # blocks without a slot, a few of a source: appended block by block, sources in turn
+    given = placed.groupBy(F.col("skey").alias("gkey")).agg(F.count(F.lit(1)).alias("given"))
+    late = t.join(given, F.col("skey") == F.col("gkey"), "left").withColumn("given", F.coalesce("given", F.lit(0).cast("long")))
+    late = late.filter("given < blocks").withColumn("block", F.explode(F.sequence("given", F.col("blocks") - 1)))
+    late = in_order(late.select("skey", "block", size), ["block", "skey"], "mix-late")
+    return placed.unionByName(late.select((F.col("pos") + slots).alias("slot"), "skey", "block", "words"))
 
 
 def positions(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, passes: int = 2,
@@ -89,7 +106,7 @@ def positions(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: fl
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, passes: int = 2,
-          slots: int = 1 << 17, seed: str = "") -> tuple[DataFrame, DataFrame]:
+          block_words: int = 1024, seed: str = "", *more: Column) -> tuple[DataFrame, DataFrame]:
     """(documents with targets and words taken, pieces of the mix).
 
     Documents: doc_id, source, size, source_size, target, taken; one row per
@@ -97,19 +114,19 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     the mix itself in slot order. Null or empty texts have size 0 and nothing
     taken; a null source is a source of its own, ordered last. Repeated rows
     count as separate documents. An empty table gives no rows, and no words at
-    all give targets of 0. Columns besides doc_id, text, source are ignored.
+    all give targets of 0. Columns besides doc_id, text, source are ignored,
+    but ``more`` (named expressions) go along with the documents.
     """
-    d, targets = positions(docs, weights, share, passes, seed)
-    plan = schedule(docs.sparkSession, targets, slots)
-    total = targets.agg(F.greatest(F.lit(1), F.ceil(F.sum("target") / slots)).cast("long").alias("words"))
-    per_block = int(total.first()["words"] or 1)
-    start = F.col("pass_no") * F.col("source_size") + F.col("size_before")
+    d, targets = positions(docs, weights, share, passes, seed, *more)
+    plan = schedule(targets, block_words)
+    upto = F.floor(F.col("target") + 0.5).cast("long")
     spans = (d.filter("size > 0").withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
-             .withColumn("start", start.cast("long"))
-             .withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / per_block),
-                                                       F.floor((F.col("start") + F.col("size") - 1) / per_block)))))
-    begin = F.greatest("start", F.col("block") * per_block)
-    end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * per_block)
+             .withColumn("start", (F.col("pass_no") * F.col("source_size") + F.col("size_before")).cast("long"))
+             .withColumn("stop", F.least(F.col("start") + F.col("size"), upto)).filter("start < stop"))
+    spans = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words),
+                                                           F.floor((F.col("stop") - 1) / block_words))))
+    begin = F.greatest("start", F.col("block") * block_words)
+    end = F.least("stop", (F.col("block") + 1) * block_words)
     pieces = spans.join(plan.select("slot", "skey", "block"), ["skey", "block"]).select(
         "slot", "skey", "doc_id", "size", "size_before", "pass_no", (begin - F.col("start")).alias("first_word"),
         (end - begin).cast("long").alias("n_words"))
@@ -118,24 +135,17 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     taken = taken.select(*[F.col(c).alias(f"t_{c}") for c in key], "taken")
     same = (F.col("skey") == F.col("t_skey")) & (F.col("size_before") == F.col("t_size_before")) & \
         F.col("doc_id").eqNullSafe(F.col("t_doc_id")) & (F.col("size") == F.col("t_size"))
+    kept = [c for c in d.columns if c not in ("okey", "skey", "size_before", "doc_id", "source", "size", "source_size", "target")]
     out = d.join(taken, same, "left").select(
         "doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target",
-        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *kept)
     return out, pieces
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents as often as the mix takes them (words taken / size, rounded: 0, 1 or 2 rows).
-
-    Which words a finished mix takes does not depend on its order: a source's
-    documents in shuffled order, pass after pass, up to its target, to the word.
-    """
+    """Pipeline stage: documents as often as the mix takes them (words taken / size, rounded: 0, 1 or 2 rows)."""
     sha = F.sha2(docs["text"].cast("binary"), 256)  # documents may share an id, or have none
-    d, _ = positions(docs, (5, 2, 1), 1.5, 2, "", sha.alias("sha"))
-    upto = F.floor(F.col("target") + 0.5)
-    parts = [F.greatest(F.lit(0), F.least(F.col("size"), upto - k * F.col("source_size") - F.col("size_before")))
-             for k in range(2)]
-    taken = d.filter("size > 0").withColumn("taken", parts[0] + parts[1])
+    taken, _ = mixed(docs, (5, 2, 1), 1.5, 2, 1024, "", sha.alias("sha"))
     copies = (taken.filter("taken > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"),
                                                 F.col("sha").alias("mix_sha"))
               .agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("mix_copies"))

@@ -45,22 +45,12 @@ l AS (SELECT *, row_number() OVER o AS i,
       FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
 t AS (SELECT source, source_size, coalesce(least(cap, weight * (SELECT min_by(level, i) FROM l WHERE level * weight < cap)),
                                            cap) AS target FROM l),
-c AS (SELECT *, sum(target) OVER () AS total,
-             sum(target) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) AS upto FROM t),
-r AS (SELECT source, total, CAST(greatest(1, ceil(total / 131072)) AS BIGINT) AS words,
-             CAST(floor((upto - target) / total * 4294967296) AS BIGINT) AS lo,
-             CASE WHEN upto >= total THEN 4294967296 ELSE CAST(floor(upto / total * 4294967296) AS BIGINT) END AS hi
-      FROM c WHERE total > 0),
-n AS (SELECT r.source, any_value(words) * count(*) AS words
-      FROM range(131072) s(i) JOIN r ON (s.i * 2654435769) % 4294967296 >= lo AND (s.i * 2654435769) % 4294967296 < hi
-                                    AND s.i < ceil(total / words)
-      GROUP BY r.source),
 p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, size
                                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
 SELECT p.doc_id, p.size, t.source_size, t.target,
-       CAST(greatest(0, least(p.size, coalesce(n.words, 0) - p.before))
-            + greatest(0, least(p.size, coalesce(n.words, 0) - t.source_size - p.before)) AS BIGINT) AS taken
-FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN n ON p.source IS NOT DISTINCT FROM n.source"""
+       CAST(greatest(0, least(p.size, floor(t.target + 0.5) - p.before))
+            + greatest(0, least(p.size, floor(t.target + 0.5) - t.source_size - p.before)) AS BIGINT) AS taken
+FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source"""
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +224,8 @@ c AS (SELECT conv_id AS c, count(*) AS n, CRC % 4 AS h, conv_id - conv_id % 20 A
 k AS (SELECT a.*, least(a.h, coalesce(b.n, 0)) AS lent FROM c a LEFT JOIN c b ON a.donor = b.c),
 b AS (SELECT k.c, s.at AS d, s.x, s.body FROM k JOIN s ON s.conv_id = k.donor AND s.at <= k.h
       UNION ALL SELECT k.c, k.lent + s.at - k.h, s.x, s.body FROM k JOIN s ON s.conv_id = k.c AND s.at > k.h),
-p AS (SELECT c, d, len(regexp_extract_all(x, '[^ 	-]+')) AS words,
+p AS (SELECT c, d, len(regexp_extract_all(x, '[^ 	-
+]+')) AS words,
              sha256(string_agg(strlen(body) || ':' || body, '' ) OVER (PARTITION BY c ORDER BY d)) AS key FROM b
       UNION ALL SELECT c, 0, 0, 'root' FROM c),
 e AS (SELECT p.*, q.key AS up, p.d = max(p.d) OVER (PARTITION BY p.c) AS is_end FROM p LEFT JOIN p q ON q.c = p.c AND q.d = p.d - 1),
