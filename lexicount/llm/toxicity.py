@@ -2,9 +2,9 @@
 
 A window of consecutive words is the average of its words, a word the average
 of the embeddings of its character n-grams; a two-class linear softmax on top
-gives the window's log odds. The odds of a document are the sum of its
-windows' odds (any window may make it toxic), so one insult in a long text is
-not averaged away. Embeddings and softmax weights are trained jointly in numpy
+gives the window's log odds. The odds of a document are the summed odds of its
+MOST most suspicious windows: one insult in a long text is not averaged away,
+and neutral text of any length does not add up to an insult. Embeddings and softmax weights are trained jointly in numpy
 on a bounded sample of labelled documents; unseen misspellings are scored
 through the n-grams they share with seen words.
 """
@@ -23,6 +23,8 @@ from .features import ngrams, text_codes, word_index
 from .labelled import HELD_OUT, labelled_sample
 
 LOW, HIGH, BITS, DIM, WINDOW = 3, 5, 18, 8, 3
+#: Windows that decide on a document, whatever its length.
+MOST = 4
 #: Bound of the training sample, per class; documents scoring at least THRESHOLD are predicted toxic.
 TRAIN_PER_CLASS = 1500
 THRESHOLD = 0.3
@@ -57,8 +59,10 @@ def window_logits(bucket: np.ndarray, word: np.ndarray, n_words: int, per_bucket
     return np.bincount(win, weights=z) / np.bincount(win)
 
 
-def pooled(z: np.ndarray) -> float:
-    """Log of the summed odds."""
+def pooled(z: np.ndarray, most: int = MOST) -> float:
+    """Log of the summed odds of the ``most`` windows with the greatest odds: further neutral text adds nothing."""
+    if len(z) > most:
+        z = np.partition(z, len(z) - most)[-most:]
     top = z.max()
     return float(top + np.log(np.exp(z - top).sum()))
 
