@@ -3,12 +3,14 @@
 One pass over the texts gives each document the digest of its word sequence,
 its number of distinct shingles, b low bits of each of its minima packed into
 longs, and one hash per band of minima. Documents with equal word sequences
-are one class from then on. Classes that share a band are compared with the
-band's elected members only: signature bit counts give the collision-corrected
-similarity, pairs clearly below the threshold are dropped, the others are
-confirmed on their full shingle sets. Members that are still unconnected in a
-shared band go on to the next round with more elected members, until every
-pair of a band is either connected or compared.
+are one class from then on. In every band the member nearest to the middle of
+its group is elected and compared with the others: signature bit counts give
+the collision-corrected similarity, pairs clearly below the threshold are
+dropped, the others are confirmed on their full shingle sets. Where a band
+still holds several components, its members meet by their rarest shingles: two
+sets that reach the threshold share one of the first n - ceil(0.8 n) + 1 in
+any common order, and in the order of rarity sets that share only common text
+never meet. No step pairs up a group.
 """
 from __future__ import annotations
 
@@ -34,8 +36,7 @@ class Params:
     A pair at similarity s shares no band with probability (1 - s^rows)^bands:
     5e-6 at 0.8, 6e-9 at 0.85. ``margin`` standard deviations of the signature
     estimate are allowed below the threshold before a pair is dropped
-    unconfirmed (chance 1e-10 at 0.8). ``growth`` is by how much the number of
-    elected members of a band that is still open grows from round to round.
+    unconfirmed (chance 3e-6 at 0.8).
     """
 
     shingle: int = 5
@@ -43,8 +44,7 @@ class Params:
     rows: int = 6
     num: int = 80
     den: int = 100
-    margin: float = 6.5
-    growth: int = 64
+    margin: float = 4.5
 
     @property
     def least_matches(self) -> int:
@@ -157,11 +157,53 @@ def confirmed(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _elected(open_rows: DataFrame, salts: int) -> DataFrame:
-    """bucket, hub, hub_label: up to ``salts`` members of each bucket, the heaviest of each salt."""
-    best = F.max(F.struct("weight", (-F.col("id")).alias("minus"), "label"))
-    return cut(open_rows.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).agg(best.alias("h"))
-               .select("bucket", (-F.col("h.minus")).alias("hub"), F.col("h.label").alias("hub_label")), "minhash-hubs")
+def _elected(open_rows: DataFrame) -> DataFrame:
+    """bucket, hub: the member of each bucket with the greatest weight (ties: smallest id)."""
+    best = F.max(F.struct("weight", (-F.col("id")).alias("minus")))
+    return cut(open_rows.groupBy("bucket").agg(best.alias("h")).select("bucket", (-F.col("h.minus")).alias("hub")), "minhash-hubs")
+
+
+def shingle_rows(texts: DataFrame, p: Params) -> DataFrame:
+    """(id, seq, n, shingle): the 64-bit digests of every text's shingles, n of them; seq is that of its words."""
+    def digest(x: bytes) -> bytes:
+        return hashlib.blake2b(x, digest_size=8).digest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = byte_words(t.as_py())
+                found = shingle_set(words, p.shingle)
+                seq = int.from_bytes(digest(b" ".join(words)), "little", signed=True)
+                h = b"".join(digest(b" ".join(s)) for s in found)
+                same = [pa.array(np.full(len(found), x, dtype=np.int64)) for x in (i, seq, len(found))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.frombuffer(h, dtype=np.int64))],
+                                                 names=["id", "seq", "n", "shingle"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "id long, seq long, n long, shingle long")
+
+
+def rare_pairs(texts: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
+    """(a, b) of different labels, a > b, that can reach the threshold by their rarest shingles and their sizes.
+
+    ``labels`` has id, label of the documents to pair, ``texts`` their distinct (doc_id, text).
+    """
+    rows = cut(shingle_rows(texts, p), "minhash-shingles")
+    seen = rows.groupBy(F.col("shingle").alias("s")).agg(F.count(F.lit(1)).alias("seen"))
+    rows = rows.join(seen, F.col("shingle") == F.col("s")).select("id", "seq", "n", "shingle", "seen")
+    # one document's shingles: the first of them in the common order (rarest first) are enough
+    enough = (F.col("n") - F.ceil(F.col("n") * p.num / p.den) + 1).cast("int")
+    prefix = rows.groupBy("id", "seq", "n").agg(F.collect_list(F.struct("seen", "shingle")).alias("all")).select(
+        "id", "n", F.explode(F.slice(F.sort_array("all"), F.lit(1), enough)).alias("f"))
+    prefix = prefix.filter("f.seen > 1").select("id", "n", "f.shingle").join(labels, "id")
+    prefix = cut(prefix.select("id", "n", "shingle", "label"), "minhash-prefix")
+    split = cut(prefix.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("shingle"),
+                "minhash-prefix-split")
+    prefix = cut(prefix.join(split, "shingle"), "minhash-prefix")
+    x = prefix.select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    y = prefix.select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    fits = (F.least("na", "nb") * p.den >= F.greatest("na", "nb") * p.num)
+    both = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & fits)
+    return both.select("a", "b").distinct()
 
 
 def near_groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -188,34 +230,34 @@ def near_groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
     first = cut(band.join(shared, "bucket").select("bucket", "id", "n"), "minhash-open")
     # members of the fullest bands are nearest to the middle of their group: they are elected first
     weight = cut(first.groupBy("id").agg(F.sum("n").alias("weight")), "minhash-weights")
-    open_rows = cut(first.select("bucket", "id").join(weight, "id")
-                    .select("bucket", "id", "weight", F.col("id").alias("label")), "minhash-open")
-    hubs = _elected(open_rows, 1)
+    open_rows = cut(first.select("bucket", "id").join(weight, "id").select("bucket", "id", "weight"), "minhash-open")
     sig = rep_sig.select("id", "sig")
     cand_ids = weight.select(F.col("id").alias("cand"))
     texts = cut(docs.join(cand_ids, F.col("doc_id") == F.col("cand"), "left_semi"), "minhash-texts")
-    edges: DataFrame | None = None
-    salts = 1
-    while not open_rows.isEmpty():
-        tried = open_rows.join(hubs, "bucket").filter((F.col("id") != F.col("hub")) & (F.col("label") != F.col("hub_label")))
-        tried = tried.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """The pairs whose signatures, and then whose full sets, reach the threshold."""
         s1 = sig.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
         s2 = sig.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
-        likely = tried.join(s1, "a").join(s2, "b").filter(matches("sa", "sb", p.bands * p.rows) >= p.least_matches)
-        likely = cut(likely.select("a", "b"), "minhash-likely")
-        found = cut(confirmed(likely, texts, p), "minhash-links")
-        edges = found if edges is None else edges.unionByName(found)
+        likely = pairs.join(s1, "a").join(s2, "b").filter(matches("sa", "sb", p.bands * p.rows) >= p.least_matches)
+        return cut(confirmed(cut(likely.select("a", "b"), "minhash-likely"), texts, p), "minhash-links")
+
+    edges: DataFrame | None = None
+    if not open_rows.isEmpty():
+        hubs = _elected(open_rows)
+        tried = open_rows.join(hubs, "bucket").filter(F.col("id") != F.col("hub"))
+        edges = links(tried.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct())
+        # elected members are done in their buckets; buckets with one component left are done
+        rest = open_rows.select("bucket", "id").join(hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
         labels = components(edges)
-        # elected members are done in their buckets; buckets with one label left are done
-        rest = open_rows.select("bucket", "id", "weight").join(
-            hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
         rest = cut(rest.join(labels, F.col("id") == F.col("node"), "left")
-                   .select("bucket", "id", "weight", F.coalesce("component", "id").alias("label")), "minhash-rest")
+                   .select("bucket", "id", F.coalesce("component", "id").alias("label")), "minhash-rest")
         split = cut(rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                     .filter("lo < hi").select("bucket"), "minhash-split")
-        open_rows = cut(rest.join(split, "bucket"), "minhash-open")
-        salts *= p.growth
-        hubs = _elected(open_rows, salts)
+        left = cut(rest.join(split, "bucket", "left_semi").select("id", "label").distinct(), "minhash-left")
+        if not left.isEmpty():
+            some = texts.join(left.select(F.col("id").alias("lid")), F.col("doc_id") == F.col("lid"), "left_semi")
+            edges = edges.unionByName(links(rare_pairs(some.dropDuplicates(["doc_id", "text"]), left, p)))
     if edges is not None:
         members = cut(members, "minhash-members").join(components(edges), F.col("rep") == F.col("node"), "left")
     else:
