@@ -222,16 +222,23 @@ def apply_caps(seq: DataFrame, total_cap: int, caps: Mapping[str, int], key: str
 
 
 def share_report(plan: DataFrame, weights: Mapping[str, float], key: str = "lang") -> DataFrame:
-    """Achieved token share and document share per key against the target."""
+    """Achieved token share and document share per key against the target, and the counter-example.
+
+    ``uniform_token_share`` is what the weights would give if they chose
+    documents instead of tokens: a key's share then follows its mean document
+    size, target * mean / sum(target * mean).
+    """
     w = normalize(weights)
     agg = plan.groupBy(key).agg(F.sum("ref_tokens").cast("long").alias("tokens"),
                                 F.count(F.lit(1)).alias("docs"))
     tot = Window.partitionBy()  # over the aggregated table: one row per key
+    target = F.element_at(map_literal(w, "double"), F.col(key))
+    pull = target * (F.col("tokens") / F.col("docs"))
     return agg.select(
         key, "tokens", "docs",
         (F.col("tokens") / F.sum("tokens").over(tot)).alias("token_share"),
         (F.col("docs") / F.sum("docs").over(tot)).alias("doc_share"),
-        F.element_at(map_literal(w, "double"), F.col(key)).alias("target_share"))
+        target.alias("target_share"), (pull / F.sum(pull).over(tot)).alias("uniform_token_share"))
 
 
 def cell_grid(docs: DataFrame, cells: Mapping[str, Mapping[str, Sequence[str] | None]],

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import alias_depth, revision_to_int, task_lang
@@ -135,19 +135,25 @@ def task_drift(expected: DataFrame, actual: DataFrame, col: str = "task") -> Dat
              .unionByName(a.exceptAll(e).withColumn("drift", F.lit("unexpected"))))
 
 
+def _listed(tags: Sequence[str] | None) -> Column:
+    return F.lit(True) if tags is None else F.concat_ws("/", "lang", "task").isin(list(tags))
+
+
 def only_jobs(jobs: DataFrame, tags: Sequence[str] | None) -> DataFrame:
     """Keep jobs whose ``lang/task`` tag is listed (None keeps all)."""
-    if tags is None:
-        return jobs
-    return jobs.filter(F.concat_ws("/", "lang", "task").isin(list(tags)))
+    return jobs.filter(_listed(tags))
+
 
+def job_summary(jobs: DataFrame, by: Sequence[str] = (), only: Sequence[str] | None = None) -> DataFrame:
+    """Succeeded / total and overall status of the listed jobs, and how many others were skipped.
 
-def job_summary(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Succeeded / total, overall status."""
+    A group whose jobs were all skipped has a total of 0 and no status.
+    """
+    run = _listed(only)
+    ok = F.coalesce(F.col("rc") == 0, F.lit(False))
     return jobs.groupBy(*by).agg(
-        F.count_if(F.col("rc") == 0).alias("succeeded"), F.count(F.lit(1)).alias("total"),
-        F.bool_and(F.coalesce(F.col("rc") == 0, F.lit(False))).alias("all_ok"),
-        F.sum("dt").alias("total_seconds"))
+        F.count_if(run & ok).alias("succeeded"), F.count_if(run).alias("total"), F.count_if(~run).alias("skipped"),
+        F.bool_and(F.when(run, ok)).alias("all_ok"), F.sum(F.when(run, F.col("dt"))).alias("total_seconds"))
 
 
 def wallclock_by_class(jobs: DataFrame, classes: Mapping[str, str] | None = None) -> DataFrame:

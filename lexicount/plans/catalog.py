@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit
-from ..sources.corpus import documents_corpus
-from .fixture import FIXTURE_GROUPS
+from ..sinks import writers
+from ..sources.corpus import at_rest, documents_corpus, table
+from ..streaming.jobs import scratch
+from .fixture import FIXTURE_GROUPS, FIXTURE_SEED
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,13 +36,20 @@ def register(name: str, sql: str | None = None):
 
 CORPUS_CTE = r"""corpus AS (
   SELECT doc_id, lang, source AS category, source AS data_source,
-         CASE WHEN lang IN ('en','de','es','fr','eng','nld') THEN 'Latn'
+         CASE WHEN doc_id % 5 = 0 THEN 'Cyrl' WHEN lang IN ('en','de','es','fr','eng','nld') THEN 'Latn'
               WHEN lang = 'zho' THEN 'Hans' END AS script,
-         'n/a' AS age_estimate, text,
+         CASE doc_id % 4 WHEN 0 THEN 'n/a' WHEN 2 THEN '5+' WHEN 3 THEN '6+' END AS age_estimate, text, n_chars,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+')) AS BIGINT) AS num_tokens
   FROM documents)"""
 
 
+def crc32_sql(digits: str) -> str:
+    """crc32 of a string of ASCII characters, bit by bit."""
+    step = "list_reduce(range(0, 8)::UBIGINT[], lambda y, i: xor(y >> 1, 3988292384 * (y & 1)), xor(c, a)::UBIGINT)"
+    codes = f"list_transform(string_split({digits}, ''), lambda z: ascii(z)::UBIGINT)"
+    return f"xor(list_reduce({codes}, lambda c, a: {step}, 4294967295::UBIGINT), 4294967295::UBIGINT)"
+
+
 def _groups_case(col: str = "category") -> str:
     whens = " ".join(f"WHEN {col} = '{k}' THEN '{v}'" for k, v in FIXTURE_GROUPS.items())
     return f"coalesce(CASE {whens} END, 'Other')"
@@ -178,37 +187,47 @@ def q_register_comparability(spark, d):
 @register("whitespace_ratio", f"""WITH {CORPUS_CTE},
 c AS (SELECT *, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\r]+'), lambda x: x <> '')) AS BIGINT) AS ws_tokens
       FROM corpus)
-SELECT lang, count(*) AS n_docs, CAST(sum(num_tokens) AS BIGINT) AS raw_token_field_sum,
+SELECT lang, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS raw_token_field_sum,
        CAST(sum(ws_tokens) AS BIGINT) AS empirical_whitespace_tokens,
-       CAST(sum(num_tokens) AS DOUBLE) / CAST(sum(ws_tokens) AS DOUBLE) AS raw_to_ws_ratio,
+       CAST(sum(n_chars) AS DOUBLE) / CAST(sum(ws_tokens) AS DOUBLE) AS raw_to_ws_ratio,
        CAST(floor(sum(ws_tokens) / count(*)) AS BIGINT) AS ws_per_doc_mean
 FROM c GROUP BY lang""")
 def q_whitespace_ratio(spark, d):
-    c = documents_corpus(spark, d)
-    # The empirical count splits on whitespace runs (a different expression from
-    # the stored token field, so the ratio checks the field).
-    ws = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), r"[ \t\n\r]+"),
-                         lambda x: x != ""))
-    return audit.whitespace_ratio(c.withColumn("ws_tokens", ws))
+    """The stored size field of the table (n_chars) against the words counted in the texts."""
+    c = table(spark, d, "documents")
+    ws = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), r"[ \t\n\r]+"), lambda x: x != ""))
+    return audit.whitespace_ratio(c.withColumn("ws_tokens", ws), field="n_chars")
+
+
+# where a row lies in the pre-shuffled copy of the corpus: files and rows are ordered by the seeded key
+AT_REST_SQL = f"md5(concat_ws('|', '{FIXTURE_SEED}', '0', CAST(doc_id AS VARCHAR)))"
+
+
+def shuffled_at_rest(spark, d):
+    """The corpus as it lies in several pre-shuffled files, with positions."""
+    out = scratch(spark, "at-rest")
+    c = documents_corpus(spark, d).select("doc_id", "lang", "category", "num_tokens")
+    writers.write_shuffled(c, out, FIXTURE_SEED, partitions=5)
+    return at_rest(spark, out)
 
 
 @register("prefix_sample", f"""WITH {CORPUS_CTE},
-r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM corpus)
+r AS (SELECT *, {AT_REST_SQL} AS at, row_number() OVER (PARTITION BY lang ORDER BY {AT_REST_SQL}) AS rn FROM corpus)
 SELECT doc_id, lang, category, num_tokens FROM r WHERE rn <= 25""")
 def q_prefix_sample(spark, d):
-    return audit.prefix_sample(documents_corpus(spark, d), 25, by=("lang",)).select(
+    return audit.prefix_sample(shuffled_at_rest(spark, d), 25, by=("lang",), order=("position",)).select(
         "doc_id", "lang", "category", "num_tokens")
 
 
 @register("order_bias", f"""WITH {CORPUS_CTE},
-r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM corpus),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {AT_REST_SQL}) AS rn FROM corpus),
 a AS (SELECT lang, category, count(*) AS docs_all,
              CAST(sum(CASE WHEN rn <= 50 THEN 1 ELSE 0 END) AS BIGINT) AS docs_head FROM r GROUP BY ALL),
 s AS (SELECT *, CAST(docs_all AS DOUBLE) / sum(docs_all) OVER (PARTITION BY lang) AS share_all,
              CAST(docs_head AS DOUBLE) / sum(docs_head) OVER (PARTITION BY lang) AS share_head FROM a)
 SELECT *, sum(abs(share_head - share_all)) OVER (PARTITION BY lang) / 2 AS tv_distance FROM s""")
 def q_order_bias(spark, d):
-    return audit.order_bias(documents_corpus(spark, d), 50)
+    return audit.order_bias(shuffled_at_rest(spark, d), 50, order=("position",))
 
 
 @register("category_samples", f"""WITH {CORPUS_CTE},

@@ -308,14 +308,15 @@ def q_job_log(spark, d):
 
 
 @register("job_summary", f"""WITH {JOBS_CTE}
-SELECT model_key, count(*) FILTER (WHERE rc = 0) AS succeeded, count(*) AS total,
-       bool_and(coalesce(rc = 0, false)) AS all_ok, CAST(sum(dt) AS BIGINT) AS total_seconds
-FROM jobs WHERE lang || '/' || task IN ('en/click', 'en/view', 'nl/click', 'nl/purchase', 'zh/signup', 'zh/error')
+SELECT model_key, count(*) FILTER (WHERE run AND rc = 0) AS succeeded, count(*) FILTER (WHERE run) AS total,
+       count(*) FILTER (WHERE NOT run) AS skipped, bool_and(coalesce(rc = 0, false)) FILTER (WHERE run) AS all_ok,
+       CAST(sum(dt) FILTER (WHERE run) AS BIGINT) AS total_seconds
+FROM (SELECT *, lang || '/' || task IN ('en/click', 'en/view', 'nl/click', 'nl/purchase', 'zh/signup', 'zh/error') AS run FROM jobs)
 GROUP BY model_key""")
 def q_job_summary(spark, d):
     jobs = E.job_log(job_lines(spark, d), by=("model_key",))
     only = ["en/click", "en/view", "nl/click", "nl/purchase", "zh/signup", "zh/error"]
-    return S.job_summary(S.only_jobs(jobs, only), by=("model_key",))
+    return S.job_summary(jobs, by=("model_key",), only=only)
 
 
 @register("wallclock_by_class", f"""WITH {JOBS_CTE}

@@ -226,11 +226,18 @@ def q_card_categories(spark, d):
 
 
 @register("reconcile_cards", f"""WITH {CORPUS_CTE},
-t AS (SELECT lang, category, CAST(sum(num_tokens) AS BIGINT) AS tokens FROM corpus GROUP BY ALL)
-SELECT lang, category, tokens AS computed, tokens AS published, CAST(0 AS BIGINT) AS diff, true AS matches,
-       'match' AS status FROM t""")
+p AS (SELECT lang, category, CAST(sum(num_tokens) AS BIGINT) AS published FROM corpus GROUP BY ALL),
+c AS (SELECT lang, CASE category WHEN 'src9' THEN 'src9b' ELSE category END AS category, CAST(sum(num_tokens) AS BIGINT) AS computed
+      FROM corpus WHERE NOT (category = 'src3' AND doc_id % 2 = 0) GROUP BY ALL)
+SELECT lang, category, computed, published, computed - published AS diff, computed IS NOT DISTINCT FROM published AS matches,
+       CASE WHEN published IS NULL THEN 'missing_in_card' WHEN computed IS NULL THEN 'missing_in_corpus'
+            WHEN computed = published THEN 'match' ELSE 'differs' END AS status
+FROM c FULL JOIN p USING (lang, category)""")
 def q_reconcile_cards(spark, d):
-    computed = audit.token_share(documents_corpus(spark, d), dim="category")
+    """The corpus has changed since its card: one category lost documents, one has another name."""
+    now = documents_corpus(spark, d).filter("not (category = 'src3' and doc_id % 2 = 0)")
+    now = now.withColumn("category", F.when(F.col("category") == "src9", F.lit("src9b")).otherwise(F.col("category")))
+    computed = audit.token_share(now, dim="category")
     return audit.reconcile_counts(computed, E.card_categories(cards(spark, d)), ["lang", "category"])
 
 

@@ -7,7 +7,7 @@ from ..config import MixConfig
 from ..functions.columns import WS_RUN, canonical_task, model_key, task_lang_strict
 from ..operators import budget, mixture, packing
 from ..sinks import writers as K
-from ..sources.corpus import documents_corpus
+from ..sources.corpus import at_rest, documents_corpus
 from ..streaming.jobs import scratch
 from .catalog import CORPUS_CTE, register
 from .fixture import FIXTURE_PREMIUM, FIXTURE_SEED, FIXTURE_SEQ_LEN
@@ -147,28 +147,34 @@ def q_cell_grid(spark, d):
     return mixture.cell_grid(docs, CELLS, FIXTURE_PREMIUM, 100_000)
 
 
-@register("packed_sequences", f"""WITH {PIECES_CTE}
-SELECT DISTINCT CAST(seq_id AS BIGINT) AS seq_id, {FIXTURE_SEQ_LEN} AS n_ids FROM pieces""")
+@register("packed_sequences", f"""WITH {PIECES_CTE},
+ids AS (SELECT lang, doc_id, list_append(list_transform(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+'),
+               lambda w: ('0x' || substr(md5(w), 1, 6))::INT % 50000 + 4), 2) AS ids FROM corpus),
+q AS (SELECT seq_id, seq_pos, ids[piece_start + 1:piece_start + piece_len] AS part FROM pieces JOIN ids USING (lang, doc_id))
+SELECT CAST(seq_id AS BIGINT) AS seq_id, CAST(sum(len(part)) AS INTEGER) AS n_ids,
+       md5(string_agg(array_to_string(part, ','), ',' ORDER BY seq_pos)) AS ids_md5 FROM q GROUP BY seq_id""")
 def q_packed_sequences(spark, d):
     """T07 ids + K04: whitespace words hashed into a 50,000-id space stand in
     for a learned vocabulary; sequences are assembled, written and read back."""
     docs = documents_corpus(spark, d)
     words = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), WS_RUN), lambda x: x != "")
-    ids = docs.select("lang", "doc_id", F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(50_000)) + 4)
-                                                    .cast("int")).alias("ids"))
+    number = lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int") % 50_000 + 4
+    ids = docs.select("lang", "doc_id", F.transform(words, number).alias("ids"))
     pieces = fixture_pieces(spark, d).join(ids, ["lang", "doc_id"])
     seqs = packing.pack_sequences(pieces)
     out = scratch(spark, "sequences")
     K.write_sequences(seqs, out)
-    return spark.read.parquet(out).select("seq_id", F.size("input_ids").alias("n_ids"))
+    return spark.read.parquet(out).select("seq_id", F.size("input_ids").alias("n_ids"),
+                                          F.md5(F.array_join(F.col("input_ids").cast("array<string>"), ",")).alias("ids_md5"))
 
 
 @register("shuffled_corpus", f"""WITH {CORPUS_CTE}
-SELECT lang, doc_id, md5(concat_ws('|', '{FIXTURE_SEED}', '0', CAST(doc_id AS VARCHAR))) AS order_key FROM corpus""")
+SELECT lang, doc_id, md5(concat_ws('|', '{FIXTURE_SEED}', '0', CAST(doc_id AS VARCHAR))) AS order_key,
+       row_number() OVER (ORDER BY md5(concat_ws('|', '{FIXTURE_SEED}', '0', CAST(doc_id AS VARCHAR)))) - 1 AS position FROM corpus""")
 def q_shuffled_corpus(spark, d):
     out = scratch(spark, "shuffled-corpus")
     K.write_shuffled(documents_corpus(spark, d).select("lang", "doc_id", "text"), out, FIXTURE_SEED)
-    return spark.read.parquet(out).select("lang", "doc_id", "order_key")
+    return at_rest(spark, out).select("lang", "doc_id", "order_key", "position")
 
 
 ALIASES = {"click_eng": "click", "click_nld": "click", "click_zho": "click"}

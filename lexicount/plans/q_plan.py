@@ -110,7 +110,8 @@ def q_consumption(spark, d):
 @register("share_report", f"""WITH {PLAN_CTE},
 c AS (SELECT lang, CAST(sum(ref_tokens) AS BIGINT) AS tokens, count(*) AS docs FROM plan GROUP BY lang)
 SELECT c.lang, c.tokens, c.docs, CAST(c.tokens AS DOUBLE) / sum(c.tokens) OVER () AS token_share,
-       CAST(c.docs AS DOUBLE) / sum(c.docs) OVER () AS doc_share, w.x AS target_share
+       CAST(c.docs AS DOUBLE) / sum(c.docs) OVER () AS doc_share, w.x AS target_share,
+       w.x * (CAST(c.tokens AS DOUBLE) / c.docs) / sum(w.x * (CAST(c.tokens AS DOUBLE) / c.docs)) OVER () AS uniform_token_share
 FROM c JOIN wts w USING (lang)""")
 def q_share_report(spark, d):
     return mixture.share_report(fixture_plan(spark, d), W)

@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from ..operators import leakage
 from ..sources.corpus import DOCUMENTS_SCHEMA, corpus_view, table
 from ..streaming import jobs as R
-from .catalog import CORPUS_CTE, register
+from .catalog import CORPUS_CTE, ORACLE, crc32_sql, register
 from .fixture import FIXTURE_PREMIUM, FIXTURE_SEED
 from .q_leak import LEAK_CTE
-from .q_logs import STEPS_CTE, train_log_lines
+from .q_logs import STEPS_CTE, TOKENS_PER_STEP, step_rows, train_log_lines
 from .q_plan import _values
 
 WHITELIST = {"en": [f"src{i}" for i in range(10)]}
 MILESTONES = [50_000 * i for i in range(1, 9)]
 LOG_EVERY = 25
+BUFFER, LANES = 24, 2
 
 
 def doc_stream(spark, d, whitelist=None):
@@ -39,12 +40,43 @@ def q_stream_consumption(spark, d):
     return R.run_to_memory(R.stream_consumption(s, FIXTURE_PREMIUM, 1_000_000), mode="complete")
 
 
-@register("stream_local_shuffle", f"""WITH {CORPUS_CTE}
-SELECT lang, doc_id, md5(concat_ws('|', '{FIXTURE_SEED}', '0', CAST(doc_id AS VARCHAR))) AS order_key FROM corpus""")
+# the buffer of every lane, one arrival at a time
+SHUFFLE_SQL = f"""WITH RECURSIVE a AS (
+  SELECT doc_id, concat_ws('|', lang, CAST({crc32_sql('CAST(doc_id AS VARCHAR)')} % {LANES} AS VARCHAR)) AS lane FROM documents),
+i AS (SELECT lane, doc_id, row_number() OVER (PARTITION BY lane ORDER BY doc_id) AS n FROM a),
+t(lane, n, held, gone) AS (SELECT DISTINCT lane, 0::BIGINT, []::BIGINT[], NULL::BIGINT FROM i
+  UNION ALL
+  SELECT s.lane, s.n, CASE WHEN s.n <= {BUFFER} THEN list_append(s.held, s.doc_id)
+                           ELSE list_concat(s.held[:s.slot], [s.doc_id], s.held[s.slot + 2:]) END,
+         CASE WHEN s.n > {BUFFER} THEN s.held[s.slot + 1] END
+  FROM (SELECT t.lane, i.n, t.held, i.doc_id,
+               ('0x' || substr(md5(concat_ws('|', '{FIXTURE_SEED}', t.lane, CAST(i.n AS VARCHAR))), 1, 8))::BIGINT % {BUFFER} AS slot
+        FROM t JOIN i ON i.lane = t.lane AND i.n = t.n + 1) s),
+z AS (SELECT lane, n, held FROM t WHERE n = (SELECT max(n) FROM i WHERE i.lane = t.lane)),
+r AS (SELECT lane, n, len(held) AS m, unnest(held) AS doc_id, unnest(range(0, len(held))) AS slot FROM z)
+SELECT lane, CAST(n - {BUFFER} AS BIGINT) AS seq, gone AS doc_id FROM t WHERE gone IS NOT NULL
+UNION ALL
+SELECT lane, CAST(n - m + row_number() OVER (PARTITION BY lane ORDER BY
+       md5(concat_ws('|', '{FIXTURE_SEED}', lane, 'rest', CAST(slot AS VARCHAR))), slot) AS BIGINT), doc_id FROM r"""
+
+
+@register("stream_local_shuffle", SHUFFLE_SQL)
 def q_stream_local_shuffle(spark, d):
     out = R.scratch(spark, "shuffled")
-    R.stream_local_shuffle(doc_stream(spark, d), FIXTURE_SEED, out).awaitTermination()
-    return spark.read.parquet(out).select("lang", "doc_id", "order_key")
+    docs = doc_stream(spark, d)
+    return R.stream_local_shuffle(docs.select("lang", "doc_id", "text"), FIXTURE_SEED, out, BUFFER, LANES).select(
+        "lane", "seq", "doc_id")
+
+
+@register("stream_log_throughput", ORACLE["log_intervals"])
+def q_stream_log_throughput(spark, d):
+    """The steps arrive in several files, one to a batch and out of order."""
+    logdir = R.scratch(spark, "steplog")
+    steps = step_rows(spark, d).select("step", F.col("value").alias("loss"), "ts")
+    steps.repartition(4, "step").write.parquet(logdir)
+    live = spark.readStream.schema(steps.schema).option("maxFilesPerTrigger", 1).parquet(logdir)
+    out = R.run_updates(R.stream_log_throughput(live, LOG_EVERY, TOKENS_PER_STEP), "interval")
+    return out.filter("n_steps > 0")
 
 
 @register("stream_milestones", f"""WITH {REF_CTE},

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import map_literal, whitespace_tokens
@@ -50,13 +50,27 @@ def corpus_scan(spark: SparkSession, paths: Mapping[str, str], fmt: str = "parqu
     return out
 
 
+def at_rest(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet rows with ``position``, their number (from 0) at rest: files by path, rows as they lie in their file.
+
+    The position comes from the scan itself (path and row index), whatever
+    tasks read it; only one row per file is gathered for the files' offsets.
+    """
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    sizes = rows.groupBy(F.col("file").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("of", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    rows = rows.join(offsets, F.col("file") == F.col("of"))
+    return rows.withColumn("position", F.col("offset") + F.col("row")).drop("file", "row", "of", "offset")
+
 
 def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Map the driver's ``documents`` table onto the corpus schema.
 
-    ``source`` plays both category and data source, the script comes from the
-    language, there is no age estimate ('n/a'), and ``num_tokens`` is the
-    whitespace token count (the published corpora define it the same way).
+    ``source`` plays both category and data source, ``num_tokens`` is the
+    whitespace token count (the published corpora define it the same way). The
+    table has neither script nor age: the script is that of the language, but
+    for every fifth id, and of four ids one has the age 'n/a', one none.
     """
     return corpus_view(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id"))
 
@@ -70,8 +84,10 @@ def corpus_view(d: DataFrame) -> DataFrame:
         "doc_id", "lang",
         F.col("source").alias("category"),
         F.col("source").alias("data_source"),
-        F.element_at(map_literal(FIXTURE_SCRIPTS, "string"), F.col("lang")).alias("script"),
-        F.lit("n/a").alias("age_estimate"),
+        F.when(F.col("doc_id") % 5 == 0, F.lit("Cyrl")).otherwise(
+            F.element_at(map_literal(FIXTURE_SCRIPTS, "string"), F.col("lang"))).alias("script"),
+        F.when(F.col("doc_id") % 4 == 0, F.lit("n/a")).when(F.col("doc_id") % 4 > 1, F.concat(
+            (F.col("doc_id") % 4 + 3).cast("string"), F.lit("+"))).alias("age_estimate"),
         "text",
         whitespace_tokens("text").alias("num_tokens"),
     )

@@ -8,14 +8,17 @@ the two-level prefix sum inside each batch.
 """
 from __future__ import annotations
 
+import hashlib
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.columns import milestone_name, order_key
+from ..functions.columns import milestone_name
 from ..operators.budget import whitelist_predicate, with_ref_tokens  # noqa: F401
 from ..operators.prefix_sum import running_sums
 from ..session import checkpoint_dir
@@ -93,21 +96,57 @@ def stream_consumption(stream: DataFrame, premium: Mapping[str, float], total_bu
     return agg.withColumn("frac_of_budget", F.col("consumed") / F.lit(float(max(1, total_budget))))
 
 
-def stream_local_shuffle(stream: DataFrame, seed: int, out: str, id_col: str = "doc_id"):
-    """Bounded-buffer shuffle: every micro-batch is ordered as a whole by the
-    seeded key and appended (a *local* shuffle - biased when the input is clustered,
-    exactly like a shuffle buffer). Returns the started query."""
-    spark = stream.sparkSession
+def shuffle_slot(seed: int, lane: str, n: int, buffer: int) -> int:
+    """The slot that the n-th arrival of a lane replaces: a function of its number alone, so replays agree."""
+    return int(hashlib.md5(f"{seed}|{lane}|{n}".encode()).hexdigest()[:8], 16) % buffer
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("order_key", order_key(seed, F.lit(0), id_col))
-              .withColumn("batch_id", F.lit(batch_id))
-              .orderBy("order_key", id_col)
-              .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}"))
 
-    return (stream.writeStream.foreachBatch(write)
-                  .option("checkpointLocation", scratch(spark, "shuffle-ckpt"))
-                  .trigger(availableNow=True).start())
+def stream_local_shuffle(stream: DataFrame, seed: int, out: str, buffer: int = 1000, lanes: int = 1,
+                         key: str = "lang", order: str = "doc_id") -> DataFrame:
+    """Bounded-buffer shuffle of a stream; returns (lane, seq, and the columns of the stream).
+
+    Rows go through the buffer of their lane: ``key``, split into ``lanes``
+    parts by a hash of ``order`` so that a hot key is several groups. A buffer
+    holds ``buffer`` rows; once it is full, every arriving row takes a random
+    slot and the row that was there is emitted (a *local* shuffle: biased when
+    the input is clustered). Buffers are keyed state, carried from batch to
+    batch and over restarts; rows of a batch arrive in ``order``. Emitted rows
+    are appended to ``out``; what is left in the buffers when no input is left
+    is read from the state and follows in a seeded order.
+    """
+    spark = stream.sparkSession
+    lane = F.concat_ws("|", F.col(key), (F.crc32(F.col(order).cast("string").cast("binary")) % lanes).cast("string"))
+    rows = stream.select(lane.alias("lane"), F.col(order).alias("at"), F.to_json(F.struct(*stream.columns)).alias("row"))
+
+    def run(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        arrived, held = state.get if state.exists else (0, [])
+        held, gone, first = list(held), [], None
+        batch = pd.concat(list(frames)).sort_values("at", kind="stable")
+        for row in batch["row"]:
+            arrived += 1
+            if len(held) < buffer:
+                held.append(row)
+                continue
+            first = first or arrived - buffer
+            i = shuffle_slot(seed, keys[0], arrived, buffer)
+            gone.append(held[i])
+            held[i] = row
+        state.update((arrived, held))
+        yield pd.DataFrame({"lane": [keys[0]] * len(gone), "seq": range(first or 0, (first or 0) + len(gone)), "row": gone})
+
+    emitted = rows.groupBy("lane").applyInPandasWithState(
+        run, "lane string, seq long, row string", "arrived long, held array<string>", "append", GroupStateTimeout.NoTimeout)
+    ckpt = scratch(spark, "shuffle-ckpt")
+    q = (emitted.writeStream.format("parquet").outputMode("append").option("path", out)
+                .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    state = spark.read.format("statestore").load(ckpt).select("key.lane", "value.groupState.*")
+    rest = state.select("lane", F.col("arrived"), F.size("held").alias("n"), F.posexplode("held").alias("slot", "row"))
+    left = F.md5(F.concat_ws("|", F.lit(seed), "lane", F.lit("rest"), "slot"))
+    rank = F.row_number().over(Window.partitionBy("lane").orderBy(left, "slot"))  # at most ``buffer`` rows of a lane
+    rest = rest.select("lane", (F.col("arrived") - F.col("n") + rank).alias("seq"), "row")
+    done = spark.read.schema(emitted.schema).parquet(out).unionByName(rest)
+    return done.select("lane", "seq", F.from_json("row", stream.schema).alias("r")).select("lane", "seq", "r.*")
 
 
 def stream_milestones(stream: DataFrame, milestones: Sequence[int], state_dir: str,
@@ -159,6 +198,26 @@ def stream_log_metrics(lines: DataFrame, log_every: int) -> DataFrame:
         F.max("ref_tokens").alias("ref_tokens"), F.count(F.lit(1)).alias("n_steps"))
 
 
+def stream_log_throughput(steps: DataFrame, log_every: int, tokens_per_step: int) -> DataFrame:
+    """Mean loss, last step and tokens/s of every ``log_every``-step interval of a live log (step, loss, ts).
+
+    An interval's state holds its own steps and the end of the interval before
+    it: every step also counts as a possible end for the interval that
+    follows, so the rate needs no order between batches and no group but the
+    interval's own.
+    """
+    interval = F.ceil(F.col("step") / F.lit(log_every)).cast("long")
+    both = steps.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False))))
+    own = F.col("own")
+    g = both.groupBy(F.when(own, interval).otherwise(interval + 1).alias("interval")).agg(
+        F.avg(F.when(own, F.col("loss"))).alias("mean_loss"), F.max(F.when(own, F.col("step"))).alias("last_step"),
+        F.max(F.when(own, F.col("ts"))).alias("t_end"), F.count(F.when(own, F.lit(1))).alias("n_steps"),
+        F.max(F.when(~own, F.col("ts"))).alias("before"))
+    dt = F.unix_micros(F.col("t_end").cast("timestamp")) - F.unix_micros(F.col("before").cast("timestamp"))
+    rate = F.when(dt > 0, F.lit(float(tokens_per_step)) * F.col("n_steps") / (dt / F.lit(1e6)))
+    return g.select("interval", "mean_loss", "last_step", "t_end", "n_steps", rate.alias("tok_per_s"))
+
+
 def stream_leakage(stream: DataFrame, probes: DataFrame, out: str, block_chars: int = 1 << 22):
     """Leakage screen of a stream against static probes; returns the started query.
 

@@ -71,3 +71,46 @@ def test_log_metrics_stay_off_the_driver(spark, monkeypatch):
         raise AssertionError("rows that grow with the input were put into the driver's memory sink")
     monkeypatch.setattr(R, "run_to_memory", to_driver)
     assert QUERIES["stream_log_metrics"](spark, SF_SMALL).count() > 0
+
+
+def sequential_shuffle(rows, seed, buffer):
+    """Rows in the order in which a buffer of that size lets them out, and the rows it keeps."""
+    held, out = [], []
+    for n, (lane, x) in enumerate(rows, 1):
+        if len(held) < buffer:
+            held.append(x)
+            continue
+        i = R.shuffle_slot(seed, lane, n, buffer)
+        out.append(held[i])
+        held[i] = x
+    return out, held
+
+
+def test_shuffle_buffer_is_carried_over_batches(spark):
+    src = tempfile.mkdtemp(prefix="lexicount-shuffle-", dir="/tmp")
+    for lo in (0, 30, 60):
+        rows = [(i, "a" if i % 3 else "b", f"text {i}") for i in range(lo, lo + 30)] + [(1000 + lo, None, "")]
+        spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(1).write.parquet(f"{src}/part{lo}")
+        time.sleep(1.1)  # file order = modification time
+    stream = R.stream_corpus(spark, f"{src}/part*/*.parquet", "doc_id long, lang string, text string", max_files_per_trigger=1)
+    got = R.stream_local_shuffle(stream, 5, R.scratch(spark, "test-shuffle"), buffer=8).orderBy("lane", "seq").collect()
+    assert len(got) == 93 and {r.text for r in got if r.lang} == {f"text {i}" for i in range(90)}
+    for lang in "ab":
+        mine = [r for r in got if r.lang == lang]
+        assert [r.seq for r in mine] == list(range(1, len(mine) + 1))
+        arrivals = [(f"{lang}|0", i) for i in range(90) if (i % 3 != 0) == (lang == "a")]
+        out, held = sequential_shuffle(arrivals, 5, 8)
+        assert [r.doc_id for r in mine[:len(out)]] == out and {r.doc_id for r in mine[len(out):]} == set(held)
+
+
+def test_throughput_across_batches_equals_the_intervals(spark):
+    from lexicount.operators import packing
+    rows = [(i, float(i % 7), 1_700_000_000 + 3 * i + (i // 10) ** 2) for i in range(1, 95)]
+    steps = spark.createDataFrame(rows, "step long, loss double, s long").select(
+        "step", "loss", F.timestamp_seconds("s").alias("ts"))
+    src = tempfile.mkdtemp(prefix="lexicount-steps-", dir="/tmp")
+    steps.repartition(5, "step").write.mode("append").parquet(src)
+    live = spark.readStream.schema(steps.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    got = R.run_updates(R.stream_log_throughput(live, 10, 512), "interval").filter("n_steps > 0")
+    want = packing.log_intervals(steps, 10, 512).select(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
