@@ -172,7 +172,7 @@ def edited_fingerprints(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     key = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.col("text")).cast("binary"), 256)
-    d = d.withColumn("key", F.unhex(key))
+    d = d.withColumn("key", F.substring(F.unhex(key), 1, 16))
     # positions are found on ids and digests alone
     keys = cut(d.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "fingerprint-keys")
     places = cut(in_order(keys, [F.desc("doc_id"), "key"], "fingerprint-order"), "fingerprint-places")
@@ -184,35 +184,35 @@ def edited_fingerprints(docs: DataFrame, p: Params = Params()) -> DataFrame:
              F.when(first, F.struct((own - 1).alias("block"), F.col("pos").alias("at"), F.lit(True).alias("guest"))),
              F.when(F.col("pos") == 0, F.struct(F.lit((total - 1) // p.block).cast("long").alias("block"),
                                                 F.lit(total).cast("long").alias("at"), F.lit(True).alias("guest")))]
-    d = d.select("key", "text").join(places.select("key", "copies", F.array_compact(F.array(*homes)).alias("homes")), "key")
-    d = d.select("copies", "text", F.explode("homes").alias("home")).select("home.*", "copies", "text")
+    d = d.select("key", "text").join(places.select("key", "doc_id", "copies", F.array_compact(F.array(*homes)).alias("homes")), "key")
+    d = d.select("doc_id", "copies", "text", F.explode("homes").alias("home")).select("home.*", "doc_id", "copies", "text")
     d = d.repartition("block").dropDuplicates(["block", "at"])
     by_place = Window.partitionBy("block").orderBy("at")
-    d = d.select("block", "at", "guest", "copies", "text", F.lead("text").over(by_place).alias("next"),
+    d = d.select("block", "at", "guest", "doc_id", "copies", "text", F.lead("text").over(by_place).alias("next"),
                  F.length("text").cast("long").alias("n_chars"))
     mine = ~F.col("guest")
-    edits = d.select("block", "at", "n_chars", "copies", "guest", "text", F.when(mine, _edited("text", "next")).alias("edited"),
-                     F.when(mine & (F.col("copies") > 1), _edited("text", "text")).alias("doubled"))
-    # needs no more columns than the texts below, so that both read one exchange of the blocks
-    facts = edits.filter(mine).select("block", "at", "n_chars", "copies", F.sha2(F.col("edited").cast("binary"), 256).alias("sha"),
-                                      F.sha2(F.col("doubled").cast("binary"), 256).alias("sha_doubled"))
-    # the texts as rows of few and narrow columns, which are the key of every row that follows
-    forms = F.filter(F.array(*[F.struct((F.col("at") * 4 + i).alias("item"), F.col(c).alias("body"))
-                               for i, c in enumerate(("text", "edited", "doubled"))]), lambda f: f["body"].isNotNull())
-    items = edits.select("block", F.explode(forms).alias("f")).select("block", "f.item", "f.body")
-    signed = fingerprints(items, "body", p).withColumn("sig", F.struct("sig"))
-    of = [F.max(F.when(F.col("item") % 4 == i, F.col("sig"))).alias(c) for i, c in enumerate(("own", "edited", "doubled"))]
-    signed = signed.groupBy("block", F.shiftright("item", 2).alias("at")).agg(*of)
-    signed = signed.withColumn("next", F.lead("own").over(by_place))
-    out = facts.join(signed, ["block", "at"]).join(places.select(F.col("pos").alias("at"), "doc_id"), "at")
-
-    def one(sha: str, edited: str, following: str, times: Column) -> Column:
+    d = d.select("block", "at", "guest", "doc_id", "n_chars", "copies", "text", F.when(mine, _edited("text", "next")).alias("edited"),
+                 F.when(mine & (F.col("copies") > 1), _edited("text", "text")).alias("doubled"))
+    # what is known of a text goes along with its terms: nothing leaves the block's task before the result
+    names = ("text", "edited", "doubled")
+    forms = F.filter(F.array(*[F.struct((F.col("at") * 4 + i).alias("item"), F.col(c).alias("body"),
+                                        (F.unhex(F.sha2(F.col(c).cast("binary"), 256)) if i else F.lit(b"")).alias("sha"))
+                               for i, c in enumerate(names)]), lambda f: f["body"].isNotNull())
+    d = d.select("block", "guest", "doc_id", "n_chars", "copies", F.explode(forms).alias("f")).select(
+        "block", "f.item", "guest", "doc_id", "n_chars", "copies", "f.sha", "f.body")
+    signed = fingerprints(d, "body", p).withColumn("of", F.struct("sig", "sha"))
+    of = [F.max(F.when(F.col("item") % 4 == i, F.col("of"))).alias(c) for i, c in enumerate(("own", "edited", "doubled"))]
+    about = [F.max(c).alias(c) for c in ("guest", "doc_id", "n_chars", "copies")]
+    out = signed.groupBy("block", F.shiftright("item", 2).alias("at")).agg(*of, *about)
+    out = out.withColumn("next", F.lead("own").over(by_place)).filter(mine)
+
+    def one(edited: str, following: str, times: Column) -> Column:
         sig, other = F.col("own.sig"), F.col(f"{edited}.sig")
-        return F.struct(times.alias("times"), F.col(sha).alias("edited_sha256"), other.alias("other"),
+        return F.struct(times.alias("times"), F.lower(F.hex(F.col(f"{edited}.sha"))).alias("edited_sha256"), other.alias("other"),
                         likeness(sig, other, p).alias("near_edited"), likeness(sig, F.col(f"{following}.sig"), p).alias("near_next"))
 
     # of equal rows all but the last are followed by an equal one; rows are multiplied in steps of bounded arrays
-    kinds = F.array(one("sha", "edited", "next", F.lit(1).cast("long")), one("sha_doubled", "doubled", "own", F.col("copies") - 1))
+    kinds = F.array(one("edited", "next", F.lit(1).cast("long")), one("doubled", "own", F.col("copies") - 1))
     out = out.select("doc_id", "n_chars", F.col("own.sig").alias("sig"), F.explode(kinds).alias("r")).filter("r.times > 0")
     out = out.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("r.times") - 1) / _STEP))).alias("step"))
     out = out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(_STEP).cast("long"), F.col("r.times") - F.col("step") * _STEP))))

@@ -5,6 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.catalog import crc32_sql
 from . import chat, exact, fingerprint, langid, merkle, minhash, mixing, pieces, quality, suffix, toxicity, trie, vectors
 from .common import table
 
@@ -162,13 +163,6 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op13_fingerprints"] = op13_fingerprints
 
 
-def _crc32_sql(digits: str) -> str:
-    """crc32 of a string of ASCII characters, bit by bit."""
-    step = "list_reduce(range(0, 8)::UBIGINT[], lambda y, i: xor(y >> 1, 3988292384 * (y & 1)), xor(c, a)::UBIGINT)"
-    codes = f"list_transform(string_split({digits}, ''), lambda z: ascii(z)::UBIGINT)"
-    return f"xor(list_reduce({codes}, lambda c, a: {step}, 4294967295::UBIGINT), 4294967295::UBIGINT)"
-
-
 def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -208,7 +202,7 @@ SELECT r.doc_id, r.leaf, s.subroot, top.root, sha256(coalesce(p.siblings, '')) A
 FROM r JOIN s ON r.source IS NOT DISTINCT FROM s.source JOIN top ON true
 LEFT JOIN p ON r.source IS NOT DISTINCT FROM p.source AND r.rank = p.rank
 JOIN w ON r.source IS NOT DISTINCT FROM w.source AND r.rank = w.rank AND w.k = coalesce(len(w.path), 0)""".replace(
-    "CRC", _crc32_sql("CAST(doc_id AS VARCHAR)"))
+    "CRC", crc32_sql("CAST(doc_id AS VARCHAR)"))
 
 
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,4 +232,4 @@ z AS (SELECT p.key, sum(f.saved) AS saved_tokens, count(*) FILTER (f.n_children
       FROM f JOIN p ON p.c = f.conv_id AND p.d <= f.depth GROUP BY p.key)
 SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, g.conv_id AS parent_conv_id, f.n_convs, f.n_children, z.n_leaves,
        CAST(z.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
-FROM f JOIN z USING (key) LEFT JOIN f g ON g.key = f.up""".replace("CRC", _crc32_sql("CAST(conv_id AS VARCHAR)"))
+FROM f JOIN z USING (key) LEFT JOIN f g ON g.key = f.up""".replace("CRC", crc32_sql("CAST(conv_id AS VARCHAR)"))
