@@ -14,7 +14,8 @@ from lexicount.llm import minhash, pieces, quality
 from lexicount.llm.common import table
 from lexicount.llm.queries import ORACLE, QUERIES
 
-ROWS = {"op2_toxicity": "documents", "op3_quality": "documents", "op8_sentencepiece": "documents", "op10_language": "pages"}
+ROWS = {"op2_toxicity": "documents", "op3_quality": "documents", "op8_sentencepiece": "documents", "op10_language": "pages",
+        "op13_fingerprints": "documents"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -32,7 +33,7 @@ def test_one_row_per_input_row(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_language_of_pages(spark):
