@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lexicount.llm import fingerprint, merkle, trie
+from lexicount.llm import fingerprint, langid, merkle, trie
 
 DOCS = "doc_id long, source string, lang string, n_chars long, text string"
 CLASH = {"leaf": "x", "pos": 1, "grp": 2, "rank": 3, "proof": "p", "key": "k", "block": 4, "at": 5, "item": 6, "sig": "s",
@@ -268,3 +268,42 @@ def test_collision_rate_is_the_generalised_jaccard_similarity(spark):
     got = {r.i: r.x for r in both.select("i", fingerprint.likeness(F.col("a"), F.col("b"), p).alias("x")).collect()}
     error = np.array([got[i] - want[i] for i in range(120)])
     assert abs(error.mean()) < 0.02 and error.std() < 1.3 * 0.5 / np.sqrt(64)
+
+
+# ---- 10: languages beyond a block, broken markup ----------------------------
+
+def test_seventy_languages(spark):
+    def words(i):
+        return " ".join(f"{chr(0x4e00 + 40 * i + j)}{chr(0x4e00 + 40 * i + (j * 3) % 17)}" for j in range(12))
+    names = [f"l{i:02}" for i in range(70)]
+    docs = spark.createDataFrame([(10 * i + j, names[i], words(i)) for i in range(70) for j in range(6)],
+                                 "doc_id long, lang string, text string")
+    pages = spark.createDataFrame([(i, f"http://h{i}.example/", f"<html><p>{words(i)}</p></html>") for i in range(70)]
+                                  + [(100, None, None)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in langid.identify(pages, docs).collect()}
+    assert len(got) == 71 and all(got[i].lang == names[i] == got[i].text_lang for i in range(70))
+    assert all(0 < r.p <= 1 + 1e-9 for r in got.values())
+
+
+def test_tie_goes_to_the_first_language(spark):
+    docs = spark.createDataFrame([(i, "b" if i % 2 else "a", "same words here") for i in range(40)], "doc_id long, lang string, text string")
+    pages = spark.createDataFrame([(1, "http://x.y/", "")], "page_id long, url string, html string")
+    assert langid.identify(pages, docs.limit(0)).first().lang is None
+    table = np.zeros((2, 1 << langid.BITS), dtype=np.float32)
+    row = langid.with_block(langid.page_evidence(pages), table, langid.Params()).first()
+    assert list(row.ev) == [0.0, 0.0]
+
+
+def test_markup_is_removed_like_by_the_pattern_and_in_linear_time():
+    import time
+    pattern = re.compile(r"<(script|style|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+    rng = random.Random(2)
+    bits = ["<script", "<SCRIPT>", "</script >", "</Script>", "<!--", "-->", "<p a='>'>", "</p>", ">", "<", "text", "<style x>", "</style>",
+            "<nav>", "</nav>", "<navy>", " ", "é"]
+    for _ in range(3000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert langid.without_markup(page) == pattern.sub(" ", page), page
+    start = time.time()
+    for broken in ("<script" * 150_000, "<!--" * 250_000, "<html lang" * 100_000, "<nav>" * 200_000 + "</nav", "</script " * 100_000):
+        langid.visible_text(broken), langid.declared_language(broken)
+    assert time.time() - start < 20
