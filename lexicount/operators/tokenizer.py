@@ -5,6 +5,7 @@
   the (much smaller) distinct pre-token table, never on the raw text.
 * T03, T05: see ``bpe``; encoding takes any object with ``encode``, shipped once
   per executor, with a per-task cache of encoded pre-tokens.
+* T04: see ``unigram``.
 """
 from __future__ import annotations
 
@@ -17,13 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import BYTE_LEVEL_PATTERN, SPECIAL_TOKENS, WHITE_SPACE
-from ..session import cut_lineage
+from ..config import BYTE_LEVEL_PATTERN, SPECIAL_TOKENS
 from .bpe import N_BYTES, BpeEncoder, learn_bpe
+from .unigram import UnigramEncoder, learn_unigram, nfkc, unigram_words
 
 __all__ = ["learn_bpe", "BpeEncoder", "encode", "pretokens", "pretoken_counts", "vocab_table", "check_specials",
-           "require_specials", "token_fertility", "learn_unigram", "unigram_words", "nfkc"]
-
+           "require_specials", "token_fertility", "learn_unigram", "UnigramEncoder", "unigram_words", "nfkc"]
 
 
 def pretokens(df: DataFrame, text: str = "text", pattern: str = BYTE_LEVEL_PATTERN) -> DataFrame:
@@ -114,124 +114,3 @@ def token_fertility(encoded: DataFrame, by: Sequence[str] = ("lang",), ids: str
     return encoded.groupBy(*by).agg(
         F.sum(F.size(ids)).cast("long").alias("tokenizer_tokens"), F.sum(ref).cast("long").alias("reference_tokens")
     ).withColumn("fertility", F.col("tokenizer_tokens") / F.col("reference_tokens"))
-
-
-# ---------------------------------------------------------------------------
-# Unigram vocabulary (EM over the distributed word-count table)
-# ---------------------------------------------------------------------------
-
-WORD_BOUNDARY = "▁"  # fixed value: the word-boundary marker of the unigram model
-
-
-@F.pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Unicode NFKC normalisation (no built-in Spark function exists)."""
-    import unicodedata
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
-
-
-def unigram_words(df: DataFrame, text: str = "text") -> DataFrame:
-    """Word counts after NFKC, split on whitespace, each word prefixed by the
-    boundary marker."""
-    d = df.filter(F.coalesce(F.col(text), F.lit("")) != "").select(nfkc(F.col(text)).alias("_t"))
-    w = d.select(F.explode(F.split("_t", f"[{WHITE_SPACE}]+")).alias("w")).filter(F.col("w") != "")
-    return w.groupBy(F.concat(F.lit(WORD_BOUNDARY), F.col("w")).alias("word")).agg(
-        F.count(F.lit(1)).alias("count"))
-
-
-def _seed_pieces(words: DataFrame, max_len: int, seed_size: int) -> DataFrame:
-    """Most frequent substrings (length <= max_len), weighted by word count;
-    all single characters are always kept."""
-    n = F.length("word")
-    subs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(max_len), n - i + 1)), lambda ln: F.substring(F.col("word"), i, ln))))
-    s = words.select(F.explode(subs).alias("piece"), "count").groupBy("piece").agg(F.sum("count").alias("freq"))
-    top = s.filter(F.length("piece") > 1).orderBy(F.col("freq").desc(), "piece").limit(seed_size)
-    return s.filter(F.length("piece") == 1).unionByName(top)
-
-
-def learn_unigram(df: DataFrame, vocab_size: int, specials: Sequence[str] = SPECIAL_TOKENS,
-                  max_len: int = 12, seed_factor: int = 4, em_rounds: int = 2, shrink: float = 0.75
-                  ) -> DataFrame:
-    """Unigram vocabulary learned by EM with pruning.
-
-    Words stay distributed; each round broadcasts the current piece
-    log-probabilities (bounded by the seed size), computes expected piece
-    counts per word with forward-backward inside ``mapInPandas`` and sums
-    them with ``groupBy``. Pruning keeps single characters and the pieces with
-    the highest expected counts (a count-based stand-in for the likelihood
-    loss). Returns ``(id, piece, logprob)`` with the specials first.
-    """
-    import math
-    spark = df.sparkSession
-    words = cut_lineage(unigram_words(df))
-    target = max(1, vocab_size - len(specials))
-    pieces = {r.piece: float(r.freq) for r in _seed_pieces(words, max_len, target * seed_factor).collect()}
-
-    def logprobs(freqs):
-        tot = sum(freqs.values())
-        return {p: math.log(f / tot) for p, f in freqs.items() if f > 0}
-
-    while True:
-        for _ in range(em_rounds):
-            bc = spark.sparkContext.broadcast(logprobs(pieces))
-            schema = "piece string, expected double"
-
-            def estep(batches, bc=bc, max_len=max_len):
-                lp = bc.value
-                for pdf in batches:
-                    acc: dict[str, float] = {}
-                    for word, cnt in zip(pdf["word"], pdf["count"]):
-                        n = len(word)
-                        fwd = [-math.inf] * (n + 1)
-                        fwd[0] = 0.0
-                        for e in range(1, n + 1):
-                            best = []
-                            for b in range(max(0, e - max_len), e):
-                                v = lp.get(word[b:e])
-                                if v is not None and fwd[b] > -math.inf:
-                                    best.append(fwd[b] + v)
-                            if best:
-                                m = max(best)
-                                fwd[e] = m + math.log(sum(math.exp(x - m) for x in best))
-                        if fwd[n] == -math.inf:
-                            continue
-                        bwd = [-math.inf] * (n + 1)
-                        bwd[n] = 0.0
-                        for b in range(n - 1, -1, -1):
-                            best = []
-                            for e in range(b + 1, min(n, b + max_len) + 1):
-                                v = lp.get(word[b:e])
-                                if v is not None and bwd[e] > -math.inf:
-                                    best.append(bwd[e] + v)
-                            if best:
-                                m = max(best)
-                                bwd[b] = m + math.log(sum(math.exp(x - m) for x in best))
-                        for b in range(n):
-                            for e in range(b + 1, min(n, b + max_len) + 1):
-                                p = word[b:e]
-                                v = lp.get(p)
-                                if v is not None and fwd[b] > -math.inf and bwd[e] > -math.inf:
-                                    post = math.exp(fwd[b] + v + bwd[e] - fwd[n])
-                                    acc[p] = acc.get(p, 0.0) + cnt * post
-                    yield pd.DataFrame({"piece": list(acc), "expected": list(acc.values())})
-
-            exp = words.mapInPandas(estep, schema).groupBy("piece").agg(F.sum("expected").alias("e"))
-            got = {r.piece: r.e for r in exp.collect()}
-            pieces = {p: got.get(p, 0.0) for p in pieces}
-            bc.unpersist()
-        if len(pieces) <= target:
-            break
-        keep = max(target, int(len(pieces) * shrink))
-        singles = {p: f for p, f in pieces.items() if len(p) == 1}
-        if len(singles) > target:
-            raise ValueError(f"vocab_size {vocab_size} cannot hold the {len(singles)} distinct characters "
-                             f"and {len(specials)} specials")
-        multi = sorted(((p, f) for p, f in pieces.items() if len(p) > 1), key=lambda x: (-x[1], x[0]))
-        pieces = dict(singles)
-        for p, f in multi[:max(0, keep - len(singles))]:
-            pieces[p] = f
-    lp = logprobs({p: max(f, 1e-9) for p, f in pieces.items()})
-    rows = [(i, s, 0.0) for i, s in enumerate(specials)]
-    rows += [(len(specials) + i, p, v) for i, (p, v) in enumerate(sorted(lp.items(), key=lambda x: (-x[1], x[0])))]
-    return spark.createDataFrame(rows, "id int, piece string, logprob double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import SPECIAL_TOKENS, WHITE_SPACE
 from ..operators import budget, tokenizer
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cut_lineage
 from ..sinks import writers
 from ..sources.corpus import documents_corpus
 from .catalog import CORPUS_CTE, register
@@ -16,6 +16,7 @@ from .fixture import FIXTURE_PREMIUM, FIXTURE_SEED
 SAMPLE_CHARS = 100_000   # per language
 N_MERGES = 256         # merges of the queries that SQL repeats one by one
 VOCAB_SIZE = 32_768    # the default vocabulary
+UNIGRAM_SIZE = 1000    # pieces of the unigram queries (every EM step segments every word in Python)
 
 
 def sample(spark, d):
@@ -116,5 +117,30 @@ def q_token_fertility(spark, d):
 
 @register("unigram_vocab")
 def q_unigram_vocab(spark, d):
-    """T04 on the tokenizer sample: 300 pieces plus specials (rows-only)."""
-    return tokenizer.learn_unigram(sample(spark, d), vocab_size=300)
+    """T04 on every document: UNIGRAM_SIZE pieces, specials included (rows-only)."""
+    return tokenizer.learn_unigram(documents_corpus(spark, d), UNIGRAM_SIZE, seed_size=3 * UNIGRAM_SIZE)
+
+
+@register("unigram_invariants", f"""WITH w AS (SELECT DISTINCT unnest(string_split_regex(nfc_normalize(text), '[{WHITE_SPACE}]+')) AS w
+  FROM documents WHERE coalesce(text, '') <> ''),
+c AS (SELECT count(DISTINCT ch) AS n FROM (SELECT unnest(string_split(w, '')) AS ch FROM w WHERE w <> '') WHERE ch <> '▁')
+SELECT {UNIGRAM_SIZE} AS n_pieces, {len(SPECIAL_TOKENS)} AS n_specials, n + 1 AS n_characters, 1.0::DOUBLE AS mass,
+       true AS distinct_pieces, true AS unknown_is_least, (SELECT count(*) FROM documents) AS round_trips FROM c""")
+def q_unigram_invariants(spark, d):
+    """What must hold of a learned vocabulary, and every document read back from its pieces."""
+    vocab = cut_lineage(q_unigram_vocab(spark, d), "unigram-vocab")
+    plain = ~F.col("piece").isin(list(SPECIAL_TOKENS))
+    facts = vocab.agg(
+        F.count(F.lit(1)).cast("int").alias("n_pieces"), F.count_if(~plain).cast("int").alias("n_specials"),
+        F.count_if(plain & (F.length("piece") == 1)).alias("n_characters"),
+        F.round(F.sum(F.when(plain, F.exp("logprob"))), 9).alias("mass"),
+        (F.count_distinct("piece") == F.count(F.lit(1))).alias("distinct_pieces"),
+        (F.min(F.when(F.col("piece") == "<unk>", F.col("logprob"))) < F.min(F.when(plain, F.col("logprob")))).alias("unknown_is_least"))
+    rows = [tuple(r) for r in vocab.collect()]  # the vocabulary
+    words = F.array_join(F.filter(F.split(tokenizer.nfkc("text"), f"[{WHITE_SPACE}]+"), lambda w: w != ""), " ")
+    docs = documents_corpus(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = tokenizer.encode(docs, tokenizer.UnigramEncoder(rows), pattern=None)
+    pieces = F.array(*[F.lit(p) for _, p, _ in sorted(rows)])
+    back = F.trim(F.replace(F.array_join(F.transform("ids", lambda i: F.get(pieces, i)), ""), F.lit("▁"), F.lit(" ")))
+    good = ids.filter(back == words).agg(F.count(F.lit(1)).alias("round_trips"))
+    return facts.withColumn("one", F.lit(1)).join(good.withColumn("one", F.lit(1)), "one").drop("one")

@@ -1,11 +1,12 @@
 """Batched Spark BPE learner == sequential BPE; encoder round trip; specials."""
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import pytest
 
-from lexicount.operators import tokenizer
+from lexicount.operators import tokenizer, unigram
 from lexicount.operators.bpe import merge_symbols
 
 TEXT = ("the cat sat on the mat. the cats sat on the mats! a cat, a mat; the hat. "
@@ -67,13 +68,67 @@ def test_encode_round_trip_and_specials(spark):
 
 def test_unigram_vocab(spark):
     df = spark.createDataFrame([(TEXT,), ("ｆｕｌｌ ｗｉｄｔｈ",)], "text string")
-    vocab = tokenizer.learn_unigram(df, vocab_size=80, max_len=6).collect()
+    vocab = tokenizer.learn_unigram(df, vocab_size=80).collect()
     pieces = [r.piece for r in vocab]
     assert pieces[:4] == list(tokenizer.SPECIAL_TOKENS)
-    assert len(pieces) <= 80 + 40          # target plus all single characters
+    assert len(pieces) <= 80
     assert "▁the" in pieces            # frequent word survives pruning
     assert "ｆ" not in "".join(pieces)       # NFKC folded full-width letters
     assert all(r.logprob <= 0 for r in vocab[4:])
+    assert abs(sum(math.exp(r.logprob) for r in vocab[4:]) - 1) < 1e-9
+    assert vocab[3].piece == "<unk>" and vocab[3].logprob < min(r.logprob for r in vocab[4:])
+    enc = tokenizer.UnigramEncoder([tuple(r) for r in vocab])
+    ids = enc.encode("the mat\u2003thinЖ")
+    assert "".join(pieces[i] for i in ids).replace("▁", " ") == " the mat thin<unk>" and enc.encode("") == []
+
+
+def test_seeds_are_repeated_branching_substrings(spark):
+    words = spark.createDataFrame([("▁abcab", 3), ("▁abd", 1), ("▁zz", 1)], "word string, count long")
+    got = {r.piece: r.freq for r in unigram.seed_pieces(words, 16, 100).collect()}
+    text = [("▁abcab", 3), ("▁abd", 1), ("▁zz", 1)]
+    every = Counter()
+    for w, c in text:
+        for i in range(len(w)):
+            for j in range(i + 1, len(w) + 1):
+                every[w[i:j]] += c
+    want = {p: c for p, c in every.items() if len(p) == 1 or (c > 1 and not any(
+        q[:-1] == p and n == c for q, n in every.items()))}
+    assert got == want and got["ab"] == 7 and "bc" not in got
+
+
+def test_expected_counts_and_losses_by_enumeration():
+    lp = {"a": -1.0, "b": -1.5, "ab": -1.2, "ba": -2.0, "aba": -2.5}
+
+    def splits(w):
+        if not w:
+            yield []
+        for i in range(1, len(w) + 1):
+            if w[:i] in lp:
+                yield from ([w[:i], *rest] for rest in splits(w[i:]))
+    for word in ("abab", "aabba", "ba", "c"):
+        every = [(s, math.exp(sum(lp[p] for p in s))) for s in splits(word)]
+        z = sum(x for _, x in every)
+        want = Counter()
+        for s, x in every:
+            for p in s:
+                want[p] += x / z
+        got = unigram.expected_counts(word, lp, 3)
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+        best = max(every, key=lambda x: x[1])[0] if every else None
+        assert unigram.best_segmentation(word, lp, 3) == best
+    uses = {"a": 5.0, "b": 4.0, "ab": 3.0, "ba": 0.0, "aba": 2.0}
+    got = unigram.losses(lp, uses)
+    assert got["ba"] == 0.0 and set(got) == {"ab", "ba", "aba"}
+    now = 3 / 14 * math.log(3 / 14)
+    then = 3 / 14 * (math.log(8 / 17) + math.log(7 / 17))
+    assert abs(got["ab"] - (now - then)) < 1e-12
+
+
+def test_pruning_keeps_the_pieces_that_matter(spark):
+    """A piece that two others spell as well goes first; characters always stay."""
+    df = spark.createDataFrame([("lantern " * 50 + "lant ern " * 3 + "xyz",)], "text string")
+    vocab = {r.piece for r in tokenizer.learn_unigram(df, vocab_size=4 + 11 + 3).collect()}
+    assert "▁lantern" in vocab and set("lanternxyz▁") <= vocab
 
 
 def test_unicode_white_space_is_one_definition(spark):
