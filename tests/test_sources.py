@@ -185,3 +185,29 @@ def test_json_documents_and_text_readers(spark, tmp_path):
     import pytest
     with pytest.raises(PySparkException):
         evals.card_categories(spark.createDataFrame([("x", "no section")], "lang string, card string")).collect()
+
+
+def test_one_log_is_read_by_several_tasks(spark, tmp_path):
+    """Line numbers of logs cut into blocks equal those of the whole text; so do tables parsed across the cuts."""
+    from lexicount.sources import evals
+    lines = [f"line {i} " + "x" * (i % 37) + ("\r" if i % 5 == 0 else "") for i in range(4000)]
+    lines[1999:2003] = ["=== part two ===", "|Tasks|Version|Filter|n-shot|Metric|   |Value|   |Stderr|",
+                        "|a_eng|1|none|0|acc|↑|0.5|±|0.1|", "||1|none|0|acc_norm|↑|0.25|±|0.2|"]
+    (tmp_path / "long.log").write_bytes("\n".join(lines).encode())
+    (tmp_path / "short.log").write_bytes(b"one\n\nthree\n")
+    (tmp_path / "empty.log").write_bytes(b"")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = evals.log_lines(spark, str(tmp_path / "*.log"))
+        assert got.rdd.getNumPartitions() > 10
+        by_file = {}
+        for r in sorted(got.collect(), key=lambda r: (r.file, r.line_no)):
+            by_file.setdefault(r.file.rsplit("/", 1)[1], []).append((r.line_no, r.line))
+        table = evals.score_tables(got).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert by_file == {"long.log": [(i, x.removesuffix("\r")) for i, x in enumerate(lines)],
+                       "short.log": [(0, "one"), (1, ""), (2, "three")]}
+    assert sorted((r.title, r.section, r.task, r.metric, r.value) for r in table) == [
+        ("part two", "tasks", "a_eng", "acc", 0.5), ("part two", "tasks", "a_eng", "acc_norm", 0.25)]
