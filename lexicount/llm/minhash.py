@@ -29,6 +29,10 @@ from .common import byte_words, cut, mix64
 from .graph import components
 
 
+#: Shingles before a row's own in its prefix that the row carries, to meet a partner once.
+_BEFORE = 8
+
+
 @dataclass(frozen=True)
 class Params:
     """shingle words; bands x rows minima; threshold as similarity >= num / den.
@@ -36,7 +40,8 @@ class Params:
     A pair at similarity s shares no band with probability (1 - s^rows)^bands:
     5e-6 at 0.8, 6e-9 at 0.85. ``margin`` standard deviations of the signature
     estimate are allowed below the threshold before a pair is dropped
-    unconfirmed (chance 3e-6 at 0.8).
+    unconfirmed (chance 3e-6 at 0.8). ``hubs`` members of a band are elected
+    one after the other before its members meet by shingles.
     """
 
     shingle: int = 5
@@ -45,6 +50,7 @@ class Params:
     num: int = 80
     den: int = 100
     margin: float = 4.5
+    hubs: int = 3
 
     @property
     def least_matches(self) -> int:
@@ -193,16 +199,26 @@ def rare_pairs(texts: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
     # one document's shingles: the first of them in the common order (rarest first) are enough
     enough = (F.col("n") - F.ceil(F.col("n") * p.num / p.den) + 1).cast("int")
     prefix = rows.groupBy("id", "seq", "n").agg(F.collect_list(F.struct("seen", "shingle")).alias("all")).select(
-        "id", "n", F.explode(F.slice(F.sort_array("all"), F.lit(1), enough)).alias("f"))
-    prefix = prefix.filter("f.seen > 1").select("id", "n", "f.shingle").join(labels, "id")
-    prefix = cut(prefix.select("id", "n", "shingle", "label"), "minhash-prefix")
+        "id", "n", F.slice(F.sort_array("all"), F.lit(1), enough).alias("all"))
+    # each with the shingles before it in the prefix that others have too, as far as they help
+    shared = F.transform(F.filter("all", lambda e: e["seen"] > 1), lambda e: e["shingle"])
+    prefix = prefix.select("id", "n", "all", shared.alias("shared"))
+    prefix = prefix.select("id", "n", F.explode("all").alias("f"), "shared")
+    at = F.array_position("shared", F.col("f.shingle"))
+    first = F.greatest(F.lit(1).cast("long"), at - _BEFORE)
+    prefix = prefix.select("id", "n", F.struct("f.seen", "f.shingle", F.when(
+        F.col("f.seen") > 1, F.slice("shared", first.cast("int"), (at - first).cast("int"))).alias("before")).alias("f"))
+    prefix = prefix.filter("f.seen > 1").select("id", "n", "f.shingle", "f.before").join(labels, "id")
+    prefix = cut(prefix.select("id", "n", "shingle", "before", "label"), "minhash-prefix")
     split = cut(prefix.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("shingle"),
                 "minhash-prefix-split")
     prefix = cut(prefix.join(split, "shingle"), "minhash-prefix")
-    x = prefix.select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = prefix.select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    x = prefix.select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("before").alias("ba"))
+    y = prefix.select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("before").alias("bb"))
     fits = (F.least("na", "nb") * p.den >= F.greatest("na", "nb") * p.num)
-    both = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & fits)
+    # a pair that shares an earlier shingle has met there already; its first common one always counts
+    both = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & fits
+                  & ~F.arrays_overlap("ba", "bb"))
     return both.select("a", "b").distinct()
 
 
@@ -243,21 +259,26 @@ def near_groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
         return cut(confirmed(cut(likely.select("a", "b"), "minhash-likely"), texts, p), "minhash-links")
 
     edges: DataFrame | None = None
-    if not open_rows.isEmpty():
+    for _ in range(p.hubs):
+        if open_rows.isEmpty():
+            break
         hubs = _elected(open_rows)
         tried = open_rows.join(hubs, "bucket").filter(F.col("id") != F.col("hub"))
-        edges = links(tried.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct())
+        found = links(tried.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct())
+        edges = found if edges is None else edges.unionByName(found)
         # elected members are done in their buckets; buckets with one component left are done
-        rest = open_rows.select("bucket", "id").join(hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
+        rest = open_rows.select("bucket", "id", "weight").join(
+            hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
         labels = components(edges)
         rest = cut(rest.join(labels, F.col("id") == F.col("node"), "left")
-                   .select("bucket", "id", F.coalesce("component", "id").alias("label")), "minhash-rest")
+                   .select("bucket", "id", "weight", F.coalesce("component", "id").alias("label")), "minhash-rest")
         split = cut(rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                     .filter("lo < hi").select("bucket"), "minhash-split")
-        left = cut(rest.join(split, "bucket", "left_semi").select("id", "label").distinct(), "minhash-left")
-        if not left.isEmpty():
-            some = texts.join(left.select(F.col("id").alias("lid")), F.col("doc_id") == F.col("lid"), "left_semi")
-            edges = edges.unionByName(links(rare_pairs(some.dropDuplicates(["doc_id", "text"]), left, p)))
+        open_rows = cut(rest.join(split, "bucket", "left_semi"), "minhash-open")
+    if edges is not None and not open_rows.isEmpty():
+        left = cut(open_rows.select("id", "label").distinct(), "minhash-left")
+        some = texts.join(left.select(F.col("id").alias("lid")), F.col("doc_id") == F.col("lid"), "left_semi")
+        edges = edges.unionByName(links(rare_pairs(some.dropDuplicates(["doc_id", "text"]), left, p)))
     if edges is not None:
         members = cut(members, "minhash-members").join(components(edges), F.col("rep") == F.col("node"), "left")
     else:
