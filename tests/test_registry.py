@@ -8,8 +8,8 @@ from lexicount.plans.catalog import QUERIES
 from conftest import SF_SMALL
 from oracle_check import compare, open_oracle
 
-# covered (exactly, against a sequential learner) by test_tokenizer.py
-HEAVY = {"bpe_merges", "bpe_vocab_specials", "token_fertility", "unigram_vocab"}
+# covered (exactly, against a sequential learner and by enumeration) by test_tokenizer.py
+HEAVY = {"unigram_vocab", "unigram_invariants", "bpe_vocab_specials"}
 NAMES = [n for n in QUERIES if n not in HEAVY]
 
 
