@@ -211,3 +211,32 @@ def test_missing_specials_stop_the_run(spark):
     with pytest.raises(ValueError, match="<bos>.*<unk>"):
         tokenizer.require_specials(vocab)
     assert tokenizer.require_specials(vocab, ("<pad>", "<eos>")).count() == 258
+
+
+def test_many_words_at_once_equal_each_word(spark):
+    """Lattices of words of all lengths, weighted, against the segmentation of one word at a time."""
+    import random
+    rng = random.Random(5)
+    lp = {"a": -1.0, "b": -1.5, "ab": -1.2, "ba": -2.0, "aba": -2.5, "東": -3.0, "b東": -3.25, "aa": -2.0}
+    words = list(dict.fromkeys("".join(rng.choice("ab東c") for _ in range(rng.randint(0, 9))) for _ in range(300)))
+    words += ["ab" * 400, "c", "aaaa"]
+    counts = [rng.randint(1, 9) for _ in words]
+    lattices = unigram.Lattices(lp)
+    uses, expected = Counter(), Counter()
+    for w, c in zip(words, counts, strict=True):
+        uses.update({p: n * c for p, n in Counter(unigram.best_segmentation(w, lp, 3) or []).items()})
+        for p, x in unigram.expected_counts(w, lp, 3).items():
+            expected[p] += c * x
+    assert dict(zip(lattices.pieces, lattices.uses(words, counts), strict=True)) == {p: uses[p] for p in lp}
+    got = dict(zip(lattices.pieces, lattices.expected(words, counts), strict=True))
+    assert all(math.isclose(got[p], expected[p], rel_tol=1e-12, abs_tol=1e-12) for p in lp)
+
+
+def test_words_are_segmented_once(monkeypatch):
+    calls, best = [], unigram.best_segmentation
+    monkeypatch.setattr(unigram, "best_segmentation", lambda w, *a, **k: calls.append(w) or best(w, *a, **k))
+    enc = unigram.UnigramEncoder([(0, "<unk>", -9.0), (1, "▁", -1.0), (2, "a", -1.0)])
+    assert enc.encode("a aa a") == [1, 2, 1, 2, 2, 1, 2] and enc.encode("aa") == [1, 2, 2]
+    assert sorted(calls) == ["▁a", "▁aa"]
+    import pickle
+    assert pickle.loads(pickle.dumps(enc)).encode("a") == [1, 2]
