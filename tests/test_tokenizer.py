@@ -232,6 +232,22 @@ def test_many_words_at_once_equal_each_word(spark):
     assert all(math.isclose(got[p], expected[p], rel_tol=1e-12, abs_tol=1e-12) for p in lp)
 
 
+def test_learners_deal_their_words_out(spark, monkeypatch):
+    """Few bytes of words are many words: every pass over them runs in as many tasks as a shuffle."""
+    from lexicount.operators import bpe
+    cut, tasks = bpe.cut_lineage, {}
+
+    def seen(df, name):
+        tasks.setdefault(name, df.rdd.getNumPartitions())
+        return cut(df, name)
+    monkeypatch.setattr(bpe, "cut_lineage", seen)
+    monkeypatch.setattr(unigram, "cut_lineage", seen)
+    df = spark.createDataFrame([(TEXT,)], "text string")
+    tokenizer.learn_bpe(tokenizer.pretoken_counts(df), vocab_size=4 + 256 + 2)
+    tokenizer.learn_unigram(df, vocab_size=80, em_rounds=1)
+    assert tasks["bpe-words"] == tasks["unigram-words"] == 8
+
+
 def test_words_are_segmented_once(monkeypatch):
     calls, best = [], unigram.best_segmentation
     monkeypatch.setattr(unigram, "best_segmentation", lambda w, *a, **k: calls.append(w) or best(w, *a, **k))
