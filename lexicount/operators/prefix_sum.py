@@ -17,6 +17,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import map_literal
+from ..session import cut_lineage
+
+
+def numbered(rows: DataFrame, by: str, order: Sequence[str | Column], name: str, out: str = "n") -> DataFrame:
+    """Add ``out``: the number (from 1) of each row among those of its ``by`` (not null) in ``order``.
+
+    A range exchange deals the rows out, every task numbers its own sorted
+    rows, and the totals of the tasks before it are added: a hot ``by`` is
+    never one task's window. The numbered rows are written, so a repeated task
+    cannot deal rows equal in the order differently.
+    """
+    placed = cut_lineage(rows.repartitionByRange(by, *order).sortWithinPartitions(by, *order)
+                         .withColumn("_at", F.monotonically_increasing_id()), name)
+    placed = placed.withColumn("_task", F.shiftright("_at", 33))  # task above, row within it below
+    sizes = placed.groupBy(by, "_task").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    upto = Window.partitionBy(by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
+    offsets = sizes.select(by, "_task", "_first", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    placed = placed.join(F.broadcast(offsets), [by, "_task"])
+    return placed.withColumn(out, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop(
+        "_at", "_task", "_first", "_before")
 
 
 def running_sums(df: DataFrame, values: Sequence[str], order: Sequence[str | Column],

@@ -10,18 +10,16 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.columns import milestone_name
 from ..operators.budget import whitelist_predicate, with_ref_tokens  # noqa: F401
-from ..operators.prefix_sum import running_sums
-from ..session import checkpoint_dir
+from ..operators.prefix_sum import numbered, running_sums
+from ..session import checkpoint_dir, cut_lineage
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -101,6 +99,12 @@ def shuffle_slot(seed: int, lane: str, n: int, buffer: int) -> int:
     return int(hashlib.md5(f"{seed}|{lane}|{n}".encode()).hexdigest()[:8], 16) % buffer
 
 
+def _slot(seed: int, lane: Column, n: Column, buffer: int) -> Column:
+    """``shuffle_slot`` of every row."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed), lane, n.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.lit(buffer)
+
+
 def stream_local_shuffle(stream: DataFrame, seed: int, out: str, buffer: int = 1000, lanes: int = 1,
                          key: str = "lang", order: str = "doc_id") -> DataFrame:
     """Bounded-buffer shuffle of a stream; returns (lane, seq, and the columns of the stream).
@@ -109,44 +113,50 @@ def stream_local_shuffle(stream: DataFrame, seed: int, out: str, buffer: int = 1
     parts by a hash of ``order`` so that a hot key is several groups. A buffer
     holds ``buffer`` rows; once it is full, every arriving row takes a random
     slot and the row that was there is emitted (a *local* shuffle: biased when
-    the input is clustered). Buffers are keyed state, carried from batch to
-    batch and over restarts; rows of a batch arrive in ``order``. Emitted rows
-    are appended to ``out``; what is left in the buffers when no input is left
-    is read from the state and follows in a seeded order.
+    the input is clustered). Rows of a batch arrive in ``order``. The slot is a
+    function of the arrival's number alone, so a row leaves when the next one
+    of its lane and slot arrives: one window over (lane, slot) says when, and
+    no task holds a buffer or a batch. The buffers are a table in the shared
+    checkpoint folder, carried from batch to batch; emitted rows go to
+    ``out/batch_id=N`` (overwrite, so a replayed batch is idempotent). What is
+    left in the buffers when no input is left follows in a seeded order.
     """
     spark = stream.sparkSession
     lane = F.concat_ws("|", F.col(key), (F.crc32(F.col(order).cast("string").cast("binary")) % lanes).cast("string"))
-    rows = stream.select(lane.alias("lane"), F.col(order).alias("at"), F.to_json(F.struct(*stream.columns)).alias("row"))
-
-    def run(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        arrived, held = state.get if state.exists else (0, [])
-        held, gone, first = list(held), [], None
-        batch = pd.concat(list(frames)).sort_values("at", kind="stable")
-        for row in batch["row"]:
-            arrived += 1
-            if len(held) < buffer:
-                held.append(row)
-                continue
-            first = first or arrived - buffer
-            i = shuffle_slot(seed, keys[0], arrived, buffer)
-            gone.append(held[i])
-            held[i] = row
-        state.update((arrived, held))
-        yield pd.DataFrame({"lane": [keys[0]] * len(gone), "seq": range(first or 0, (first or 0) + len(gone)), "row": gone})
-
-    emitted = rows.groupBy("lane").applyInPandasWithState(
-        run, "lane string, seq long, row string", "arrived long, held array<string>", "append", GroupStateTimeout.NoTimeout)
-    ckpt = scratch(spark, "shuffle-ckpt")
-    q = (emitted.writeStream.format("parquet").outputMode("append").option("path", out)
-                .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    rows = stream.select(lane.alias("lane"), F.col(order).alias("at"), F.struct(*stream.columns).alias("row"))
+    row = T.StructField("row", stream.schema)
+    held = T.StructType([T.StructField("lane", T.StringType()), T.StructField("n", T.LongType()),
+                         T.StructField("slot", T.LongType()), row])
+    gone = T.StructType([T.StructField("lane", T.StringType()), T.StructField("seq", T.LongType()), row])
+    kept = scratch(spark, "shuffle-buffers")
+    spark.createDataFrame([], held).write.parquet(f"{kept}/-1")
+    done = [-1]  # the last batch
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        before = batch.sparkSession.read.schema(held).parquet(f"{kept}/{batch_id - 1}")
+        arrived = before.groupBy("lane").agg(F.max("n").alias("arrived"))  # the last arrival is always held
+        new = numbered(batch, "lane", [F.col("at").asc_nulls_last()], "shuffle-arrivals").join(F.broadcast(arrived), "lane", "left")
+        new = new.withColumn("n", F.col("n") + F.coalesce("arrived", F.lit(0)))
+        new = new.select("lane", "n", F.when(F.col("n") <= buffer, F.col("n") - 1).otherwise(
+            _slot(seed, F.col("lane"), F.col("n"), buffer)).alias("slot"), "row")
+        leaves = F.lead("n").over(Window.partitionBy("lane", "slot").orderBy("n"))
+        moved = cut_lineage(before.unionByName(new).withColumn("leaves", leaves), "shuffle-moved")
+        moved.filter("leaves is not null").select("lane", (F.col("leaves") - buffer).alias("seq"), "row") \
+            .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        moved.filter("leaves is null").drop("leaves").write.mode("overwrite").parquet(f"{kept}/{batch_id}")
+        done[0] = batch_id
+
+    q = (rows.writeStream.foreachBatch(process).option("checkpointLocation", scratch(spark, "shuffle-ckpt"))
+             .trigger(availableNow=True).start())
     q.awaitTermination()
-    state = spark.read.format("statestore").load(ckpt).select("key.lane", "value.groupState.*")
-    rest = state.select("lane", F.col("arrived"), F.size("held").alias("n"), F.posexplode("held").alias("slot", "row"))
+    rest = spark.read.schema(held).parquet(f"{kept}/{done[0]}")
+    lane_rows = Window.partitionBy("lane")  # at most ``buffer`` rows
     left = F.md5(F.concat_ws("|", F.lit(seed), "lane", F.lit("rest"), "slot"))
-    rank = F.row_number().over(Window.partitionBy("lane").orderBy(left, "slot"))  # at most ``buffer`` rows of a lane
-    rest = rest.select("lane", (F.col("arrived") - F.col("n") + rank).alias("seq"), "row")
-    done = spark.read.schema(emitted.schema).parquet(out).unionByName(rest)
-    return done.select("lane", "seq", F.from_json("row", stream.schema).alias("r")).select("lane", "seq", "r.*")
+    first = F.max("n").over(lane_rows) - F.count(F.lit(1)).over(lane_rows)
+    rest = rest.select("lane", (first + F.row_number().over(lane_rows.orderBy(left, "slot"))).alias("seq"), "row")
+    if done[0] >= 0:
+        rest = spark.read.schema(gone).parquet(out).select("lane", "seq", "row").unionByName(rest)
+    return rest.select("lane", "seq", "row.*")
 
 
 def stream_milestones(stream: DataFrame, milestones: Sequence[int], state_dir: str,

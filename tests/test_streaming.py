@@ -114,3 +114,21 @@ def test_throughput_across_batches_equals_the_intervals(spark):
     got = R.run_updates(R.stream_log_throughput(live, 10, 512), "interval").filter("n_steps > 0")
     want = packing.log_intervals(steps, 10, 512).select(got.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_shuffle_buffers_are_no_task_of_python(spark):
+    """Order and ties of one batch; no lane goes through one Python group."""
+    src = tempfile.mkdtemp(prefix="lexicount-lanes-", dir="/tmp")
+    rows = [(i if i % 50 else None, "a", f"text {i}") for i in range(1, 400)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3).write.mode("append").parquet(src)
+    stream = R.stream_corpus(spark, src, "doc_id long, lang string, text string")
+    got = R.stream_local_shuffle(stream, 3, R.scratch(spark, "test-lanes"), buffer=5, lanes=2)
+    assert "Python" not in got._jdf.queryExecution().toString() and not hasattr(R, "pd")
+    got = got.orderBy("lane", "seq").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted((x or 0, t) for x, _, t in rows)
+    for lane in {r.lane for r in got}:
+        mine = [r for r in got if r.lane == lane]
+        assert [r.seq for r in mine] == list(range(1, len(mine) + 1))
+        ids = sorted((r.doc_id for r in mine), key=lambda x: (x is None, x))
+        out, held = sequential_shuffle([(lane, x) for x in ids], 3, 5)
+        assert [r.doc_id for r in mine[:len(out)]] == out
