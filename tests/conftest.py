@@ -7,6 +7,9 @@ import pytest
 
 sys.path.insert(0, os.path.join(os.path.dirname(__file__), ".."))
 
+# Python workers import the classes of the tests (encoders) too
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [os.path.dirname(os.path.abspath(__file__)), os.environ.get("PYTHONPATH")]))
+
 SF_SMALL = "/root/testdata/sf0.001"
 
 
