@@ -7,15 +7,16 @@ are one class from then on. In every band the member nearest to the middle of
 its group is elected and compared with the others: signature bit counts give
 the collision-corrected similarity, pairs clearly below the threshold are
 dropped, the others are confirmed on their full shingle sets. Where a band
-still holds several components, its members meet by their rarest shingles: two
-sets that reach the threshold share one of the first n - ceil(0.8 n) + 1 in
-any common order, and in the order of rarity sets that share only common text
-never meet. No step pairs up a group.
+still holds several components, its members are told apart from its elected
+one: two sets differ in what just one of their differences from it has, so a
+pair at the threshold has differences that share many shingles and meets by
+one of their rarest. What a family has in common is in none of its
+differences, so its members do not meet by it. No step pairs up a group.
 """
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from zlib import crc32
@@ -41,7 +42,7 @@ class Params:
     5e-6 at 0.8, 6e-9 at 0.85. ``margin`` standard deviations of the signature
     estimate are allowed below the threshold before a pair is dropped
     unconfirmed (chance 3e-6 at 0.8). ``hubs`` members of a band are elected
-    one after the other before its members meet by shingles.
+    one after the other before its members meet by their differences from the last.
     """
 
     shingle: int = 5
@@ -169,57 +170,95 @@ def _elected(open_rows: DataFrame) -> DataFrame:
     return cut(open_rows.groupBy("bucket").agg(best.alias("h")).select("bucket", (-F.col("h.minus")).alias("hub")), "minhash-hubs")
 
 
-def shingle_rows(texts: DataFrame, p: Params) -> DataFrame:
-    """(id, seq, n, shingle): the 64-bit digests of every text's shingles, n of them; seq is that of its words."""
-    def digest(x: bytes) -> bytes:
-        return hashlib.blake2b(x, digest_size=8).digest()
+def differences(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+    """(ref, id, seq, nr, n, shingle): for every pair (id, hub), the digests of the shingles that only one of the two has.
+
+    ref and seq are the digests of the hub's and the other's words, nr and n
+    the sizes of their sets; a pair of equal sets has no rows.
+    """
+    t1 = texts.select(F.col("doc_id").alias("ida"), F.col("text").alias("ta"))
+    t2 = texts.select(F.col("doc_id").alias("idb"), F.col("text").alias("tb"))
+    both = pairs.join(t1, F.col("id") == F.col("ida")).join(t2, F.col("hub") == F.col("idb")).select("id", "ta", "tb")
+
+    def digest(words: Iterable[bytes]) -> bytes:
+        return hashlib.blake2b(b" ".join(words), digest_size=8).digest()
+
+    def table(sets: list[tuple[tuple, int]], found: list[bytes]) -> pa.RecordBatch:
+        size = np.array([k for _, k in sets], dtype=np.int64)
+        same = [pa.array(np.repeat(np.array(c, dtype=np.int64), size)) for c in zip(*(x for x, _ in sets), strict=True)]
+        return pa.RecordBatch.from_arrays([*same, pa.array(np.frombuffer(b"".join(found), dtype=np.int64))],
+                                          names=["ref", "id", "seq", "nr", "n", "shingle"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[str | None, set, int] = (None, set(), 0)
+        sets, found = [], []
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = byte_words(t.as_py())
-                found = shingle_set(words, p.shingle)
-                seq = int.from_bytes(digest(b" ".join(words)), "little", signed=True)
-                h = b"".join(digest(b" ".join(s)) for s in found)
-                same = [pa.array(np.full(len(found), x, dtype=np.int64)) for x in (i, seq, len(found))]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(np.frombuffer(h, dtype=np.int64))],
-                                                 names=["id", "seq", "n", "shingle"])
-
-    return texts.select("doc_id", "text").mapInArrow(run, "id long, seq long, n long, shingle long")
+            for i, ta, tb in zip(*batch.columns, strict=True):
+                y, words = tb.as_py(), byte_words(ta.as_py())
+                if y != last[0]:
+                    hub = byte_words(y)
+                    last = (y, shingle_set(hub, p.shingle), int.from_bytes(digest(hub), "little", signed=True))
+                x = shingle_set(words, p.shingle)
+                only = x ^ last[1]
+                seq = int.from_bytes(digest(words), "little", signed=True)
+                sets.append(((last[2], i.as_py(), seq, len(last[1]), len(x)), len(only)))
+                found += map(digest, only)
+                if len(found) >= 1 << 16:
+                    yield table(sets, found)
+                    sets, found = [], []
+        if sets:
+            yield table(sets, found)
+
+    return both.mapInArrow(run, "ref long, id long, seq long, nr long, n long, shingle long")
 
 
 def rare_pairs(texts: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
-    """(a, b) of different labels, a > b, that can reach the threshold by their rarest shingles and their sizes.
-
-    ``labels`` has id, label of the documents to pair, ``texts`` their distinct (doc_id, text).
+    """(a, b), a > b, that can reach the threshold, of those with one hub and different labels.
+
+    ``labels`` has id, label, hub: the documents to pair and the elected member
+    that each is told apart from; ``texts`` has the distinct (doc_id, text) of
+    both. Two sets differ in what exactly one of their differences from the hub
+    has, so the pair is at the threshold when the differences, of da and db
+    shingles, share at least (da + db - (den - num) / (den + num) * (na + nb)) / 2.
+    What a family has in common is in none of its differences. Two members
+    within the threshold of their hub are linked by it; all others must share one
+    of the first shingles in the order of rarity, and far enough from the end.
     """
-    rows = cut(shingle_rows(texts, p), "minhash-shingles")
-    seen = rows.groupBy(F.col("shingle").alias("s")).agg(F.count(F.lit(1)).alias("seen"))
-    rows = rows.join(seen, F.col("shingle") == F.col("s")).select("id", "seq", "n", "shingle", "seen")
-    # one document's shingles: the first of them in the common order (rarest first) are enough
-    enough = (F.col("n") - F.ceil(F.col("n") * p.num / p.den) + 1).cast("int")
-    prefix = rows.groupBy("id", "seq", "n").agg(F.collect_list(F.struct("seen", "shingle")).alias("all")).select(
-        "id", "n", F.slice(F.sort_array("all"), F.lit(1), enough).alias("all"))
+    up, down = p.den + p.num, p.den - p.num  # at the threshold: up * difference <= down * (na + nb)
+    rows = cut(differences(labels.select("id", "hub"), texts, p), "minhash-differences")
+    seen = rows.groupBy("ref", "shingle").agg(F.count(F.lit(1)).alias("seen"))
+    sets = (rows.join(seen, ["ref", "shingle"]).groupBy("ref", "id", "seq", "nr", "n")
+            .agg(F.sort_array(F.collect_list(F.struct("seen", "shingle"))).alias("all"))
+            .withColumn("d", F.size("all").cast("long"))
+            .withColumn("near", F.col("d") * up <= (F.col("n") + F.col("nr")) * down))
+    # shingles before the place from which the rest is too short, whatever partner: a member near the hub needs a far one
+    near = (F.col("d") * up + (F.col("n") - F.col("nr")) * down) / (2 * up)
+    far = F.least(F.col("n") * (2 * down), F.col("d") * p.num + F.col("n") * down) / (2 * p.num)
+    enough = F.greatest(F.lit(0).cast("long"), F.floor(F.when(F.col("near"), near).otherwise(far)) + 1).cast("int")
+    mine = ["ref", "id", "n", "d", "near"]
+    prefix = sets.select(*mine, F.slice("all", F.lit(1), enough).alias("all"))
     # each with the shingles before it in the prefix that others have too, as far as they help
     shared = F.transform(F.filter("all", lambda e: e["seen"] > 1), lambda e: e["shingle"])
-    prefix = prefix.select("id", "n", "all", shared.alias("shared"))
-    prefix = prefix.select("id", "n", F.explode("all").alias("f"), "shared")
+    prefix = prefix.select(*mine, shared.alias("shared"), F.posexplode("all").alias("place", "f"))
     at = F.array_position("shared", F.col("f.shingle"))
     first = F.greatest(F.lit(1).cast("long"), at - _BEFORE)
-    prefix = prefix.select("id", "n", F.struct("f.seen", "f.shingle", F.when(
-        F.col("f.seen") > 1, F.slice("shared", first.cast("int"), (at - first).cast("int"))).alias("before")).alias("f"))
-    prefix = prefix.filter("f.seen > 1").select("id", "n", "f.shingle", "f.before").join(labels, "id")
-    prefix = cut(prefix.select("id", "n", "shingle", "before", "label"), "minhash-prefix")
-    split = cut(prefix.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("shingle"),
-                "minhash-prefix-split")
-    prefix = cut(prefix.join(split, "shingle"), "minhash-prefix")
-    x = prefix.select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("before").alias("ba"))
-    y = prefix.select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("before").alias("bb"))
-    fits = (F.least("na", "nb") * p.den >= F.greatest("na", "nb") * p.num)
+    before = F.slice("shared", first.cast("int"), (at - first).cast("int"))
+    prefix = prefix.filter("f.seen > 1").select(*mine, (F.col("d") - F.col("place")).alias("rest"), "f.shingle",
+                                                before.alias("before"))
+    prefix = cut(prefix.join(labels.select("id", "label").distinct(), "id"), "minhash-prefix")
+    split = cut(prefix.groupBy("ref", "shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+                .filter("lo < hi").select("ref", "shingle"), "minhash-prefix-split")
+    prefix = cut(prefix.join(split, ["ref", "shingle"]), "minhash-prefix")
+    x, y = (prefix.select("ref", "shingle", *(F.col(c).alias(c + side) for c in ("id", "n", "d", "near", "rest", "label", "before")))
+            for side in "ab")
+    fits = F.least("na", "nb") * p.den >= F.greatest("na", "nb") * p.num
+    # what the differences can still share from here on (itself included) must do
+    reach = (F.col("da") + F.col("db") - F.least("resta", "restb") * 2) * up <= (F.col("na") + F.col("nb")) * down
     # a pair that shares an earlier shingle has met there already; its first common one always counts
-    both = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & fits
-                  & ~F.arrays_overlap("ba", "bb"))
-    return both.select("a", "b").distinct()
+    both = x.join(y, (x["ref"] == y["ref"]) & (x["shingle"] == y["shingle"]) & (F.col("ida") > F.col("idb"))
+                  & (F.col("labela") != F.col("labelb")) & ~(F.col("neara") & F.col("nearb")) & fits & reach
+                  & ~F.arrays_overlap("beforea", "beforeb"))
+    return both.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -276,8 +315,9 @@ def near_groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
                     .filter("lo < hi").select("bucket"), "minhash-split")
         open_rows = cut(rest.join(split, "bucket", "left_semi"), "minhash-open")
     if edges is not None and not open_rows.isEmpty():
-        left = cut(open_rows.select("id", "label").distinct(), "minhash-left")
-        some = texts.join(left.select(F.col("id").alias("lid")), F.col("doc_id") == F.col("lid"), "left_semi")
+        left = cut(open_rows.join(hubs, "bucket").select("id", "label", "hub").distinct(), "minhash-left")
+        ids = left.select(F.col("id").alias("lid")).union(left.select("hub"))
+        some = texts.join(ids, F.col("doc_id") == F.col("lid"), "left_semi")
         edges = edges.unionByName(links(rare_pairs(some.dropDuplicates(["doc_id", "text"]), left, p)))
     if edges is not None:
         members = cut(members, "minhash-members").join(components(edges), F.col("rep") == F.col("node"), "left")

@@ -85,6 +85,73 @@ def test_minhash_null_ids_repeats_and_empty(spark):
     assert minhash.near_groups(df.limit(0)).count() == 0
 
 
+def family(rng, size, changes, length=150):
+    """Texts from one of ``length`` words (the first), each with some words replaced by words of its own."""
+    start = [f"w{i}" for i in range(length)]
+    texts = [" ".join(start)]
+    for t in range(1, size):
+        w = list(start)
+        for k, at in enumerate(rng.sample(range(length), changes(t))):
+            w[at] = f"x{t}y{k}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_minhash_near_family_makes_few_pairs(spark):
+    rng = random.Random(5)
+    texts = family(rng, 151, lambda t: 11)  # 0.74 like the first text, 0.55 to 0.65 like each other
+    for t in range(1, 21):  # each of these has a near copy
+        w = texts[t].split()
+        w[rng.randrange(len(w))] = f"copy{t}"
+        texts.append(" ".join(w))
+    p = minhash.Params(shingle=2)
+    ids = range(1, len(texts))
+    labels = spark.createDataFrame([(i, i, 0) for i in ids], "id long, label long, hub long")
+    pairs = {(r.a, r.b) for r in minhash.rare_pairs(frame(spark, texts).select("doc_id", "text"), labels, p).collect()}
+    assert {(150 + t, t) for t in range(1, 21)} <= pairs
+    assert len(pairs) <= len(texts)  # the common shingles of the family make 14,000
+
+
+def test_minhash_rare_pairs_lose_no_link(spark):
+    rng = random.Random(6)
+    texts = family(rng, 60, lambda t: t % 15, 90)
+    for t in range(1, 60):
+        w = texts[t].split()
+        at = rng.randrange(len(w))
+        del w[at:at + rng.randint(0, 9)]
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = rng.choice(["u", "v", f"z{t}"])
+        texts.append(" ".join(w + [f"end{t % 7}"] * rng.randint(0, 3)))
+    texts += [texts[0] + " " + " ".join(f"long{i}" for i in range(k)) for k in range(0, 40, 3)]
+    texts.append("w1 w2")
+    p = minhash.Params(shingle=2)
+    sets = [minhash.shingle_set(minhash.byte_words(t), 2) for t in texts]
+
+    def linked(a, b):
+        both = len(sets[a] & sets[b])
+        return 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both)
+    ids = [i for i in range(len(texts)) if i not in (0, 7)]
+    told = [(i, i, h) for i in ids for h in (0, 7)]  # two hubs, either is enough
+    for hubs in ((0,), (7,), (0, 7)):
+        labels = spark.createDataFrame([x for x in told if x[2] in hubs], "id long, label long, hub long")
+        pairs = {(r.a, r.b) for r in minhash.rare_pairs(frame(spark, texts).select("doc_id", "text"), labels, p).collect()}
+        for a in ids:
+            for b in ids:
+                if a > b and linked(a, b) and not all(any(linked(x, h) for h in hubs) for x in (a, b)):
+                    assert (a, b) in pairs
+    got = minhash.near_groups(frame(spark, texts), minhash.Params(shingle=2, hubs=1))
+    assert rows(got, "doc_id", "n_shingles", "component_id", "kept") == brute_near(dict(enumerate(texts)), 2)
+
+
+def test_minhash_repeated_ids_meet_by_any_of_their_texts(spark):
+    rng = random.Random(7)
+    texts = family(rng, 40, lambda t: 11)
+    twins = [(texts[t] + " more", 100 + t) for t in range(1, 10)]
+    data = [(i, t) for i, t in enumerate(texts)] + [(i, t) for t, i in twins] + [(100 + t, f"other {t} words") for t in range(1, 10)]
+    got = minhash.near_groups(spark.createDataFrame(data, "doc_id long, text string"), minhash.Params(shingle=2, hubs=1))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i - 100 if i > 100 else i for i, _ in data}
+
+
 # ---- 2, 3: classifiers ------------------------------------------------------
 
 def labelled(spark, bad, n=160):
