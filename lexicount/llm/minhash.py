@@ -318,7 +318,8 @@ def near_groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
         left = cut(open_rows.join(hubs, "bucket").select("id", "label", "hub").distinct(), "minhash-left")
         ids = left.select(F.col("id").alias("lid")).union(left.select("hub"))
         some = texts.join(ids, F.col("doc_id") == F.col("lid"), "left_semi")
-        edges = edges.unionByName(links(rare_pairs(some.dropDuplicates(["doc_id", "text"]), left, p)))
+        some = cut(some.dropDuplicates(["doc_id", "text"]), "minhash-some")  # written, so a hot hub can be split in the join
+        edges = edges.unionByName(links(rare_pairs(some, left, p)))
     if edges is not None:
         members = cut(members, "minhash-members").join(components(edges), F.col("rep") == F.col("node"), "left")
     else:
